@@ -1,0 +1,6 @@
+"""Streaming use.
+
+The scoring work is batch only and defines no streaming operator, so none is added here. The row-local
+scorers (``plans.evaluation.score_documents`` and everything under ``functions``) contain no shuffle and
+accept a streaming DataFrame as they are; ``tests/test_streaming.py`` runs them that way.
+"""
