@@ -9,6 +9,7 @@ from driver_checks import CENT
 from tallymark.functions.hashing import pair_id
 from tallymark.operators.judge import judged_wide, real_mismatches
 from tallymark.plans.evaluation import score_documents
+from tallymark.session import stored
 
 # (config, execution, model, prompt, input mode, m): the residues of m decide which answers are wrong.
 RUNS = (
@@ -141,9 +142,16 @@ def verdicts(mismatches: DataFrame) -> DataFrame:
             '{"Equivalent":true}'), cast(v as int) + 1)""").alias("response_text"))
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def judged_scores(spark: SparkSession, d: str) -> DataFrame:
-    scores = doc_scores(spark, d)
-    return judged_wide(scores, verdicts(real_mismatches(scores)))
+    """Scores of every run as a written table, the way a report reads them: scored once per session and input folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        scores = stored(doc_scores(spark, d), "doc-scores")
+        _STORED[key] = stored(judged_wide(scores, verdicts(real_mismatches(scores))), "judged-scores")
+    return _STORED[key]
 
 
 def prices(spark: SparkSession) -> DataFrame:

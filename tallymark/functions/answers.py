@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.text import not_blank, trim_ws
@@ -18,23 +18,55 @@ _SENTINEL = "⊣end"
 _KEYS = tuple(dict.fromkeys(
     f for schema in (INVOICE, PARTY, ADDRESS, LINE_ITEM) for f in schema.fieldNames()
 ))
-_MISCASED = '"(?!(?:{0})")(?i:{0})"\\s*:'.format("|".join(_KEYS))
+# The first look-ahead settles that a quoted word is a property name before any name is tried.
+_MISCASED = '("(?=[A-Za-z]{{3,13}}"\\s*:)(?!(?:{0})")(?i:{0})"\\s*:)'.format("|".join(_KEYS))
 _ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 
+_ALL = "|".join
+_PARTY_TEXTS = ("name", *ADDRESS.fieldNames())
+_TEXTS = ("invoiceNumber", "invoiceDate", "dueDate", "currency", "description", *_PARTY_TEXTS)
+_AMOUNTS = ("subtotal", "discount", "tax", "total")
+_LINE_AMOUNTS = ("quantity", "unitPrice", "amount")
+
+
+def _typed(names, types: str) -> str:
+    """One of ``names`` followed by one of ``types``: the type is looked for first, since most properties lack it."""
+    return f": (?:{types})(?<=(?:{_ALL(names)}): (?:{types}))"
+
+
+# A property somewhere in the answer whose type is not the plain one expected under that name.
+_UNUSUAL = "|".join((
+    _typed(_TEXTS, "BI|BO|D|O|A|VA"), _typed(_AMOUNTS, "BO|O|A|VA"), _typed(_LINE_AMOUNTS, "BO|O|A|VA|S"),
+    _typed(("vendor", "customer", "address"), "BI|BO|D|A|VA|S"), _typed(("lineItems",), "BI|BO|D|O|VA|S|ARRAY<[^OV]|ARRAY<VA"),
+))
+
 
 def _canonical_keys(text: Column) -> Column:
-    """Property names match in any case; rewrite them only where some name is written differently."""
-    renamed = reduce(lambda c, key: F.regexp_replace(c, f'"(?i:{key})"(\\s*:)', f'"{key}"$1'), _KEYS, text)
-    return F.when(text.rlike(_MISCASED), renamed).otherwise(text)
+    """Property names match in any case: names written differently (rare) are found once and replaced literally."""
+    canonical = F.create_map(*[F.lit(x) for key in _KEYS for x in (key.lower(), f'"{key}":')])
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(_MISCASED), 1))
 
+    def rename(c, hit):
+        return F.replace(c, hit, F.try_element_at(canonical, F.lower(F.split(hit, '"')[1])))
 
-def _whole_json(text: Column) -> Column:
-    """The VARIANT of ``text`` if all of it is one JSON value, else null. The sentinel proves nothing follows the value."""
-    boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f', "{_SENTINEL}"]')))
+    return F.when(text.rlike(_MISCASED), F.aggregate(found, text, rename)).otherwise(text)
+
+
+def _boxed(text: Column) -> Column:
+    """``text`` and a sentinel as one JSON array; null when that does not parse."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f', "{_SENTINEL}"]')))
+
+
+def _unboxed(boxed: Column) -> Column:
+    """The boxed VARIANT, or null unless the sentinel follows it: then nothing else was in the text."""
     whole = F.coalesce(F.try_variant_get(boxed, "$[1]", "string") == _SENTINEL, F.lit(False))
     return F.when(whole, F.try_variant_get(boxed, "$[0]", "variant"))
 
 
+def _whole_json(text: Column) -> Column:
+    return _unboxed(_boxed(text))
+
+
 def _kind(v: Column) -> Column:
     """Type name of a variant; a missing value and a JSON null are both ``VOID``."""
     return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
@@ -44,96 +76,80 @@ def _get(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, f"$.{path}", kind)
 
 
-def _party(v: Column) -> Column:
-    return F.when(
-        _kind(v) != "VOID",
-        F.struct(
-            _get(v, "name", "string").alias("name"),
-            F.when(
-                _kind(F.try_variant_get(v, "$.address", "variant")) != "VOID",
-                F.struct(*[_get(v, f"address.{f}", "string").alias(f) for f in ADDRESS.fieldNames()]),
-            ).alias("address"),
-        ),
-    )
-
-
 def _amount(v: Column) -> Column:
     return F.try_variant_get(v, "$", AMOUNT.simpleString())
 
 
-def _line(v: Column) -> Column:
-    return F.struct(
-        _get(v, "description", "string").alias("description"),
-        *[_get(v, f, AMOUNT.simpleString()).alias(f) for f in ("quantity", "unitPrice", "amount")],
-    )
-
-
 def _bad_amount(v: Column) -> Column:
     """True when a value is present but is neither a number nor a numeric string."""
     return (_kind(v) != "VOID") & (_kind(v).rlike("^(BOOLEAN|OBJECT|ARRAY)") | _amount(v).isNull())
 
 
-def answer_root(text: Column) -> Column:
-    """The answer as one VARIANT with canonical property names, or null."""
-    return _whole_json(_canonical_keys(text))
+def _part(v: Column, f: str) -> Column:
+    return F.try_variant_get(v, f"$.{f}", "variant")
 
 
-def invoice_struct(root: Column) -> Column:
-    """struct(invoice, parse_error) of an answer root; exactly one of the two is null. One bad value fails the whole answer.
-
-    Keep the root in its own column (see ``operators.scoring.parse_answers``): it is used many times here.
-    """
-    part = {f: F.try_variant_get(root, f"$.{f}", "variant") for f in INVOICE.fieldNames()}
+def _wrong_part(root: Column) -> Column:
+    """Name of the first property whose type is wrong, looking at every property by itself; null when all are right."""
 
     def bad_text(f):
-        return ~_kind(part[f]).isin("STRING", "VOID")
-
-    def bad_date(f):
-        value = _get(root, f, "string")
-        return bad_text(f) | (value.isNotNull() & (~value.rlike(_ISO_DATE) | F.try_to_date(value, "yyyy-MM-dd").isNull()))
+        return ~_kind(_part(root, f)).isin("STRING", "VOID")
 
     def bad_party(f):
-        kind = _kind(part[f])
+        kind = _kind(_part(root, f))
         return (
             ~kind.rlike("^(VOID$|OBJECT<)")
-            | kind.rlike(r"\b(name|street|city|region|postalCode|country): (?!STRING|VOID)")
+            | kind.rlike(rf"\b({_ALL(_PARTY_TEXTS)}): (?!STRING|VOID)")
             | kind.rlike(r"\baddress: (?!OBJECT|VOID)")
         )
 
-    lines = F.try_variant_get(root, "$.lineItems", "array<variant>")
-    bad_lines = ~_kind(part["lineItems"]).rlike("^(VOID$|ARRAY<)") | F.coalesce(
-        F.exists(
-            lines,
-            lambda v: ~_kind(v).rlike("^OBJECT<")
-            | ~_kind(F.try_variant_get(v, "$.description", "variant")).isin("STRING", "VOID")
-            | _bad_amount(F.try_variant_get(v, "$.quantity", "variant"))
-            | _bad_amount(F.try_variant_get(v, "$.unitPrice", "variant"))
-            | _bad_amount(F.try_variant_get(v, "$.amount", "variant")),
-        ),
-        F.lit(False),
+    bad_line = F.exists(
+        F.try_variant_get(root, "$.lineItems", "array<variant>"),
+        lambda v: ~_kind(v).rlike("^OBJECT<")
+        | ~_kind(_part(v, "description")).isin("STRING", "VOID")
+        | _bad_amount(_part(v, "quantity")) | _bad_amount(_part(v, "unitPrice")) | _bad_amount(_part(v, "amount")),
     )
-    checks = [(f, bad_text(f)) for f in ("invoiceNumber", "currency")]
-    checks += [(f, bad_date(f)) for f in ("invoiceDate", "dueDate")]
-    checks += [(f, _bad_amount(part[f])) for f in ("subtotal", "discount", "tax", "total")]
-    checks += [(f, bad_party(f)) for f in ("vendor", "customer")] + [("lineItems", bad_lines)]
-
-    error = F.when(root.isNull(), "Response is not one JSON value.")
-    error = error.when(F.is_variant_null(root), "Response is JSON null.")
-    error = error.when(~_kind(root).rlike("^OBJECT<"), "Response is not a JSON object.")
-    for field, bad in checks:
-        error = error.when(bad, f"{field} has the wrong type or format.")
-
-    invoice = F.struct(
-        _party(part["vendor"]).alias("vendor"),
-        _party(part["customer"]).alias("customer"),
-        _get(root, "invoiceNumber", "string").alias("invoiceNumber"),
-        F.try_to_date(_get(root, "invoiceDate", "string"), "yyyy-MM-dd").alias("invoiceDate"),
-        F.try_to_date(_get(root, "dueDate", "string"), "yyyy-MM-dd").alias("dueDate"),
-        _get(root, "currency", "string").alias("currency"),
-        *[_get(root, f, AMOUNT.simpleString()).alias(f) for f in ("subtotal", "discount", "tax", "total")],
-        F.transform(lines, _line).alias("lineItems"),
+    checks = [(f, bad_text(f)) for f in ("invoiceNumber", "currency", "invoiceDate", "dueDate")]
+    checks += [(f, _bad_amount(_part(root, f))) for f in ("subtotal", "discount", "tax", "total")]
+    checks += [(f, bad_party(f)) for f in ("vendor", "customer")]
+    checks += [("lineItems", ~_kind(_part(root, "lineItems")).rlike("^(VOID$|ARRAY<)") | F.coalesce(bad_line, F.lit(False)))]
+    wrong = F.lit(None).cast("string")
+    for field, bad in reversed(checks):
+        wrong = F.when(bad, field).otherwise(wrong)
+    return wrong
+
+
+def with_invoice(df: DataFrame, text_col: str) -> DataFrame:
+    """Adds ``predicted`` and ``parse_error`` of an answer text; exactly one is null. One bad value fails the whole answer.
+
+    Every step is a column of its own, so a text is parsed once. One look at the type of the whole answer settles nearly
+    all of them; the property-by-property check runs only where that type looks unusual.
+    """
+    df = df.withColumn("_text", _canonical_keys(F.col(text_col)))
+    df = df.withColumn("_boxed", _boxed(F.col("_text")))
+    df = df.withColumn("_root", _unboxed(F.col("_boxed")))
+    as_text = "struct<{}>".format(",".join(f"{f}:string" for f in ("invoiceDate", "dueDate", *_AMOUNTS)))
+    df = df.withColumns({
+        "_kind": _kind(F.col("_root")),
+        "_printed": F.try_variant_get("_root", "$", as_text),
+        "_invoice": F.try_variant_get("_root", "$", INVOICE.simpleString()),
+    })
+    root, kind = F.col("_root"), F.col("_kind")
+    error = (
+        F.when(root.isNull(), "Response is not one JSON value.")
+        .when(kind == "VOID", "Response is JSON null.")
+        .when(~F.startswith(kind, F.lit("OBJECT<")), "Response is not a JSON object.")
     )
-    return F.struct(F.when(error.isNull(), invoice).alias("invoice"), error.alias("parse_error"))
+    for f in ("invoiceDate", "dueDate"):
+        printed = F.col(f"_printed.{f}")
+        error = error.when(
+            printed.isNotNull() & (~printed.rlike(_ISO_DATE) | F.col(f"_invoice.{f}").isNull()), f"{f} is not an ISO date.")
+    for f in _AMOUNTS:
+        error = error.when(F.col(f"_printed.{f}").isNotNull() & F.col(f"_invoice.{f}").isNull(), f"{f} is not an amount.")
+    error = error.when(kind.rlike(_UNUSUAL), F.concat(_wrong_part(root), F.lit(" has the wrong type.")))
+    df = df.withColumn("parse_error", error)
+    return df.withColumn("predicted", F.when(F.col("parse_error").isNull(), F.col("_invoice"))).drop(
+        "_text", "_boxed", "_root", "_kind", "_printed", "_invoice")
 
 
 def warnings_of(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.amounts import TOLERANCE, amount_match, recomputed
-from tallymark.functions.answers import answer_root, invoice_struct, warnings_of
+from tallymark.functions.answers import warnings_of, with_invoice
 from tallymark.functions.text import currency_marker, not_blank, trim_ws
 from tallymark.schemas import TOTALS_RESULT
 
@@ -21,11 +21,10 @@ def final_answer(messages: DataFrame, keys=("doc_id",)) -> DataFrame:
 
     Only conversations without any assistant text need their texts gathered; the rest combine map side.
     """
-    spoken = messages.withColumn("_root", F.when(
-        (F.col("role") == "assistant") & not_blank(F.col("text")), answer_root(F.col("text"))))
     assistant = (F.col("role") == "assistant") & not_blank(F.col("text"))
-    ok = F.coalesce(invoice_struct(F.col("_root"))["invoice"].isNotNull(), F.lit(False))
-    rated = spoken.select(*keys, "turn", "text", assistant.alias("_a"), (assistant & ok).alias("_ok"))
+    read = with_invoice(messages.withColumn("_said", F.when(assistant, F.col("text"))), "_said")
+    rated = read.select(
+        *keys, "turn", "text", F.col("_said").isNotNull().alias("_a"), F.col("predicted").isNotNull().alias("_ok"))
     place = F.when(F.col("_a"), F.struct("_ok", "turn"))
     best = rated.groupBy(*keys).agg(
         F.max_by(F.when(F.col("_a"), F.col("text")), place).alias("text"), F.max("_ok").alias("parses"))
