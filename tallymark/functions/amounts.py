@@ -19,7 +19,7 @@ def amount_match(a: Column, b: Column, tol=TOLERANCE) -> Column:
 
 def fold_match(a: Column, b: Column) -> Column:
     """Equal after trimming, ignoring case."""
-    return F.lower(trim_ws(a)) == F.lower(trim_ws(b))
+    return (a == b) | (F.lower(trim_ws(a)) == F.lower(trim_ws(b)))
 
 
 def recomputed(subtotal: Column, discount: Column, tax: Column) -> Column:

@@ -10,6 +10,7 @@ from tallymark.functions.names import names_match, normalize_name
 from tallymark.functions.text import excerpt, not_blank, trim_ws
 from tallymark.operators.judge import gray_zone
 from tallymark.operators.ranks import global_index
+from tallymark.session import stored
 
 # Perturbation kinds, and the order in which slots cycle through them.
 LEGAL_SUFFIX, ABBREVIATION, OCR_NOISE = "legal_suffix", "abbreviation", "ocr_noise"
@@ -170,12 +171,16 @@ def calibration_pairs(mismatches: DataFrame, names: DataFrame, target: int = 60,
     """Every distinct real mismatch, topped up to ``target`` with perturbed names: (id, field, doc_id, golden, predicted, origin).
 
     Slots cycle through the kinds; a slot tries up to 64 drawn names and keeps the first whose pair is in the gray zone
-    and not taken. The number of draws depends on the target only, whatever the size of the pool.
+    and not taken. The number of draws depends on what is missing to the target only, whatever the size of the pool.
     """
     spark = mismatches.sparkSession
-    real = dedupe_mismatches(mismatches)
+    real = stored(dedupe_mismatches(mismatches), "real-pairs").select(
+        "id", "field", "doc_id", "golden", "predicted", "origin")
+    need = target - real.count()
+    if need <= 0:
+        return real
     pool, size = _indexed(names)
-    slots = target * len(CYCLE)
+    slots = need * len(CYCLE)
     draws = spark.range(slots * ATTEMPTS_PER_SLOT).select(
         F.expr(f"cast(id div {ATTEMPTS_PER_SLOT} as int)").alias("slot"),
         (F.col("id") % ATTEMPTS_PER_SLOT).cast("int").alias("attempt"))
@@ -200,12 +205,11 @@ def calibration_pairs(mismatches: DataFrame, names: DataFrame, target: int = 60,
     chosen = owned.groupBy(F.col("c.slot").alias("slot")).agg(F.min(F.struct("c.attempt", "id", "c")).alias("m"))
     # At most `slots` rows reach this ordering.
     ordered = chosen.withColumn("_rn", F.row_number().over(Window.orderBy("slot")))
-    have = real.agg(F.count("*").alias("_real"))
-    made = ordered.join(F.broadcast(have)).where(F.col("_rn") <= F.lit(target) - F.col("_real")).select(
+    made = ordered.where(F.col("_rn") <= need).select(
         F.col("m.id").alias("id"), F.col("m.c.field").alias("field"), F.col("m.c.doc_id").alias("doc_id"),
         F.col("m.c.golden").alias("golden"), F.col("m.c.predicted").alias("predicted"),
         F.concat(F.lit("synthetic:"), F.col("m.c.kind")).alias("origin"))
-    return real.select(*made.columns).unionAll(made)
+    return real.unionAll(made)
 
 
 def with_excerpts(pairs: DataFrame, text_layers: DataFrame) -> DataFrame:

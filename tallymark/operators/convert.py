@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.text import not_blank, trim_ws
 from tallymark.schemas import AMOUNT, LINE_ITEM, SPAN
+from tallymark.session import stored
 
 # Annotation keys and patterns.
 AMOUNT_KEYS = ("TOTAL", "SUB_TOTAL", "AMOUNT_DUE")
@@ -164,8 +165,12 @@ def layout_of(name: Column) -> Column:
 
 
 def ingest_annotations(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, rejected). ``raw`` has (name, raw); rejected rows keep their text and the reason."""
-    converted = convert_annotations(raw.withColumn("layout", layout_of(F.col("name"))))
+    """(good, rejected). ``raw`` has (name, raw); rejected rows keep their text and the reason.
+
+    The conversion is written once and both sides read it: a filter on the reason would otherwise convert every
+    annotation once for the good rows and once more for the rejected ones.
+    """
+    converted = stored(convert_annotations(raw.withColumn("layout", layout_of(F.col("name")))).drop("spans"), "converted")
     good = converted.where(F.col("reject_reason").isNull()).drop("reject_reason")
     return good, converted.where(F.col("reject_reason").isNotNull()).select("name", "layout", "raw", "reject_reason")
 

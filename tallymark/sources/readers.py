@@ -22,7 +22,7 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text_layers(spark: SparkSession, root: str) -> DataFrame:
     """(path, text): one row per file below ``root``, keyed by its path relative to ``root``."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     prefix = root.rstrip("/").removeprefix("file:") + "/"
     path = F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/"), F.lit("+"), F.lit("%2B")))
     return files.select(F.substring_index(path, prefix, -1).alias("path"), F.col("value").alias("text"))
@@ -54,7 +54,7 @@ def read_configs(spark: SparkSession, path: str) -> DataFrame:
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
     """(model, input_per_mtok, output_per_mtok); keys that start with an underscore are comments."""
     price = "map<string,variant>"
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     entries = text.select(F.explode(F.map_entries(F.from_json("value", price))).alias("e"))
     return entries.where(~F.startswith("e.key", F.lit("_"))).select(
         F.col("e.key").alias("model"),

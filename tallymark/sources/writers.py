@@ -18,8 +18,8 @@ DECIMALS = {
 
 
 def fixed(value: Column, digits: int = 4) -> Column:
-    """Text with a fixed number of decimals; null stays null."""
-    return F.replace(F.format_number(value.cast("double"), digits), F.lit(","), F.lit(""))
+    """Text with a fixed number of decimals, half away from zero; null stays null."""
+    return F.replace(F.format_number(F.round(value.cast("double"), digits), digits), F.lit(","), F.lit(""))
 
 
 def _printed(df: DataFrame) -> DataFrame:
