@@ -136,7 +136,7 @@ def token_means(spark, d):
       FROM outcomes CROSS JOIN (VALUES ('fatura'), ('synthetic'), ('combined')) AS x(subset)
       WHERE subset = 'combined' OR subset = source GROUP BY ALL)""", "outcomes"))
 def dates_accuracy(spark, d):
-    rows = Y.by_subset(outcomes(spark, d), RUN, *[A.field_accuracy(f).alias(f"{f}_accuracy") for f in ("invoice_date", "due_date")])
+    rows = Y.by_subset(outcomes(spark, d), RUN, {f"{f}_accuracy": A.accuracy_value(f) for f in ("invoice_date", "due_date")})
     return Y.dates_accuracy(rows).select(*RUN, "subset", r6("dates").alias("dates"))
 
 
@@ -363,7 +363,7 @@ def compare_rows(spark, d):
 def compare_shown(spark, d):
     """Which rows a comparison shows, without intervals."""
     known = paired(spark, d).where("delta IS NOT NULL")
-    means = Y.by_subset(known, ["metric"], F.count("delta").alias("n"), F.avg("delta").alias("mean"))
+    means = Y.by_subset(known, ["metric"], {"mean": F.col("delta")}, {"n": F.col("delta")}).drop("docs")
     return rounded(C.shown_rows(means.withColumn("mean", F.round("mean", 12))))
 
 
@@ -379,11 +379,9 @@ def thresholds(spark):
 
 
 def _cells(spark, d):
-    """(execution, cells): the gated cells of the older execution as baseline, of the latest as current."""
-    scores = t.judged_scores(spark, d)
-    rows = Y.by_subset(scores, RUN, F.avg("composite").alias("composite"), A.field_accuracy("total").alias("total_accuracy"),
-                       F.avg("line_items_f1").alias("line_items_f1"))
-    return rows
+    """One row per run and subset with the gated columns."""
+    return Y.by_subset(t.judged_scores(spark, d), RUN, {
+        "composite": F.col("composite"), "total_accuracy": A.accuracy_value("total"), "line_items_f1": F.col("line_items_f1")})
 
 
 def baseline_and_current(spark, d):
