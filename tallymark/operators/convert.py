@@ -53,21 +53,36 @@ def block_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), trim_ws), lambda line: line != "")
 
 
-def parse_address(lines: Column) -> Column:
-    """Address struct from trimmed lines; null when no city line follows a street line. Lines after the city are ignored."""
-    at = F.array_position(F.transform(lines, lambda line: line.rlike(CITY_LINE)), True)
-    city = F.try_element_at(lines, at.cast("int"))
-    return F.when(at >= 2, F.struct(
-        F.array_join(F.slice(lines, F.lit(1), (at - 1).cast("int")), ", ").alias("street"),
+def city_index(lines: Column) -> Column:
+    """0-based place of the first city line; -1 when there is none."""
+    return F.coalesce(F.array_position(F.transform(lines, lambda line: line.rlike(CITY_LINE)), True), F.lit(0)).cast("int") - 1
+
+
+def address_at(lines: Column, at: Column) -> Column:
+    """Address struct from trimmed lines and the place of the city line; null when no street line precedes it.
+
+    Lines after the city are ignored. Keep ``lines`` and ``at`` in columns of their own: both are used several times.
+    """
+    city = F.get(lines, at)
+    return F.when(at >= 1, F.struct(
+        F.array_join(F.slice(lines, F.lit(1), at), ", ").alias("street"),
         F.regexp_extract(city, CITY_LINE, 1).alias("city"), F.regexp_extract(city, CITY_LINE, 2).alias("region"),
         F.regexp_extract(city, CITY_LINE, 3).alias("postalCode"), F.regexp_extract(city, CITY_LINE, 4).alias("country")))
 
 
-def parse_party(block: Column) -> Column:
-    """struct(name, address) of a labelled party block; the first line is the name."""
-    lines = block_lines(F.regexp_replace(block, PARTY_LABEL, ""))
-    rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
-    return F.struct(F.try_element_at(lines, F.lit(1)).alias("name"), parse_address(rest).alias("address"))
+def with_address(df: DataFrame, name: str, lines: str) -> DataFrame:
+    """Adds the address struct ``name`` read from the line array column ``lines``."""
+    placed = df.withColumn("_at", city_index(F.col(lines)))
+    return placed.withColumn(name, address_at(F.col(lines), F.col("_at"))).drop("_at")
+
+
+def with_party(df: DataFrame, name: str, block: str) -> DataFrame:
+    """Adds struct(name, address) read from a labelled party block; the first line is the name."""
+    df = df.withColumn("_all", block_lines(F.regexp_replace(F.col(block), PARTY_LABEL, "")))
+    df = df.withColumn("_rest", F.slice("_all", F.lit(2), F.greatest(F.size("_all") - 1, F.lit(0))))
+    df = with_address(df, "_address", "_rest")
+    party = F.struct(F.get("_all", F.lit(0)).alias("name"), F.col("_address").alias("address"))
+    return df.withColumn(name, F.when(F.col(block).isNotNull(), party)).drop("_all", "_rest", "_address")
 
 
 def tax_entries(spans: Column) -> Column:
@@ -99,65 +114,68 @@ def currency_conflict(annotations: DataFrame) -> DataFrame:
     return listed.withColumn("conflict", F.size("currencies") > 1)
 
 
-def convert_annotations(annotations: DataFrame) -> DataFrame:
-    """Adds ``invoice`` and ``reject_reason``; exactly one of the two is null. The first failing rule names the reason."""
-    df = _with_spans(annotations)
-    s = F.col("spans")
-
-    def text(key):
-        return span_text(s, key)
+# Span keys whose text the conversion reads.
+_READ = ("DATE", "DUE_DATE", "SELLER_NAME", "SELLER_ADDRESS", "BILL_TO", "BUYER", "NUMBER", "SUB_TOTAL", "DISCOUNT",
+         "TOTAL", "AMOUNT_DUE")
 
-    def no_amount(value, label):
-        return F.when(value.isNotNull() & last_number(value).isNull(), F.concat(
-            F.lit(f"{label}: no amount in '"), value, F.lit("'.")))
 
-    def no_date(value, label):
-        return F.when(value.isNotNull() & parse_date(value).isNull(), F.concat(
-            F.lit(f"{label}: no date in '"), value, F.lit("'.")))
+def convert_annotations(annotations: DataFrame) -> DataFrame:
+    """Adds ``invoice`` and ``reject_reason``; exactly one of the two is null. The first failing rule names the reason.
 
-    date, due = text("DATE"), text("DUE_DATE")
-    seller_block = text("SELLER_ADDRESS")
-    total = F.coalesce(text("TOTAL"), text("AMOUNT_DUE"))
-    customer_block = F.coalesce(text("BILL_TO"), text("BUYER"))
+    A chain of projections over one row at a time: values used more than once are columns, so they are computed once.
+    """
+    df = _with_spans(annotations)
+    kept = df.columns
+    s = F.col("spans")
+    df = df.withColumns({
+        **{f"_{k}": span_text(s, k) for k in _READ}, "_currencies": currencies_of(s), "_taxes": tax_entries(s)})
+    df = df.withColumns({
+        "_total_text": F.coalesce("_TOTAL", "_AMOUNT_DUE"), "_block": F.coalesce("_BILL_TO", "_BUYER"),
+        "_seller_lines": block_lines(F.regexp_replace("_SELLER_ADDRESS", ADDRESS_LABEL, "")),
+        "_tax_values": F.transform(F.map_entries("_taxes"), lambda e: F.struct(
+            e["key"].alias("key"), e["value"]["text"].alias("text"), last_number(e["value"]["text"]).alias("amount")))})
+    amounts = {"subtotal": ("SUB_TOTAL", "_SUB_TOTAL"), "discount": ("DISCOUNT", "_DISCOUNT"), "total": ("TOTAL", "_total_text")}
+    dates = {"invoiceDate": ("DATE", "_DATE"), "dueDate": ("DUE_DATE", "_DUE_DATE")}
     df = df.withColumns({
-        "_currencies": currencies_of(s), "_tax": tax_sum(s),
-        "_seller": parse_address(block_lines(F.regexp_replace(seller_block, ADDRESS_LABEL, ""))),
-        "_customer": F.when(customer_block.isNotNull(), parse_party(customer_block)),
-        "_bad_tax": F.try_element_at(F.filter(
-            F.map_entries(tax_entries(s)), lambda e: last_number(e["value"]["text"]).isNull()), F.lit(1)),
-    })
-    bad_tax = F.col("_bad_tax")
+        **{f"_v_{f}": last_number(F.col(c)) for f, (_, c) in amounts.items()},
+        **{f"_v_{f}": parse_date(F.col(c)) for f, (_, c) in dates.items()},
+        "_bad_tax": F.get(F.filter("_tax_values", lambda v: v["amount"].isNull()), F.lit(0)),
+        "_tax": F.when(F.size("_tax_values") > 0, F.aggregate(
+            "_tax_values", F.lit(0).cast(AMOUNT), lambda a, v: (a + v["amount"]).cast(AMOUNT))),
+        "_seller_name": trim_ws(F.col("_SELLER_NAME"))})
+    df = with_party(with_address(df, "_seller", "_seller_lines"), "_customer", "_block")
+
+    def failed(f, label, column, what):
+        return F.when(F.col(column).isNotNull() & F.col(f"_v_{f}").isNull(), F.concat(
+            F.lit(f"{label}: no {what} in '"), F.col(column), F.lit("'.")))
+
+    block, seller, customer = F.col("_block"), F.col("_seller"), F.col("_customer")
     reason = F.coalesce(
         F.when(s.isNull(), F.lit("The annotation is not a JSON object.")),
-        F.when(F.startswith(F.lower(trim_ws(date)), F.lit("due")), F.concat(
-            F.lit("DATE is labelled with a due date: '"), date, F.lit("'."))),
-        F.concat(bad_tax["key"], F.lit(": no amount in '"), bad_tax["value"]["text"], F.lit("'.")),
+        F.when(F.startswith(F.lower(trim_ws(F.col("_DATE"))), F.lit("due")), F.concat(
+            F.lit("DATE is labelled with a due date: '"), F.col("_DATE"), F.lit("'."))),
+        F.concat(F.col("_bad_tax.key"), F.lit(": no amount in '"), F.col("_bad_tax.text"), F.lit("'.")),
         F.when(F.size("_currencies") > 1, F.concat(
             F.lit("Conflicting currencies: "), F.array_join("_currencies", ", "), F.lit("."))),
-        F.when(seller_block.isNotNull() & F.col("_seller").isNull(), F.concat(
-            F.lit("SELLER_ADDRESS: no street + city line in '"), seller_block, F.lit("'."))),
-        F.when(customer_block.isNotNull() & F.col("_customer.name").isNull(), F.concat(
-            F.lit("Empty party block '"), customer_block, F.lit("'."))),
-        F.when(customer_block.isNotNull() & F.col("_customer.address").isNull(), F.concat(
-            F.lit("BUYER: no street + city line in '"), customer_block, F.lit("'."))),
-        no_date(date, "DATE"), no_date(due, "DUE_DATE"),
-        no_amount(text("SUB_TOTAL"), "SUB_TOTAL"), no_amount(text("DISCOUNT"), "DISCOUNT"), no_amount(total, "TOTAL"),
+        F.when(F.col("_SELLER_ADDRESS").isNotNull() & seller.isNull(), F.concat(
+            F.lit("SELLER_ADDRESS: no street + city line in '"), F.col("_SELLER_ADDRESS"), F.lit("'."))),
+        F.when(block.isNotNull() & customer["name"].isNull(), F.concat(F.lit("Empty party block '"), block, F.lit("'."))),
+        F.when(block.isNotNull() & customer["address"].isNull(), F.concat(
+            F.lit("BUYER: no street + city line in '"), block, F.lit("'."))),
+        *[failed(f, label, c, "date") for f, (label, c) in dates.items()],
+        *[failed(f, label, c, "amount") for f, (label, c) in amounts.items()],
     )
-    seller_name = trim_ws(text("SELLER_NAME"))
-    vendor = F.when(seller_name.isNotNull() | F.col("_seller").isNotNull(), F.struct(
-        seller_name.alias("name"), F.col("_seller").alias("address")))
-    number = text("NUMBER")
+    vendor = F.when(F.col("_seller_name").isNotNull() | seller.isNotNull(), F.struct(
+        F.col("_seller_name").alias("name"), seller.alias("address")))
     invoice = F.struct(
-        vendor.alias("vendor"), F.col("_customer").alias("customer"),
-        F.when(not_blank(number), last_token(number)).alias("invoiceNumber"),
-        parse_date(date).alias("invoiceDate"), parse_date(due).alias("dueDate"),
-        F.try_element_at("_currencies", F.lit(1)).alias("currency"),
-        last_number(text("SUB_TOTAL")).alias("subtotal"), last_number(text("DISCOUNT")).alias("discount"),
-        F.col("_tax").alias("tax"), last_number(total).alias("total"),
-        F.lit(None).cast(f"array<{LINE_ITEM.simpleString()}>").alias("lineItems"))
+        vendor.alias("vendor"), customer.alias("customer"),
+        F.when(not_blank(F.col("_NUMBER")), last_token(F.col("_NUMBER"))).alias("invoiceNumber"),
+        *[F.col(f"_v_{f}").alias(f) for f in dates], F.get("_currencies", F.lit(0)).alias("currency"),
+        F.col("_v_subtotal").alias("subtotal"), F.col("_v_discount").alias("discount"), F.col("_tax").alias("tax"),
+        F.col("_v_total").alias("total"), F.lit(None).cast(f"array<{LINE_ITEM.simpleString()}>").alias("lineItems"))
     done = df.withColumn("reject_reason", reason)
-    return done.withColumn("invoice", F.when(F.col("reject_reason").isNull(), invoice)).drop(
-        "_currencies", "_tax", "_seller", "_customer", "_bad_tax")
+    return done.withColumn("invoice", F.when(F.col("reject_reason").isNull(), invoice)).select(
+        *kept, "invoice", "reject_reason")
 
 
 def layout_of(name: Column) -> Column:
