@@ -17,6 +17,8 @@ def builder(app: str = "tallymark") -> SparkSession.Builder:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # A property written twice in an answer: the last one counts, instead of failing the answer.
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
     )
 
 
