@@ -150,7 +150,8 @@ def judged_scores(spark: SparkSession, d: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, d)
     if key not in _STORED:
         scores = stored(doc_scores(spark, d), "doc-scores")
-        _STORED[key] = stored(judged_wide(scores, verdicts(real_mismatches(scores))), "judged-scores")
+        _STORED[key] = stored(judged_wide(
+            scores, verdicts(real_mismatches(scores)), drop=("expected", "predicted", "violations")), "judged-scores")
     return _STORED[key]
 
 

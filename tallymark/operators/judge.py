@@ -72,8 +72,10 @@ def verdict_join(outcomes: DataFrame, verdicts: DataFrame, in_input: Column) ->
     return judged.withColumn("judged_score", outcome_score(F.col("judged_outcome"))).drop("_asked", "equivalent")
 
 
-def judged_wide(scored: DataFrame, verdicts: DataFrame, keys=("execution", "config", "doc_id")) -> DataFrame:
-    """Adds ``judged_<field>`` outcomes and ``judge_state_<field>`` to wide rows.
+def judged_wide(
+    scored: DataFrame, verdicts: DataFrame, keys=("execution", "config", "doc_id"), drop=()
+) -> DataFrame:
+    """Adds ``judged_<field>`` outcomes and ``judge_state_<field>`` to wide rows, without the columns named in ``drop``.
 
     The rows with a mismatch are a small part of the table: only they are joined to verdicts, and the result comes
     back by key instead of sending every document through the pair-id shuffle.
@@ -84,7 +86,7 @@ def judged_wide(scored: DataFrame, verdicts: DataFrame, keys=("execution", "conf
     state = F.when(F.col("equivalent"), EQUIVALENT).when(~F.col("equivalent"), NOT_EQUIVALENT).otherwise(VERDICT_UNPARSED)
     states = asked.withColumn("_state", state).groupBy(*keys).agg(
         *[F.max(F.when(F.col("field") == f, F.col("_state"))).alias(f"_state_{f}") for f in JUDGED_FIELDS])
-    joined = scored.join(states, list(keys), "left")
+    joined = scored.drop(*drop).join(states, list(keys), "left")
     for f in JUDGED_FIELDS:
         strict, verdict = F.col(f"outcome_{f}"), F.col(f"_state_{f}")
         joined = joined.withColumns({

@@ -40,7 +40,8 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, count: int, seed: i
     order = F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_h", key))
     numbered = kept.withColumn("_rn", order)
     inside = F.col("_last").isNull() | (F.col("_b") < F.col("_last")) | (F.col("_rn") <= F.col("_need"))
-    return numbered.where(inside).select(*df.columns)
+    # No bucket gives more than `count` rows; said as a constant, Spark cuts hot buckets before the shuffle.
+    return numbered.where((F.col("_rn") <= count) & inside).select(*df.columns)
 
 
 def holdout_strata(df: DataFrame, stratum: str, k: int, seed: int) -> tuple[DataFrame, DataFrame]:
