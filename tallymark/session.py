@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,16 +22,13 @@ def builder(app: str = "tallymark") -> SparkSession.Builder:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    A local temporary folder is used only where the setting is absent and the master is local, as in tests.
+    """The shared folder for tables that cut lineage: ``spark.checkpoint.dir``, or ``tallymark.scratch.dir`` where the
+    cluster names none. Every table gets a folder of its own there; whoever owns the folder removes it after the job.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder")
-    return tempfile.mkdtemp(prefix="tallymark-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tallymark.scratch.dir", None)
+    if not shared:
+        raise ValueError("spark.checkpoint.dir (or tallymark.scratch.dir) must name a shared folder")
+    return shared.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

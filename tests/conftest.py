@@ -10,10 +10,10 @@ from tallymark.session import builder  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         builder("tests").master("local[4]").config("spark.sql.shuffle.partitions", "4")
-        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("scratch"))).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
