@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymark.llm import bpe
 from tallymark.llm.common import table
 from tallymark.llm.line_dedup import dedup_lines
 from tallymark.llm.mixing import mix
+from tallymark.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -70,3 +73,24 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     mixed = mix(table(spark, d, "documents").select("doc_id", "text", "source"), keep=("doc_id",))
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"))
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """Encoded and decoded again: counts and digests of ids and bytes."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, ranks).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op3_byte_bpe")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    return bpe_digests(table(spark, d, "documents"))
+
+
+@query("op4_token_counts")
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    counted = count_tokens(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
