@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe
+from tallymark.llm import bpe, toxicity
 from tallymark.llm.common import table
+from tallymark.llm.html_extract import extract
 from tallymark.llm.line_dedup import dedup_lines
 from tallymark.llm.mixing import mix
 from tallymark.llm.token_counts import count_tokens
@@ -94,3 +95,26 @@ def op3(spark: SparkSession, d: str) -> DataFrame:
 def op4(spark: SparkSession, d: str) -> DataFrame:
     counted = count_tokens(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query("op1_html_extraction")
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    return extract(table(spark, d, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+# Rows that stay out of the training sample, and the score from which a text counts as toxic.
+HELD_OUT = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+TOXIC = 0.7
+
+
+def toxicity_scores(spark: SparkSession, docs: DataFrame, d: str) -> DataFrame:
+    """``docs`` with ``score``, by a model of the labelled rows of the original documents that are not held out."""
+    model = toxicity.fit(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels"), use=~HELD_OUT)
+    return toxicity.score(docs, model)
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    scored = toxicity_scores(spark, table(spark, d, "documents").select("doc_id", "text"), d)
+    return scored.select(
+        "doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
