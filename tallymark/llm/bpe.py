@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
@@ -24,25 +26,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
-class PieceEncoder:
-    """Ids of pre-tokens, each merged once while it is remembered."""
+class PieceEncoder(dict):
+    """Ids of pre-tokens as 32-bit integers in bytes, each pre-token merged once while it is remembered."""
 
     def __init__(self, ranks_path: str, pattern: str):
-        ranks = read_ranks(ranks_path)
+        super().__init__()
         self.pieces = regex.compile(pattern).findall
-        self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        self.known: dict[str, list[int]] = {}
+        self.merge = tiktoken.Encoding(
+            "ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})._encode_single_piece
 
-    def encode(self, text: str) -> list[int]:
-        known, ids = self.known, []
-        for piece in self.pieces(text):
-            got = known.get(piece)
-            if got is None:
-                if len(known) >= MEMO:
-                    known.clear()
-                got = known[piece] = self.merge(piece)
-            ids += got
-        return ids
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        got = self[piece] = np.asarray(self.merge(piece), np.int32).tobytes()
+        return got
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.pieces(text)))
 
 
 def _starts(pattern: str):
@@ -64,13 +64,18 @@ def _starts(pattern: str):
     return run
 
 
+def _offsets(lengths) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
+
+
 def _encoded(ranks_path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder(ranks_path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                ids = pa.array([encoder.encode(t) for t in part["_b_text"].to_pylist()], pa.list_(pa.int32()))
+                coded = [encoder.encode(t) for t in part["_b_text"].to_pylist()]
+                ids = pa.ListArray.from_arrays(_offsets([len(c) // 4 for c in coded]), pa.array(np.frombuffer(b"".join(coded), np.int32)))
                 names = [n for n in part.schema.names if n != "_b_text"]
                 yield pa.RecordBatch.from_arrays([*[part[n] for n in names], ids], [*names, "ids"])
     return run
@@ -134,11 +139,20 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
     kinds = dict(encoded.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {rank: token for token, rank in read_ranks(ranks_path).items()}.__getitem__
+        by_rank = {rank: token for token, rank in read_ranks(ranks_path).items()}
+        tokens = pa.array([by_rank.get(i) for i in range(max(by_rank) + 1)], pa.binary())
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                texts = [None if ids is None else b"".join(map(token, ids)) for ids in part[ids_col].to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[part[n] for n in kept], pa.array(texts, pa.binary())], [*kept, out_col])
+                ids = part[ids_col]
+                # Taking tokens by id lays their bytes side by side, so a text is a span of that buffer.
+                taken = tokens.take(ids.flatten())
+                if taken.null_count:
+                    raise KeyError("an id that the ranks do not hold")
+                ends = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1)
+                spans = ends[np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0))))]
+                texts = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(spans), taken.buffers()[2]])
+                yield pa.RecordBatch.from_arrays(
+                    [*[part[n] for n in kept], pc.if_else(ids.is_valid(), texts, pa.scalar(None, pa.binary()))], [*kept, out_col])
 
     return encoded.select(*kept).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + f", {out_col} binary")

@@ -61,8 +61,8 @@ def test_empty_table(spark):
 def test_unknown_ids_fail_and_null_ids_stay(spark):
     rows = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert {r["doc_id"]: r["decoded"] for r in bpe.decode(rows, RANKS).collect()} == {1: None, 2: bytearray()}
-    with pytest.raises(Exception, match="KeyError"):
-        bpe.decode(spark.createDataFrame([(1, [60_000])], "doc_id long, ids array<int>"), RANKS).collect()
+    with pytest.raises(Exception, match="KeyError|IndexError"):
+        bpe.decode(spark.createDataFrame([(1, [50_256])], "doc_id long, ids array<int>"), RANKS).collect()
 
 
 def test_counts_equal_the_library(spark, docs):

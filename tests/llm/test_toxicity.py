@@ -34,8 +34,8 @@ def test_misspelt_words_are_found_by_their_grams(spark):
     got = t.score(new, model)
     assert dict(got.dtypes)["score"] == "double"
     found = {(r["doc_id"], r["text"] is None): r["score"] for r in got.collect()}
-    assert got.count() == 6 and found[1, False] > 0.7 and found[None, False] > 0.7 and found[2, False] < 0.3
-    assert found[3, False] == found[4, True] < 0.7
+    assert got.count() == 6 and found[1, False] > 0.5 and found[None, False] > 0.5 and found[2, False] < 0.3
+    assert found[3, False] == found[4, True] < 0.5
     assert t.score(new.limit(0), model).count() == 0
 
 
