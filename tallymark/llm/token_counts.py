@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import json
 import os
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the pattern of byte-level pre-tokenizers.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# A task hands over its pre-tokens when it holds so many, or so many (document, pre-token) pairs.
-PIECES, PAIRS = 400_000, 4_000_000
-ROW_BITS = 33  # of monotonically_increasing_id
+# A task hands over its block of documents when it holds so many distinct pre-tokens, occurrences, or rows.
+PIECES, HELD, BLOCK_ROWS = 400_000, 8_000_000, 1 << 16
+# A posting is a row of the block and a frequency, of 16 bits each; sums are handed over after so many postings.
+MOST, SUMMED = (1 << 16) - 1, 2_000_000
 
 
 def special_strings(path: str) -> list[str]:
@@ -59,46 +60,79 @@ def _distinct(specials: list[str]):
     return run
 
 
+class _Places(dict):
+    """Numbers pre-tokens as they come."""
+
+    def __missing__(self, piece: str) -> int:
+        got = self[piece] = len(self)
+        return got
+
+
+def postings(ids: np.ndarray, rows: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, frequency) pairs by pre-token, and where each pre-token's pairs begin; high frequencies take several pairs."""
+    keys, counts = np.unique(ids.astype(np.int64) << 16 | rows, return_counts=True)
+    parts = (counts - 1) // MOST + 1
+    last = np.cumsum(parts) - 1
+    keys, values = np.repeat(keys, parts), np.full(last[-1] + 1, MOST, np.int64)
+    values[last] = counts - (parts - 1) * MOST
+    pairs = np.stack([keys & 0xFFFF, values], axis=1).astype(np.uint16)
+    return pairs, np.concatenate(([0], np.cumsum(np.bincount(keys >> 16, minlength=distinct))))
+
+
 def _frequencies(specials: list[str]):
-    """Rows (piece, block, rows, freqs): in which rows of this block of documents a pre-token occurs, and how often."""
-    def flush(place: dict[str, int], ids: list, rows: list, freqs: list, block: int) -> Iterator[pa.RecordBatch]:
+    """Rows (piece, block, postings): in which rows of this block of documents a pre-token occurs, and how often."""
+    def flush(place: _Places, ids: list[np.ndarray], block: int) -> Iterator[pa.RecordBatch]:
         if not place:
             return
-        piece, row, freq = np.concatenate(ids), np.concatenate(rows), np.concatenate(freqs)
-        order = np.argsort(piece, kind="stable")
-        names = list(place)
-        ends = np.concatenate(([0], np.cumsum(np.bincount(piece, minlength=len(names))))).astype(np.int32)
-        row, freq = row[order], freq[order]
+        rows = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+        pairs, starts = postings(np.concatenate(ids), rows, len(place))
+        names, data = list(place), pairs.tobytes()
         for a in range(0, len(names), 20_000):
             b = min(a + 20_000, len(names))
-            offsets = pa.array(ends[a:b + 1] - ends[a], pa.int32())
-            span = slice(ends[a], ends[b])
+            offsets = ((starts[a:b + 1] - starts[a]) * 4).astype(np.int32)
+            lists = pa.Array.from_buffers(
+                pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(data[starts[a] * 4:starts[b] * 4])])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names[a:b], pa.string()), pa.array(np.full(b - a, block, np.int64)),
-                 pa.ListArray.from_arrays(offsets, pa.array(row[span], pa.int32())),
-                 pa.ListArray.from_arrays(offsets, pa.array(freq[span], pa.int32()))],
-                ["piece", "block", "rows", "freqs"])
+                [pa.array(names[a:b], pa.string()), pa.array(np.full(b - a, block, np.int64)), lists], ["piece", "block", "postings"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = splitter(specials)
-        place, ids, rows, freqs, held, block = {}, [], [], [], 0, 0
+        place, ids, held, block = _Places(), [], 0, None
         for batch in batches:
             for row_id, value in zip(batch["_t_row"].to_pylist(), batch["_t_text"]):
-                block, row = row_id >> ROW_BITS, row_id & ((1 << ROW_BITS) - 1)
-                counted = Counter(pieces(value.as_py()))
-                if not counted:
-                    continue
-                ids.append(np.fromiter((place.setdefault(p, len(place)) for p in counted), np.int32, len(counted)))
-                freqs.append(np.fromiter(counted.values(), np.int32, len(counted)))
-                rows.append(np.full(len(counted), row, np.int32))
-                held += len(counted)
-                if len(place) >= PIECES or held >= PAIRS:
-                    yield from flush(place, ids, rows, freqs, block)
-                    place, ids, rows, freqs, held = {}, [], [], [], 0
-        yield from flush(place, ids, rows, freqs, block)
+                # Rows of one input partition are numbered one after another, so a row is its place after the first.
+                block = row_id if block is None else block
+                found = pieces(value.as_py())
+                ids.append(np.fromiter(map(place.__getitem__, found), np.int32, len(found)))
+                held += len(found)
+                if len(place) >= PIECES or held >= HELD or len(ids) >= BLOCK_ROWS:
+                    yield from flush(place, ids, block)
+                    place, ids, held, block = _Places(), [], 0, None
+        yield from flush(place, ids, block)
     return run
 
 
+def _row_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, n_tokens): frequency times tokens, added up by row for many postings at once."""
+    def added(rows: list[np.ndarray], tokens: list[np.ndarray]) -> pa.RecordBatch:
+        row, at = np.unique(np.concatenate(rows), return_inverse=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(row), pa.array(np.rint(np.bincount(at, np.concatenate(tokens))).astype(np.int64))], ["_t_row", "n_tokens"])
+
+    rows, tokens, held = [], [], 0
+    for batch in batches:
+        lengths = np.asarray(pc.binary_length(batch["postings"])) // 4
+        pairs = np.frombuffer(b"".join(batch["postings"].to_pylist()), np.uint16).reshape(-1, 2)
+        rows.append(np.repeat(np.asarray(batch["block"]), lengths) + pairs[:, 0])
+        tokens.append(np.repeat(np.asarray(batch["tokens"]), lengths) * pairs[:, 1])
+        held += len(pairs)
+        if held >= SUMMED:
+            yield added(rows, tokens)
+            rows, tokens, held = [], [], 0
+    if held:
+        yield added(rows, tokens)
+
+
 def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -117,7 +151,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """(id, n_bytes, n_tokens), one row per row of ``docs``.
 
     Every distinct pre-token is counted once, by the library; the counts are joined to the frequencies of pre-tokens in
-    blocks of documents (a block is an input partition, so a pre-token of every document is one row per block), and the
+    blocks of documents (a block is a run of input rows, so a pre-token of every document is one row per block), and the
     products are summed by row. No ids are kept anywhere. Null and empty texts have no bytes and no tokens. Rows that
     repeat an id are counted each; null ids are kept. Rows are numbered in the input, which must be read in the same
     order by every attempt, as files are.
@@ -128,10 +162,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     texts = base.select("_t_row", "_t_text")
     counts = texts.select("_t_text").mapInArrow(_distinct(specials), "piece string").distinct().mapInArrow(
         _counted(tokenizer_path), "piece string, tokens long")
-    used = texts.mapInArrow(_frequencies(specials), "piece string, block long, rows array<int>, freqs array<int>")
-    pairs = used.join(counts, "piece").select("block", "tokens", F.explode(F.arrays_zip("rows", "freqs")).alias("p"))
-    sums = pairs.groupBy("block", F.col("p.rows").alias("row")).agg(F.sum(F.col("p.freqs") * F.col("tokens")).alias("n_tokens"))
-    keyed = sums.select((F.shiftleft("block", ROW_BITS) + F.col("row")).alias("_t_row"), "n_tokens")
+    used = texts.mapInArrow(_frequencies(specials), "piece string, block long, postings binary")
+    products = used.join(counts, "piece").select("block", "tokens", "postings").mapInArrow(_row_sums, "_t_row long, n_tokens long")
+    keyed = products.groupBy("_t_row").agg(F.sum("n_tokens").alias("n_tokens"))
     sizes = base.select("_t_row", "_t_id", F.octet_length("_t_text").cast("long").alias("n_bytes"))
     return sizes.join(keyed, "_t_row", "left").select(
         F.col("_t_id").alias(id_col), "n_bytes", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))

@@ -32,7 +32,7 @@ def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         for n in range(1, max(GRAMS) + 1):
             shifted = np.zeros(len(codes), np.uint64)
-            shifted[:len(codes) - n + 1] = codes[n - 1:]
+            shifted[:max(0, len(codes) - n + 1)] = codes[n - 1:]
             rolling = rolling * np.uint64(0x100000001B3) + shifted + np.uint64(1)
             if n in GRAMS:
                 fits = left >= n

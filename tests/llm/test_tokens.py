@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallymark.llm import bpe
-from tallymark.llm.token_counts import count_tokens, special_strings
+from tallymark.llm.token_counts import count_tokens, postings, special_strings
 from tests.llm.conftest import SF, needs_data
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -73,6 +74,12 @@ def test_counts_equal_the_library(spark, docs):
     assert got == expected
 
 
+def test_postings_split_high_frequencies():
+    ids, rows = np.array([0] * 70_000 + [1, 1, 0]), np.array([0] * 70_000 + [2, 3, 1])
+    pairs, starts = postings(ids, rows, 2)
+    assert pairs.tolist() == [[0, 65_535], [0, 4_465], [1, 1], [2, 1], [3, 1]] and starts.tolist() == [0, 3, 5]
+
+
 def test_only_plain_byte_level_files_are_accepted():
     assert special_strings(JSON) == ["<|endoftext|>"]
     with pytest.raises(ValueError, match="byte-level"):
