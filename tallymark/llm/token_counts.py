@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import json
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from tallymark.llm.common import shuffle_partitions
 
 # Fixed value: the pattern of byte-level pre-tokenizers.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# A task hands over its block of documents when it holds so many distinct pre-tokens, occurrences, or rows.
+# A block of documents ends when it holds so many distinct pre-tokens, occurrences, or rows.
 PIECES, HELD, BLOCK_ROWS = 400_000, 8_000_000, 1 << 16
-# A posting is a row of the block and a frequency, of 16 bits each; sums are handed over after so many postings.
-MOST, SUMMED = (1 << 16) - 1, 2_000_000
+# Counts are handed over by block after so many (pre-token, block) rows.
+COUNTED = 1_000_000
 
 
 def special_strings(path: str) -> list[str]:
@@ -47,19 +50,6 @@ def splitter(specials: list[str]):
     return pieces
 
 
-def _distinct(specials: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, seen = splitter(specials), set()
-        for batch in batches:
-            for value in batch["_t_text"]:
-                seen.update(pieces(value.as_py()))
-                if len(seen) >= PIECES:
-                    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string())], ["piece"])
-                    seen = set()
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string())], ["piece"])
-    return run
-
-
 class _Places(dict):
     """Numbers pre-tokens as they come."""
 
@@ -68,103 +58,125 @@ class _Places(dict):
         return got
 
 
-def postings(ids: np.ndarray, rows: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, frequency) pairs by pre-token, and where each pre-token's pairs begin; high frequencies take several pairs."""
-    keys, counts = np.unique(ids.astype(np.int64) << 16 | rows, return_counts=True)
-    parts = (counts - 1) // MOST + 1
-    last = np.cumsum(parts) - 1
-    keys, values = np.repeat(keys, parts), np.full(last[-1] + 1, MOST, np.int64)
-    values[last] = counts - (parts - 1) * MOST
-    pairs = np.stack([keys & 0xFFFF, values], axis=1).astype(np.uint16)
-    return pairs, np.concatenate(([0], np.cumsum(np.bincount(keys >> 16, minlength=distinct))))
-
-
-def _frequencies(specials: list[str]):
-    """Rows (piece, block, postings): in which rows of this block of documents a pre-token occurs, and how often."""
-    def flush(place: _Places, ids: list[np.ndarray], block: int) -> Iterator[pa.RecordBatch]:
-        if not place:
-            return
-        rows = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-        pairs, starts = postings(np.concatenate(ids), rows, len(place))
-        names, data = list(place), pairs.tobytes()
-        for a in range(0, len(names), 20_000):
-            b = min(a + 20_000, len(names))
-            offsets = ((starts[a:b + 1] - starts[a]) * 4).astype(np.int32)
-            lists = pa.Array.from_buffers(
-                pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(data[starts[a] * 4:starts[b] * 4])])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[a:b], pa.string()), pa.array(np.full(b - a, block, np.int64)), lists], ["piece", "block", "postings"])
+def blocks(specials: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, int], list]]:
+    """(first row, pre-tokens and their numbers, rows as (id, bytes, numbers)) of one block after another.
 
+    A block is a run of input rows named by its first one. The same rows give the same blocks and numbers each time.
+    """
+    pieces = splitter(specials)
+    place, rows, held, first = _Places(), [], 0, 0
+    for batch in batches:
+        for row, key, value in zip(batch["_t_row"].to_pylist(), batch["_t_id"], batch["_t_text"]):
+            first = first if rows else row
+            text = value.as_py()
+            found = pieces(text)
+            rows.append((key, len(text.encode()), np.fromiter(map(place.__getitem__, found), np.int32, len(found))))
+            held += len(found)
+            if len(place) >= PIECES or held >= HELD or len(rows) >= BLOCK_ROWS:
+                yield first, place, rows
+                place, rows, held = _Places(), [], 0
+    if rows:
+        yield first, place, rows
+
+
+def _pieces(specials: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = splitter(specials)
-        place, ids, held, block = _Places(), [], 0, None
-        for batch in batches:
-            for row_id, value in zip(batch["_t_row"].to_pylist(), batch["_t_text"]):
-                # Rows of one input partition are numbered one after another, so a row is its place after the first.
-                block = row_id if block is None else block
-                found = pieces(value.as_py())
-                ids.append(np.fromiter(map(place.__getitem__, found), np.int32, len(found)))
-                held += len(found)
-                if len(place) >= PIECES or held >= HELD or len(ids) >= BLOCK_ROWS:
-                    yield from flush(place, ids, block)
-                    place, ids, held, block = _Places(), [], 0, None
-        yield from flush(place, ids, block)
+        for block, place, _ in blocks(specials, batches):
+            names = list(place)
+            for a in range(0, len(names), 20_000):
+                part = names[a:a + 20_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part, pa.string()), pa.array(np.full(len(part), block, np.int64)),
+                     pa.array(np.arange(a, a + len(part), dtype=np.int32))], ["piece", "block", "number"])
     return run
 
 
-def _row_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, n_tokens): frequency times tokens, added up by row for many postings at once."""
-    def added(rows: list[np.ndarray], tokens: list[np.ndarray]) -> pa.RecordBatch:
-        row, at = np.unique(np.concatenate(rows), return_inverse=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(row), pa.array(np.rint(np.bincount(at, np.concatenate(tokens))).astype(np.int64))], ["_t_row", "n_tokens"])
+def packed(numbers: np.ndarray) -> bytes:
+    """The distinct numbers of a document with their frequencies, as differences, compressed."""
+    distinct, counts = np.unique(numbers, return_counts=True)
+    return zlib.compress(np.concatenate((np.diff(distinct, prepend=0), counts)).astype(np.int32).tobytes(), 1)
 
-    rows, tokens, held = [], [], 0
-    for batch in batches:
-        lengths = np.asarray(pc.binary_length(batch["postings"])) // 4
-        pairs = np.frombuffer(b"".join(batch["postings"].to_pylist()), np.uint16).reshape(-1, 2)
-        rows.append(np.repeat(np.asarray(batch["block"]), lengths) + pairs[:, 0])
-        tokens.append(np.repeat(np.asarray(batch["tokens"]), lengths) * pairs[:, 1])
-        held += len(pairs)
-        if held >= SUMMED:
-            yield added(rows, tokens)
-            rows, tokens, held = [], [], 0
-    if held:
-        yield added(rows, tokens)
+
+def total(blob: bytes, tokens: np.ndarray) -> int:
+    steps, counts = np.frombuffer(zlib.decompress(blob), np.int32).reshape(2, -1)
+    return int(tokens[np.cumsum(steps)] @ counts)
+
+
+def _frequencies(specials: list[str], kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, rows in blocks(specials, batches):
+            for a in range(0, len(rows), 4096):
+                part = rows[a:a + 4096]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(part), block, np.int64)), pa.array([k.as_py() for k, _, _ in part], kind),
+                     pa.array([n for _, n, _ in part], pa.int64()), pa.array([packed(x) for _, _, x in part], pa.binary())],
+                    ["block", "_t_id", "n_bytes", "frequencies"])
+    return run
 
 
 def _counted(path: str):
+    """Token counts for rows (piece, block, number) that come sorted by piece: each distinct piece goes to the library once."""
+    def by_block(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        block, number, tokens = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(block, kind="stable")
+        names, starts = np.unique(block[order], return_index=True)
+        split = [np.split(x[order], starts[1:]) for x in (number, tokens)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names), *[pa.array([x.astype(np.int32).tobytes() for x in s], pa.binary()) for s in split]],
+            ["block", "numbers", "tokens"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         encode = Tokenizer.from_file(path).encode_batch
+        last, last_tokens, held = None, 0, []
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch["piece"].slice(at, 4096)
-                counts = [len(e.ids) for e in encode(part.to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part, pa.array(counts, pa.int64())], ["piece", "tokens"])
+            coded = batch["piece"].dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            known = {last: last_tokens} if last is not None else {}
+            new = [n for n in names if n not in known]
+            for a in range(0, len(new), 4096):
+                known.update(zip(new[a:a + 4096], (len(e.ids) for e in encode(new[a:a + 4096], add_special_tokens=False))))
+            counts = np.fromiter((known[n] for n in names), np.int64, len(names))
+            held.append((np.asarray(batch["block"]), np.asarray(batch["number"]), counts[np.asarray(coded.indices)]))
+            if batch.num_rows:
+                last = batch["piece"][batch.num_rows - 1].as_py()
+                last_tokens = known[last]
+            if sum(len(h[0]) for h in held) >= COUNTED:
+                yield by_block(held)
+                held = []
+        if held:
+            yield by_block(held)
     return run
 
 
+def _summed(documents: pa.Table, counts: pa.Table) -> pa.Table:
+    numbers = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(x.as_py(), np.int32) for x in counts["numbers"]]])
+    tokens = np.zeros(numbers.max(initial=-1) + 1, np.int64)
+    tokens[numbers] = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(x.as_py(), np.int32) for x in counts["tokens"]]])
+    sums = [total(x.as_py(), tokens) for x in documents["frequencies"]]
+    return pa.table([documents["_t_id"], documents["n_bytes"], pa.array(sums, pa.int64())], ["_t_id", "n_bytes", "n_tokens"])
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens), one row per row of ``docs``.
 
-    Every distinct pre-token is counted once, by the library; the counts are joined to the frequencies of pre-tokens in
-    blocks of documents (a block is a run of input rows, so a pre-token of every document is one row per block), and the
-    products are summed by row. No ids are kept anywhere. Null and empty texts have no bytes and no tokens. Rows that
-    repeat an id are counted each; null ids are kept. Rows are numbered in the input, which must be read in the same
-    order by every attempt, as files are.
+    Pre-tokens are brought together, so that the library counts each distinct one once; the counts go back to the blocks
+    of documents that asked for them, are joined there to the pre-token frequencies of every document, and summed. A
+    block is a run of input rows of bounded size, so a pre-token of every document is one row per block. No ids are kept
+    anywhere. Null and empty texts have no bytes and no tokens. Rows that repeat an id are counted each; null ids are
+    kept. Blocks are cut twice, so the input must be read in the same order by every attempt, as files are.
     """
     specials = special_strings(tokenizer_path)
-    base = docs.select(F.col(id_col).alias("_t_id"), F.coalesce(text_col, F.lit("")).alias("_t_text")).withColumn(
-        "_t_row", F.monotonically_increasing_id())
-    texts = base.select("_t_row", "_t_text")
-    counts = texts.select("_t_text").mapInArrow(_distinct(specials), "piece string").distinct().mapInArrow(
-        _counted(tokenizer_path), "piece string, tokens long")
-    used = texts.mapInArrow(_frequencies(specials), "piece string, block long, postings binary")
-    products = used.join(counts, "piece").select("block", "tokens", "postings").mapInArrow(_row_sums, "_t_row long, n_tokens long")
-    keyed = products.groupBy("_t_row").agg(F.sum("n_tokens").alias("n_tokens"))
-    sizes = base.select("_t_row", "_t_id", F.octet_length("_t_text").cast("long").alias("n_bytes"))
-    return sizes.join(keyed, "_t_row", "left").select(
-        F.col("_t_id").alias(id_col), "n_bytes", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
+    base = docs.select(
+        F.monotonically_increasing_id().alias("_t_row"), F.col(id_col).alias("_t_id"), F.coalesce(text_col, F.lit("")).alias("_t_text"))
+    kind = base.schema["_t_id"].dataType
+    partitions = shuffle_partitions(docs.sparkSession)
+    wanted = base.mapInArrow(_pieces(specials), "piece string, block long, number int")
+    counts = wanted.repartition(partitions, "piece").sortWithinPartitions("piece").mapInArrow(
+        _counted(tokenizer_path), "block long, numbers binary, tokens binary")
+    frequencies = base.mapInArrow(
+        _frequencies(specials, to_arrow_type(kind)), f"block long, _t_id {kind.simpleString()}, n_bytes long, frequencies binary")
+    return frequencies.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
+        _summed, f"_t_id {kind.simpleString()}, n_bytes long, n_tokens long").withColumnRenamed("_t_id", id_col)

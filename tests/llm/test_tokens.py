@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallymark.llm import bpe
-from tallymark.llm.token_counts import count_tokens, postings, special_strings
+from tallymark.llm.token_counts import count_tokens, packed, special_strings, total
 from tests.llm.conftest import SF, needs_data
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -74,10 +74,9 @@ def test_counts_equal_the_library(spark, docs):
     assert got == expected
 
 
-def test_postings_split_high_frequencies():
-    ids, rows = np.array([0] * 70_000 + [1, 1, 0]), np.array([0] * 70_000 + [2, 3, 1])
-    pairs, starts = postings(ids, rows, 2)
-    assert pairs.tolist() == [[0, 65_535], [0, 4_465], [1, 1], [2, 1], [3, 1]] and starts.tolist() == [0, 3, 5]
+def test_packed_frequencies():
+    tokens = np.array([3, 0, 5, 7])
+    assert total(packed(np.array([2, 0, 2, 3], np.int32)), tokens) == 20 and total(packed(np.zeros(0, np.int32)), tokens) == 0
 
 
 def test_only_plain_byte_level_files_are_accepted():
