@@ -13,6 +13,7 @@ from tallymark.llm.common import table
 from tallymark.llm.html_extract import extract
 from tallymark.llm.line_dedup import dedup_lines
 from tallymark.llm.mixing import mix
+from tallymark.llm.surrogates import replace_entities
 from tallymark.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +119,13 @@ def op2(spark: SparkSession, d: str) -> DataFrame:
     scored = toxicity_scores(spark, table(spark, d, "documents").select("doc_id", "text"), d)
     return scored.select(
         "doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+# A demonstration key; a production run passes its own secret to the operator.
+SURROGATE_KEY = b"tallymark"
+
+
+@query("op9_surrogates")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    replaced = replace_entities(table(spark, d, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    return replaced.select("doc_id", "text", F.col("n_replaced").cast("long").alias("n_replaced"), "replaced")

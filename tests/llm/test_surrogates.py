@@ -1,0 +1,78 @@
+import regex
+
+from tallymark.llm import surrogates as s
+from tests.llm.conftest import SF, needs_data
+
+KEY = b"secret"
+TEXT = (
+    "Mail Anna.Berg@mail7.example.com or ANNA.BERG@MAIL7.EXAMPLE.COM!! Call +1 (017) 555-7713 or +1 017 555 7713. Pay 4539 1488 0343 6467, "
+    "host 97.51.17.173, token = \"b44e15e09fd311c3cf3163b66d5a9875b883d8ce\". Frau Weber met Herr Karl Weber and Mrs Smith; 078-05-1120.")
+
+
+def test_kinds_are_found():
+    assert [(f.kind, f.normal) for f in s.find(TEXT)] == [
+        ("email", "anna.berg@mail7.example.com"), ("email", "anna.berg@mail7.example.com"), ("phone", "+10175557713"), ("phone", "+10175557713"),
+        ("card", "4539148803436467"), ("ip", "97.51.17.173"), ("secret", "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"),
+        ("family-latin", "weber"), ("given-m-latin", "karl"), ("family-latin", "weber"), ("family-latin", "smith"), ("ssn", "078051120")]
+    clean = "In 2024 there were 1,234,567 rows, 3.14 of 10 in version 1.2.3; GPL 3.0. call 12 34. Sir, yes."
+    assert s.find(clean) == [] and s.find("") == []
+
+
+def test_replacement_keeps_type_format_and_identity(spark):
+    rows = [(1, TEXT, "x"), (2, "again anna.berg@mail7.example.com " + "word " * 30_000, "y"), (2, "Frau Weber", None), (3, None, "n"), (4, "", "e"),
+            (None, "97.51.17.173", "z"), (1, TEXT, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, replaced string")
+    got = s.replace_entities(docs, KEY)
+    found = got.collect()
+    assert len(found) == len(rows) and dict(got.dtypes)["n_replaced"] == "int"
+    by = {(r["doc_id"], (r["text"] or "")[:5]): r for r in found}
+    first = next(r for r in found if r["doc_id"] == 1)
+    text, spans = first["text"], first["replaced"]
+    assert [text[x["start"]:x["end"]] for x in spans] == [x["surrogate"] for x in spans] and first["n_replaced"] == 12
+    for original in s.find(TEXT):
+        assert TEXT[original.start:original.end] not in text
+    mail, loud, phone, plain, card = (x["surrogate"] for x in spans[:5])
+    assert loud == mail.upper() and regex.fullmatch(r"[A-Z][a-z]{3}\.[A-Z][a-z]{3}@[a-z]{4}\d\.[a-z]{7}\.com", mail)
+    assert regex.sub(r"\D", "", phone) == regex.sub(r"\D", "", plain) and regex.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", phone)
+    assert regex.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", card) and s.luhn(card.replace(" ", "")) == 0
+    weber = {x["surrogate"] for i, x in enumerate(spans) if i in (7, 9)}
+    assert len(weber) == 1 and by[2, "Frau "]["text"] == "Frau " + weber.pop()
+    assert spans[8]["surrogate"].casefold() in {n.casefold() for n in s.GIVEN["latin", "m"]}
+    assert by[2, "again"]["text"].startswith("again " + mail.lower())
+    assert next(r for r in found if r["doc_id"] is None)["text"] == spans[5]["surrogate"]
+    assert by[3, ""]["text"] is None and by[4, ""]["text"] == "" and by[4, ""]["replaced"] == []
+    assert s.replace_entities(docs.limit(0), KEY).count() == 0
+    again = {r["text"] for r in s.replace_entities(docs, KEY).collect()}
+    assert again == {r["text"] for r in found}
+    assert {r["text"] for r in s.replace_entities(docs, b"other").collect()} != again
+
+
+def test_collisions_are_drawn_again(spark):
+    # More one-digit mails than there are digits, and given names than the list has: all stay distinct, none is real.
+    values = [("email", f"{c}@a.de") for c in "abcdefghijklmnopqrstuvwxyz"] + [("given-f-greek", f"ν{i}") for i in range(40)]
+    table = s.assign(spark.createDataFrame(values, "kind string, normal string"), KEY).collect()
+    assert {(r["kind"], r["normal"]) for r in table} == set(values)
+    made = {(r["kind"], r["new"]) for r in table}
+    assert len(made) == len(values) and not made & set(values)
+
+
+def test_scripts():
+    made = s.surrogate(KEY, "family-cyrillic", "иванова", 0)
+    assert s.script_of(made) == "cyrillic" and s.rendered("family-cyrillic", "ИВАНОВА", made).isupper()
+
+
+@needs_data
+def test_query_leaves_nothing_of_what_it_finds(spark):
+    from tallymark.llm.queries import QUERIES
+
+    before = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    after = QUERIES["op9_surrogates"](spark, SF).collect()
+    assert len(after) == len(before)
+    new_of, total = {}, 0
+    for row in after:
+        found = s.find(before[row["doc_id"]])
+        total += len(found)
+        assert row["n_replaced"] == len(found) and (found or row["text"] == before[row["doc_id"]])
+        for f, r in zip(found, row["replaced"]):
+            assert new_of.setdefault((f.kind, f.normal), r["surrogate"].lower()) == r["surrogate"].lower()
+    assert total > 0 and len(set(new_of.values())) == len(new_of)
