@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm import bpe, toxicity
+from tallymark.llm.ann import nearest
 from tallymark.llm.common import table
 from tallymark.llm.html_extract import extract
 from tallymark.llm.line_dedup import dedup_lines
 from tallymark.llm.mixing import mix
 from tallymark.llm.surrogates import replace_entities
 from tallymark.llm.token_counts import count_tokens
+from tallymark.llm.topk import exact_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -129,3 +131,15 @@ SURROGATE_KEY = b"tallymark"
 def op9(spark: SparkSession, d: str) -> DataFrame:
     replaced = replace_entities(table(spark, d, "documents").select("doc_id", "text"), SURROGATE_KEY)
     return replaced.select("doc_id", "text", F.col("n_replaced").cast("long").alias("n_replaced"), "replaced")
+
+
+@query("op6_exact_top_k")
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return exact_top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
+@query("op8_multiprobe_ann")
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
