@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm import bpe, toxicity
@@ -14,6 +14,7 @@ from tallymark.llm.common import table
 from tallymark.llm.html_extract import extract
 from tallymark.llm.line_dedup import dedup_lines
 from tallymark.llm.mixing import mix
+from tallymark.llm.ngram_join import similar_groups
 from tallymark.llm.surrogates import replace_entities
 from tallymark.llm.token_counts import count_tokens
 from tallymark.llm.topk import exact_top_k
@@ -105,14 +106,18 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
     return extract(table(spark, d, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-# Rows that stay out of the training sample, and the score from which a text counts as toxic.
-HELD_OUT = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+# Fixed value: the score from which a text counts as toxic.
 TOXIC = 0.7
 
 
+def held_out() -> Column:
+    """Rows that stay out of the training sample; a row without an id is none of them."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
 def toxicity_scores(spark: SparkSession, docs: DataFrame, d: str) -> DataFrame:
     """``docs`` with ``score``, by a model of the labelled rows of the original documents that are not held out."""
-    model = toxicity.fit(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels"), use=~HELD_OUT)
+    model = toxicity.fit(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels"), use=~held_out())
     return toxicity.score(docs, model)
 
 
@@ -120,7 +125,7 @@ def toxicity_scores(spark: SparkSession, docs: DataFrame, d: str) -> DataFrame:
 def op2(spark: SparkSession, d: str) -> DataFrame:
     scored = toxicity_scores(spark, table(spark, d, "documents").select("doc_id", "text"), d)
     return scored.select(
-        "doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
 # A demonstration key; a production run passes its own secret to the operator.
@@ -143,3 +148,8 @@ def op6(spark: SparkSession, d: str) -> DataFrame:
 def op8(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
     return nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
+@query("op7_ngram_jaccard_join")
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    return similar_groups(table(spark, d, "documents").select("doc_id", "text"))
