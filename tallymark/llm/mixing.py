@@ -76,7 +76,7 @@ def thresholds(rows: DataFrame, sources: DataFrame) -> DataFrame:
         histogram = left.groupBy("_mx_source", F.shiftright("_mx_h", shift).alias("_mx_b")).agg(
             F.sum("_mx_size").alias("_mx_s"), F.count(F.lit(1)).alias("_mx_n"))
         upto = histogram.withColumn("_mx_to", F.sum("_mx_s").over(running))
-        st = state.alias("s")
+        st = state.drop("_mx_n").alias("s")
         # The bucket in which the budget ends is the first whose running sum exceeds it.
         ends = upto.join(st, upto["_mx_source"].eqNullSafe(F.col("s._mx_source"))).where(
             F.col("_mx_done") + F.col("_mx_to") > F.col("_mx_budget")).groupBy(F.col("s._mx_source").alias("_mx_key")).agg(
