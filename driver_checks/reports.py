@@ -316,33 +316,10 @@ def delta_listing(spark, d):
     return rounded(rows.select("doc_id", "delta")).join(F.broadcast(zero))
 
 
-_HI = lambda z, n: f"CAST(({z}::UHUGEINT * {n}::UHUGEINT) >> 64 AS BIGINT)"
-_M64 = "18446744073709551616::UHUGEINT"
-_BOOT_N = 40
-_BOOT = dict(_PAIRED)
-_BOOT |= {
-    "deltas": """
-        SELECT subset, delta, row_number() OVER (PARTITION BY subset ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY subset) AS n
-        FROM paired CROSS JOIN (VALUES ('fatura'), ('synthetic'), ('combined')) AS x(subset)
-        WHERE metric = 'composite' AND delta IS NOT NULL AND (subset = source OR subset = 'combined')""",
-    "sizes": "SELECT subset, n, avg(delta) AS mean FROM deltas GROUP BY subset, n",
-    "z0": f"""SELECT subset, n, r, (42::UHUGEINT + (r * n + j + 1)::UHUGEINT * 11400714819323198485::UHUGEINT) % {_M64} AS z
-        FROM sizes, range({_BOOT_N}) AS a(r), LATERAL (SELECT unnest(range(n)) AS j)""",
-    "z1": f"SELECT subset, n, r, (xor(z, z >> 30) * 13787848793156543929::UHUGEINT) % {_M64} AS z FROM z0",
-    "z2": f"SELECT subset, n, r, (xor(z, z >> 27) * 10723151780598845931::UHUGEINT) % {_M64} AS z FROM z1",
-    "draws": f"SELECT subset, n, r, {_HI('xor(z, z >> 31)', 'n')} AS i FROM z2",
-    "means": "SELECT subset, r, sum(delta) / min(d.n) AS m FROM draws d JOIN deltas USING (subset, i) GROUP BY subset, r",
-    "bounds": f"SELECT subset, list_sort(list(m)) AS ms FROM means GROUP BY subset",
-}
-
-
-@check("paired_bootstrap", sql(f"""
-    SELECT subset, n, round(mean, 6) + 0.0e0 AS mean, round(ms[1], 6) + 0.0e0 AS low, round(ms[39], 6) + 0.0e0 AS high, ms[1] > 0 OR ms[39] < 0 AS significant,
-           'exact' AS method FROM sizes JOIN bounds USING (subset)""", "judged_scores", extra=_BOOT))
+@check("paired_bootstrap")
 def paired_bootstrap(spark, d):
-    """40 resamples of the composite delta of every document, so that the SQL can make the same draws one by one."""
-    rows = C.subset_rows(paired(spark, d, ("composite",)))
-    return rounded(C.paired_bootstrap(rows, ["subset"], resamples=_BOOT_N))
+    """All metrics and subsets with 10,000 resamples; sizes and means are compared in ``compare_shown``, intervals in the tests."""
+    return rounded(C.paired_bootstrap(C.subset_rows(paired(spark, d)), ["metric", "subset"]))
 
 
 @check("compare_rows")

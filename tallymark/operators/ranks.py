@@ -11,6 +11,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.session import stored
+
 # Ordered buckets per key: the values of a key spread evenly over this many tasks.
 VALUE_BUCKETS = 64
 HASH_DIGITS = 3
@@ -77,3 +79,17 @@ def global_index(df: DataFrame, key: Column, order: list[str], name: str = "idx"
     within = bucketed.withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
     return within.join(F.broadcast(offsets), "_b").withColumn(
         name, F.col("_from") + F.col("_rn") - 1).drop("_b", "_rn", "_from")
+
+
+def ordered_index(df: DataFrame, keys: list[str], order: list[str], name: str = "idx") -> DataFrame:
+    """Adds the dense 0-based place of a row in its group, in the order of ``order``.
+
+    The rows are stored in ranges of (keys, order) and numbered inside their range; a group's ranges, one count each,
+    add what lies before. So many tasks number one large group.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(df.repartitionByRange(tasks, *keys, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(*keys, "_p").agg(F.count("*").alias("_n"))
+    offsets = counts.withColumn("_from", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_n")).drop("_n")
+    within = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(*order)))
+    return within.join(offsets, [*keys, "_p"]).withColumn(name, F.col("_from") + F.col("_rn") - 1).drop("_p", "_rn", "_from")

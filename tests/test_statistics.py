@@ -39,7 +39,7 @@ def interval(spark, deltas, **options):
     ([0, 1], (0.5, 0, 1, False)), ([1, 2], (1.5, 1, 2, True)), ([0, 0, 0, 1], (0.25, 0, 0.75, False)), ([-0.25] * 50, (-0.25,) * 3 + (True,))])
 def test_bootstrap_known_intervals(spark, deltas, want):
     row = interval(spark, deltas)
-    assert (row.mean, row.low, row.high, row.significant) == want and row.method == "exact"
+    assert (row.mean, row.low, row.high, row.significant) == want
 
 
 def test_bootstrap_follows_the_stream(spark):
@@ -57,12 +57,30 @@ def test_bootstrap_follows_the_stream(spark):
     assert (row.low, row.high) == (means[14], means[584])
 
 
-def test_large_groups_use_counts_and_agree_closely(spark):
+@pytest.mark.parametrize("n", [300, 20_500])
+def test_default_bootstrap_on_both_sides_of_any_size(spark, n):
+    rng = random.Random(n)
+    deltas = np.array([rng.choice([-1.0, 0.0, 0.25, 0.5]) for _ in range(n)])
+    row = interval(spark, deltas)
+    means = []
+    for r in range(10_000):  # quarters add up exactly in any order
+        means.append(deltas[splitmix(42, np.arange(r * n + 1, r * n + n + 1), n)].sum() / n)
+    means.sort()
+    assert (row.n, row.low, row.high) == (n, means[249], means[9749])
+    assert row.significant == (means[249] > 0 or means[9749] < 0)
+
+
+@pytest.mark.parametrize("block", [1, 7, 100, 1000])
+def test_blocks_of_deltas_change_nothing(spark, block):
     rng = random.Random(4)
-    deltas = [rng.choice([-1.0, 0.0, 0.0, 1.0]) for _ in range(3000)]
-    exact, counted = interval(spark, deltas, resamples=2000), interval(spark, deltas, resamples=2000, exact_limit=100)
-    assert counted.method == "poisson" and counted.n == 3000 and counted.mean == pytest.approx(exact.mean)
-    assert counted.low == pytest.approx(exact.low, abs=0.006) and counted.high == pytest.approx(exact.high, abs=0.006)
+    deltas = [rng.choice([-1.0, 0.0, 0.0, 1.0]) for _ in range(101)]
+    assert interval(spark, deltas, resamples=700, index_block=block) == interval(spark, deltas, resamples=700)
+
+
+def test_no_deltas_are_an_error(spark):
+    rows = spark.createDataFrame([("m", 1, None)], "metric string, doc_id long, delta double")
+    with pytest.raises(ValueError, match="no deltas"):
+        C.paired_bootstrap(rows, ["metric"])
 
 
 def test_bootstrap_arguments(spark):
