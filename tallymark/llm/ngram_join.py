@@ -12,18 +12,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from tallymark.llm.components import components
 from tallymark.session import stored
 
 # Words a task remembers, and rows it hands over at once.
-MEMO, ROWS = 500_000, 256
+MEMO, ROWS = 250_000, 256
 # Shingles in at most so many sets are rare (indexed alone), in at most so many frequent (in pairs), else very frequent
 # (in triples). Sets of fewer than 2**SMALL shingles index all of theirs alone.
 RARE, FREQUENT, SMALL = 32, 1_024, 4
-# Passes that try one candidate per set before all that is left is tried.
-TRIES = 3
+# Passes that try one candidate per set before all that is left is tried, and sets of a cell that are met at once.
+TRIES, PART = 2, 512
 
 
 class WordHashes(dict):
@@ -59,8 +58,8 @@ def spare(n, num: int, den: int):
     return n - -(-num * n // den)
 
 
-def _sets(width: int, num: int, den: int, kind: pa.DataType, prefixes: bool):
-    """(id, n, node, check and, with ``prefixes``, the prefix in hash order) of every text."""
+def _sets(width: int, num: int, den: int):
+    """(id, n, node, check, prefix in hash order) of every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
@@ -68,12 +67,10 @@ def _sets(width: int, num: int, den: int, kind: pa.DataType, prefixes: bool):
                 part = batch.slice(at, ROWS)
                 sets = [shingles(x.as_py() or "", width, known) for x in part["_j_text"]]
                 digests = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
-                columns = [part["_j_id"], pa.array([len(s) for s in sets], pa.int64()), *[pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)]]
-                names = ["_j_id", "n", "node", "check"]
-                if prefixes:
-                    columns.append(pa.array([s[:2 * spare(len(s), num, den) + 1] for s in sets], pa.list_(pa.int64())))
-                    names.append("prefix")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield pa.RecordBatch.from_arrays(
+                    [part["_j_id"], pa.array([len(s) for s in sets], pa.int64()), *[pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)],
+                     pa.array([s[:2 * spare(len(s), num, den) + 1] for s in sets], pa.list_(pa.int64()))],
+                    ["_j_id", "n", "node", "check", "prefix"])
     return run
 
 
@@ -148,37 +145,78 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         den * F.col("c") >= num * (F.size("ga") + F.size("gb") - F.col("c"))).select("a", "b")
 
 
+def _met(num: int, den: int):
+    """(a, b): for every asking node one link to each label that a part of a cell holds, found on whole sets."""
+    def run(held: pa.Table, asking: pa.Table) -> pa.Table:
+        out_a, out_b = [], []
+        if held.num_rows and asking.num_rows:
+            node, label = held["node"].to_numpy(), held["label"].to_numpy()
+            grams = held["grams"].combine_chunks()
+            size = np.asarray(grams.value_lengths())
+            flat, owner = grams.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for a, own, mine in zip(asking["node"].to_pylist(), asking["label"].to_pylist(), asking["grams"]):
+                mine = mine.values.to_numpy()
+                low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+                hits = np.repeat(low, high - low) + np.arange((high - low).sum()) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+                common = np.bincount(owner[hits], minlength=len(size))
+                linked_to = np.flatnonzero((den * common >= num * (size + len(mine) - common)) & (label != own))
+                _, first = np.unique(label[linked_to], return_index=True)
+                out_a += [a] * len(first)
+                out_b += node[linked_to[first]].tolist()
+        return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+    return run
+
+
+def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) with the labels that ``links`` (a, b) join made one."""
+    named = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(
+        labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    joined = components(named.where(F.col("a") != F.col("b"))).select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return stored(labels.join(joined, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+
+
 def linked(index: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, label) of all nodes with links, from (sig, node, n): the components of the similarity graph.
 
     Only components are asked for, so pairs inside one that is known already need no look. First every node tries one
     node at a time that shares the most signatures with it, out of those that stand for the largest component of a
-    signature; then every pair of different components under a signature is tried. No pair within a group of near
-    copies is made once the group hangs together, and no link between components is missed.
+    signature. The node tried first names a node's cell. Then every node outside the largest component of one of its
+    signatures meets, on whole sets, all nodes of other components in the cells that share a signature with it. So all
+    candidates left are verified, without a row per pair, and cells are met in parts of bounded size.
     """
     labels = stored(index.select("node").distinct().select("node", F.col("node").alias("label")), "labels")
-    fits = lambda a, b: den * F.least(a, b) >= num * F.greatest(a, b)
+    cells = None
     for attempt in range(TRIES + 1):
         now = index.join(labels, "node")
         sizes = now.groupBy("sig", "label").agg(
             F.count(F.lit(1)).alias("c"), F.min_by(F.struct("node", "n"), F.xxhash64(F.lit(attempt), "node")).alias("stand"))
         largest = sizes.groupBy("sig").agg(F.max(F.struct("c", "label", "stand")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        mixed = stored(now.join(largest.select("sig", F.col("top.label").alias("major"), "top.stand"), "sig"), "mixed")
+        mixed = now.join(largest.select("sig", F.col("top.label").alias("major"), "top.stand"), "sig")
         minor = mixed.where(F.col("label") != F.col("major"))
         if attempt < TRIES:
-            tried = minor.where(fits(F.col("n"), F.col("stand.n"))).groupBy(F.col("node").alias("a"), F.col("stand.node").alias("b")).agg(
-                F.count(F.lit(1)).alias("c"))
-            pairs = tried.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+            tried = minor.where(den * F.least("n", "stand.n") >= num * F.greatest("n", "stand.n")).groupBy(
+                F.col("node").alias("a"), F.col("stand.node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+            pairs = stored(tried.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")), "tries")
+            if cells is None:
+                cells = stored(labels.join(pairs.select(F.col("a").alias("node"), "b"), "node", "left").select(
+                    "node", F.coalesce("b", "node").alias("cell")), "cells")
+            links = stored(verified(pairs, sets, num, den), "links")
         else:
-            x, y = minor.alias("x"), mixed.alias("y")
-            crossed = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") != F.col("y.label")) & fits(F.col("x.n"), F.col("y.n")))
-            pairs = crossed.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        links = stored(verified(pairs, sets, num, den), "links")
+            near = mixed.select("sig", "node").join(cells, "node").select("sig", "cell").distinct()
+            asking = minor.select("sig", "node").join(near, "sig").select("node", "cell").distinct()
+            known = labels.join(sets.select("node", "grams"), "node")
+            parts = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART).cast("long").alias("parts"))
+            left = known.join(cells.join(parts, "cell"), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+            right = known.join(asking.join(parts, "cell").withColumn(
+                "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))), "node")
+            columns = ("cell", "part", "node", "label", "grams")
+            held, asks = (x.select(*[F.col(c).alias(f"{c}_") for c in columns]).toDF(*columns) for x in (left, right))
+            links = stored(held.groupBy("cell", "part").cogroup(asks.groupBy("cell", "part")).applyInArrow(
+                _met(num, den), "a long, b long"), "links")
         if not links.isEmpty():
-            named = links.join(labels.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(
-                labels.withColumnsRenamed({"node": "b", "label": "lb"}), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-            merged = components(named.where(F.col("a") != F.col("b"))).select(F.col("node").alias("label"), F.col("label").alias("new"))
-            labels = stored(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+            labels = merged_labels(labels, links)
     return labels
 
 
@@ -201,12 +239,12 @@ def similar_groups(
         raise ValueError("the similarity must lie between 0.5 and 1")
     base = docs.select(F.col(id_col).alias("_j_id"), F.col(text_col).alias("_j_text"))
     kind = base.schema["_j_id"].dataType
-    columns = f"_j_id {kind.simpleString()}, n long, node long, check long"
-    members = stored(base.mapInArrow(_sets(width, num, den, to_arrow_type(kind), False), columns), "members")
-    nodes = base.mapInArrow(_sets(width, num, den, to_arrow_type(kind), True), columns + ", prefix array<long>").where(
-        "n > 0 and _j_id is not null").groupBy("node", "check").agg(
-        F.min_by(F.struct("n", "prefix"), "_j_id").alias("s"), F.min("_j_id").alias("first"))
-    grams = nodes.select("node", F.col("first"), F.col("s.n").alias("n"), F.explode("s.prefix").alias("gram"))
+    members = stored(base.mapInArrow(
+        _sets(width, num, den), f"_j_id {kind.simpleString()}, n long, node long, check long, prefix array<long>"), "members")
+    nodes = stored(members.where("n > 0 and _j_id is not null").groupBy("node", "check").agg(
+        F.min_by(F.struct("n", "prefix"), "_j_id").alias("s"), F.min("_j_id").alias("first")).select(
+        "node", "first", F.col("s.n").alias("n"), "s.prefix"), "nodes")
+    grams = nodes.select("node", "first", "n", F.explode("prefix").alias("gram"))
     shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
     # Of a prefix of 2 * spare + 1 in hash order, linked sets share as many as the smaller one's spare, plus 1.
     least = spare_sql(ceil_sql(F.col("n"), num, den), num, den) + 1
