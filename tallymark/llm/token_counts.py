@@ -19,9 +19,9 @@ from tallymark.llm.common import shuffle_partitions
 # Fixed value: the pattern of byte-level pre-tokenizers.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # A block of documents ends when it holds so many distinct pre-tokens, occurrences, or rows.
-PIECES, HELD, BLOCK_ROWS = 400_000, 8_000_000, 1 << 16
+PIECES, HELD, BLOCK_ROWS = 200_000, 3_000_000, 1 << 14
 # Counts are handed over by block after so many (pre-token, block) rows.
-COUNTED = 1_000_000
+COUNTED = 300_000
 
 
 def special_strings(path: str) -> list[str]:
