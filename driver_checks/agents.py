@@ -166,10 +166,10 @@ _DICT = " UNION ALL ".join(
     SELECT printed, code, reason, count(*) AS n FROM (
       SELECT printed,
         CASE WHEN tr = '' THEN NULL WHEN u IN ({', '.join(text_sql(c) for c in ISO_CODES)}) THEN u ELSE c END AS code,
-        CASE WHEN tr = '' THEN 'Empty text.' WHEN u IN ({', '.join(text_sql(c) for c in ISO_CODES)}) THEN '''' || tr || ''' is an ISO 4217 code.'
-             WHEN c IS NOT NULL THEN '''' || tr || ''' denotes ' || c || '.' WHEN r IS NOT NULL THEN 'Ambiguous: ' || r
-             WHEN regexp_full_match(u, '[A-Z]{{3}}') THEN '''' || tr || ''' looks like a code but is not in the supported ISO 4217 list.'
-             ELSE 'Unknown currency text ''' || tr || '''.' END AS reason FROM hit) GROUP BY ALL""")
+        CASE WHEN tr = '' THEN 'No text.' WHEN u IN ({', '.join(text_sql(c) for c in ISO_CODES)}) THEN '''' || tr || ''' is a known code.'
+             WHEN c IS NOT NULL THEN '''' || tr || ''' stands for ' || c || '.' WHEN r IS NOT NULL THEN 'Several readings: ' || r
+             WHEN regexp_full_match(u, '[A-Z]{{3}}') THEN '''' || tr || ''' has the form of a code that is not known.'
+             ELSE 'No reading for ''' || tr || '''.' END AS reason FROM hit) GROUP BY ALL""")
 def normalize_currency_(spark, d):
     words = F.array(*[F.lit(w) for w in _WORDS])
     item = t.table(spark, d, "lineitem").select("l_linenumber", F.element_at(
@@ -333,7 +333,7 @@ def doc_key_(spark, d):
     """Scenario names back to document keys: ids have one slash and no dot before it."""
     rows = t.table(spark, d, "pages").select("page_id", "url", F.concat(F.lit("p/"), F.replace("url", F.lit("/"), F.lit("|"))).alias("id"))
     back = doc_key(scenario_of(F.col("id")))
-    return rows.select("page_id", F.replace(F.substring(back, 3, 100000), F.lit("|"), F.lit("/")).alias("key"))
+    return rows.select("page_id", F.replace(F.substr(back, F.lit(3)), F.lit("|"), F.lit("/")).alias("key"))
 
 
 # ---------- replay ----------
@@ -379,7 +379,7 @@ def score_export(spark, d):
 
 
 @check("snapshot_sync", """
-    SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, 'iee-' || substr(sha256(CAST(coalesce(a.doc_id, b.doc_id) AS VARCHAR)), 1, 24) AS item_id,
+    SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, 'item-' || substr(sha256(CAST(coalesce(a.doc_id, b.doc_id) AS VARCHAR)), 1, 24) AS item_id,
            CASE WHEN a.doc_id IS NULL THEN 'ARCHIVED' ELSE 'ACTIVE' END AS status
     FROM documents a FULL JOIN (SELECT doc_id FROM labels UNION ALL SELECT -1 - doc_id FROM labels) b USING (doc_id)""")
 def snapshot_sync(spark, d):
@@ -387,7 +387,7 @@ def snapshot_sync(spark, d):
 
     labels = t.table(spark, d, "labels").select("doc_id")
     before = labels.unionAll(labels.select((-1 - F.col("doc_id")).alias("doc_id")))
-    return X.snapshot_sync(t.table(spark, d, "documents"), before.withColumn("item_id", item_id(F.col("doc_id"))))
+    return X.snapshot_sync(t.table(spark, d, "documents"), before.withColumn("item_id", item_id(F.col("doc_id"), "item-")), "item-")
 
 
 # ---------- estimates ----------

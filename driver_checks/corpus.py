@@ -55,7 +55,7 @@ def annotations(spark, d):
     fixed = F.lit('{"TABLE":[[{"bbox":[[27.0,459.9],[527.0,387.9]]}]],"INVOICE_INFO":[],"LOGO":{"bbox":[[20,841],[110,751]]},"OTHER":')
     return golden.select(
         F.expr("concat('Template', 1 + doc_id % 50, '_Instance', doc_id)").alias("name"), "doc_id",
-        F.concat(fixed, ocr, F.lit(","), F.substring(body, 2, 1_000_000)).alias("raw"))
+        F.concat(fixed, ocr, F.lit(","), F.substr(body, F.lit(2))).alias("raw"))
 
 
 _M = "({c} // 100) || '.' || lpad(CAST({c} % 100 AS VARCHAR), 2, '0')"
@@ -63,14 +63,14 @@ _ANN = {
     "ann": f"""SELECT *, (['USD', '$', 'EUR'])[doc_id % 3 + 1] AS cur, CASE WHEN doc_id % 3 = 2 THEN 'EUR' ELSE 'USD' END AS iso,
         'DISCOUNT(5.00%): (-) ' || {_M.format(c='discount')} AS discount_text, strftime(invoice_date, '%d-%b-%Y') AS date_text FROM golden""",
     "reasons": """SELECT *, CASE
-        WHEN doc_id % 43 = 5 THEN 'DATE is labelled with a due date: '' due date : ' || date_text || '''.'
-        WHEN doc_id % 41 = 7 THEN CASE WHEN iso = 'EUR' THEN 'Conflicting currencies: EUR, USD.' ELSE 'Conflicting currencies: USD, EUR.' END
-        WHEN doc_id % 53 = 11 THEN 'SELLER_ADDRESS: no street + city line in ''Address:12 Main St''.'
-        WHEN doc_id % 47 = 3 THEN 'DUE_DATE: no date in ''Due Date : soon''.'
-        WHEN doc_id % 37 = 2 THEN 'DISCOUNT: no amount in ''DISCOUNT : none''.' END AS reject_reason0 FROM ann""",
+        WHEN doc_id % 43 = 5 THEN 'DATE carries a due-date label: '' due date : ' || date_text || '''.'
+        WHEN doc_id % 41 = 7 THEN CASE WHEN iso = 'EUR' THEN 'Several currencies printed: EUR, USD.' ELSE 'Several currencies printed: USD, EUR.' END
+        WHEN doc_id % 53 = 11 THEN 'SELLER_ADDRESS: street and city not found in ''Address:12 Main St''.'
+        WHEN doc_id % 47 = 3 THEN 'DUE_DATE: no readable date in ''Due Date : soon''.'
+        WHEN doc_id % 37 = 2 THEN 'DISCOUNT: no number in ''DISCOUNT : none''.' END AS reject_reason0 FROM ann""",
     # The first amount key present decides the order in which currencies are listed.
     "converted": """SELECT *, CASE WHEN doc_id % 43 <> 5 AND doc_id % 41 = 7 AND doc_id % 10 = 9 THEN
-          CASE WHEN iso = 'EUR' THEN 'Conflicting currencies: USD, EUR.' ELSE 'Conflicting currencies: EUR, USD.' END ELSE reject_reason0 END AS reject_reason
+          CASE WHEN iso = 'EUR' THEN 'Several currencies printed: USD, EUR.' ELSE 'Several currencies printed: EUR, USD.' END ELSE reject_reason0 END AS reject_reason
         FROM reasons""",
 }
 

@@ -206,7 +206,8 @@ def line_match(spark, d):
         rows = scored.select(*KEYS, F.posexplode(column).alias("idx", "l"))
         return rows.select(*KEYS, "idx", "l.description", "l.amount")
 
-    return L.match_line_tables(side("expected.lineItems"), side("predicted.lineItems"), KEYS, tol=CENT).select(
+    return L.match_line_tables(side("expected.lineItems"), side("predicted.lineItems"), KEYS, tol=CENT,
+                               documents=scored.where(F.col("expected.lineItems").isNotNull())).select(
         *KEYS, "matched", "n_golden", "n_predicted")
 
 

@@ -63,7 +63,7 @@ def _unboxed(boxed: Column) -> Column:
     return F.when(whole, F.try_variant_get(boxed, "$[0]", "variant"))
 
 
-def _whole_json(text: Column) -> Column:
+def whole_json(text: Column) -> Column:
     return _unboxed(_boxed(text))
 
 
@@ -81,8 +81,9 @@ def _amount(v: Column) -> Column:
 
 
 def _bad_amount(v: Column) -> Column:
-    """True when a value is present but is neither a number nor a numeric string."""
-    return (_kind(v) != "VOID") & (_kind(v).rlike("^(BOOLEAN|OBJECT|ARRAY)") | _amount(v).isNull())
+    """True when a value is present but is neither a number nor a string that holds a number and nothing else."""
+    padded = (_kind(v) == "STRING") & ~F.try_variant_get(v, "$", "string").rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$")
+    return (_kind(v) != "VOID") & (_kind(v).rlike("^(BOOLEAN|OBJECT|ARRAY)") | _amount(v).isNull() | padded)
 
 
 def _part(v: Column, f: str) -> Column:
@@ -154,7 +155,7 @@ def with_invoice(df: DataFrame, text_col: str) -> DataFrame:
 
 def warnings_of(text: Column) -> Column:
     """String elements of the top-level ``warnings`` array; empty when there is none or the text is not JSON."""
-    items = F.try_variant_get(_whole_json(text), "$.warnings", "array<variant>")
+    items = F.try_variant_get(whole_json(text), "$.warnings", "array<variant>")
     strings = F.filter(items, lambda v: _kind(v) == "STRING")
     return F.coalesce(
         F.transform(strings, lambda v: F.try_variant_get(v, "$", "string")), F.array().cast("array<string>")
@@ -167,7 +168,7 @@ def parse_verdict(text: Column) -> Column:
     keyed = F.regexp_replace(
         F.regexp_replace(body, r'"(?i:reason)"(\s*:)', '"reason"$1'), r'"(?i:equivalent)"(\s*:)', '"equivalent"$1'
     )
-    root = _whole_json(keyed)
+    root = whole_json(keyed)
     flag = F.try_variant_get(root, "$.equivalent", "variant")
     word = F.lower(trim_ws(F.try_variant_get(flag, "$", "string")))
     equivalent = F.when(

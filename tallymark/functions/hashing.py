@@ -23,12 +23,8 @@ def pair_id(field: Column, golden: Column, predicted: Column) -> Column:
     return F.concat(F.lit("p-"), F.substring(digest, 1, 12))
 
 
-# Fixed value: prefix of snapshot item ids.
-ITEM_PREFIX = "iee-"
-
-
-def item_id(doc_id: Column) -> Column:
-    return F.concat(F.lit(ITEM_PREFIX), F.substring(F.sha2(doc_id.cast("string"), 256), 1, 24))
+def item_id(doc_id: Column, prefix: str) -> Column:
+    return F.concat(F.lit(prefix), F.substring(F.sha2(doc_id.cast("string"), 256), 1, 24))
 
 
 def hash_draw(seed: int, key: Column, counter: Column | int, n: Column | int) -> Column:

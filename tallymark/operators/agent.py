@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.amounts import TOLERANCE, amount_match, recomputed
-from tallymark.functions.answers import warnings_of, with_invoice
+from tallymark.functions.answers import warnings_of, whole_json, with_invoice
 from tallymark.functions.text import currency_marker, not_blank, trim_ws
-from tallymark.schemas import TOTALS_RESULT
+from tallymark.schemas import AMOUNT
 
 # Tool names, the warning prefix, and the number of tool rounds a run may take.
 VALIDATE_TOTALS, NORMALIZE_CURRENCY = "validate_totals", "normalize_currency"
@@ -37,9 +37,25 @@ def final_answer(messages: DataFrame, keys=("doc_id",)) -> DataFrame:
 
 
 def tool_results_join(tool_calls: DataFrame, tool_results: DataFrame, keys=("doc_id",)) -> DataFrame:
-    """Calls with ``consistent`` and ``reconciled_total`` of their result; a result that cannot be read gives nulls."""
-    read = tool_results.withColumn("_r", F.from_json("result", TOTALS_RESULT)).select(
-        *keys, "call_id", F.col("_r.consistent").alias("consistent"), F.col("_r.reconciledTotal").alias("reconciled_total"))
+    """Calls with ``consistent`` and ``reconciled_total`` of their result; a result that cannot be read as a whole gives nulls.
+
+    Property names are read whatever their case, the last of a name counts, and one value of a wrong type spoils the
+    result. Of several results of one call the smallest text counts, so a call stays one row.
+    """
+    one = tool_results.groupBy(*keys, "call_id").agg(F.min("result").alias("result"))
+    entries = F.map_entries(F.try_variant_get(whole_json(F.col("result")), "$", "map<string,variant>"))
+    parts = one.withColumn("_e", entries)
+
+    def part(name: str) -> Column:
+        return F.try_element_at(F.filter("_e", lambda e: F.lower(e["key"]) == name), F.lit(-1))["value"]
+
+    parts = parts.withColumns({f"_{n}": part(n) for n in ("consistent", "difference", "reconciledtotal")})
+    kinds = {n: F.coalesce(F.schema_of_variant(f"_{n}"), F.lit("VOID")) for n in ("consistent", "difference", "reconciledtotal")}
+    number = r"^(VOID|BIGINT|DECIMAL.*|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)$"
+    sound = kinds["consistent"].isin("BOOLEAN", "VOID") & kinds["difference"].rlike(number) & kinds["reconciledtotal"].rlike(number)
+    read = parts.select(
+        *keys, "call_id", F.when(sound, F.try_variant_get("_consistent", "$", "boolean")).alias("consistent"),
+        F.when(sound, F.try_variant_get("_reconciledtotal", "$", AMOUNT.simpleString())).alias("reconciled_total"))
     return tool_calls.join(read, [*keys, "call_id"], "left")
 
 

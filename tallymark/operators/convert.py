@@ -20,9 +20,11 @@ CITY_LINE = r"^(.+?),?\s+([A-Z]{2})\s+(\d{5})\s+([A-Z]{2})$"
 
 
 def spans_of(raw: Column) -> Column:
-    """MAP<key, SPAN> of an annotation document; keys that hold anything but an object are left out."""
+    """MAP<key, SPAN> of an annotation document; of a repeated key the last entry counts, and only objects are kept."""
     parts = F.map_entries(F.from_json(raw, "map<string,string>"))
-    objects = F.filter(parts, lambda e: F.startswith(F.ltrim(e["value"]), F.lit("{")))
+    keys = F.reverse(F.transform(parts, lambda e: e["key"]))
+    last = F.filter(parts, lambda e, i: F.array_position(keys, e["key"]) == F.size(parts) - i)
+    objects = F.filter(last, lambda e: F.startswith(F.ltrim(e["value"]), F.lit("{")))
     return F.map_from_entries(F.transform(objects, lambda e: F.struct(
         e["key"].alias("key"), F.from_json(e["value"], SPAN).alias("value"))))
 
@@ -151,19 +153,19 @@ def convert_annotations(annotations: DataFrame) -> DataFrame:
 
     block, seller, customer = F.col("_block"), F.col("_seller"), F.col("_customer")
     reason = F.coalesce(
-        F.when(s.isNull(), F.lit("The annotation is not a JSON object.")),
+        F.when(s.isNull(), F.lit("The text holds no JSON object.")),
         F.when(F.startswith(F.lower(trim_ws(F.col("_DATE"))), F.lit("due")), F.concat(
-            F.lit("DATE is labelled with a due date: '"), F.col("_DATE"), F.lit("'."))),
-        F.concat(F.col("_bad_tax.key"), F.lit(": no amount in '"), F.col("_bad_tax.text"), F.lit("'.")),
+            F.lit("DATE carries a due-date label: '"), F.col("_DATE"), F.lit("'."))),
+        F.concat(F.col("_bad_tax.key"), F.lit(": no number in '"), F.col("_bad_tax.text"), F.lit("'.")),
         F.when(F.size("_currencies") > 1, F.concat(
-            F.lit("Conflicting currencies: "), F.array_join("_currencies", ", "), F.lit("."))),
+            F.lit("Several currencies printed: "), F.array_join("_currencies", ", "), F.lit("."))),
         F.when(F.col("_SELLER_ADDRESS").isNotNull() & seller.isNull(), F.concat(
-            F.lit("SELLER_ADDRESS: no street + city line in '"), F.col("_SELLER_ADDRESS"), F.lit("'."))),
-        F.when(block.isNotNull() & customer["name"].isNull(), F.concat(F.lit("Empty party block '"), block, F.lit("'."))),
+            F.lit("SELLER_ADDRESS: street and city not found in '"), F.col("_SELLER_ADDRESS"), F.lit("'."))),
+        F.when(block.isNotNull() & customer["name"].isNull(), F.concat(F.lit("Party block without a name '"), block, F.lit("'."))),
         F.when(block.isNotNull() & customer["address"].isNull(), F.concat(
-            F.lit("BUYER: no street + city line in '"), block, F.lit("'."))),
-        *[failed(f, label, c, "date") for f, (label, c) in dates.items()],
-        *[failed(f, label, c, "amount") for f, (label, c) in amounts.items()],
+            F.lit("BUYER: street and city not found in '"), block, F.lit("'."))),
+        *[failed(f, label, c, "readable date") for f, (label, c) in dates.items()],
+        *[failed(f, label, c, "number") for f, (label, c) in amounts.items()],
     )
     vendor = F.when(F.col("_seller_name").isNotNull() | seller.isNotNull(), F.struct(
         F.col("_seller_name").alias("name"), seller.alias("address")))
@@ -200,13 +202,21 @@ def _joined(lines: Column) -> Column:
 
 
 def reading_order(spans: Column) -> Column:
-    """Text of the boxed spans from top to bottom (y grows upwards), left to right, then by text."""
-    boxed = F.filter(F.map_entries(spans), lambda e: (e["key"] != "OTHER") & e["value"]["text"].isNotNull()
-                     & e["value"]["bbox"].isNotNull() & not_blank(e["value"]["text"]))
+    """Text of the boxed spans from top to bottom (y grows upwards), left to right, then by text.
+
+    A box without two corners of two numbers has no place, so its span is left out.
+    """
+    def corner(e, which, axis):
+        return F.get(F.get(e["value"]["bbox"], F.lit(which)), F.lit(axis))
+
+    def has_place(e):
+        return (e["value"]["text"].isNotNull() & not_blank(e["value"]["text"])
+                & F.forall(F.array(*[corner(e, c, x) for c in (0, 1) for x in (0, 1)]), lambda v: v.isNotNull()))
+
+    boxed = F.filter(F.map_entries(spans), lambda e: (e["key"] != "OTHER") & F.coalesce(has_place(e), F.lit(False)))
 
     def placed(e):
-        a, b = e["value"]["bbox"][0], e["value"]["bbox"][1]
-        return F.struct((-F.greatest(a[1], b[1])).alias("up"), F.least(a[0], b[0]).alias("left"),
+        return F.struct((-F.greatest(corner(e, 0, 1), corner(e, 1, 1))).alias("up"), F.least(corner(e, 0, 0), corner(e, 1, 0)).alias("left"),
                         trim_ws(e["value"]["text"]).alias("text"))
 
     return _joined(F.transform(F.array_sort(F.transform(boxed, placed)), lambda x: x["text"]))

@@ -62,19 +62,19 @@ def normalize_currency(
     prepared = prepared.withColumn("_one", F.coalesce(singular, F.col("_key")))
     for name, on in (("a", "_key"), ("b", "_one")):
         side = words.select(F.col("k").alias(on), F.struct("c", "r").alias(f"_{name}"))
-        prepared = prepared.join(F.broadcast(side), on, "left")
+        prepared = prepared.join(side, on, "left")
 
     upper, t = F.upper("_t"), F.col("_t")
     hit = F.coalesce("_a", "_b")
     is_code = upper.isin(*codes)
     code = F.when(t == "", None).when(is_code, upper).otherwise(hit["c"])
     reason = (
-        F.when(t == "", "Empty text.")
-        .when(is_code, F.concat(F.lit("'"), t, F.lit("' is an ISO 4217 code.")))
-        .when(hit["c"].isNotNull(), F.concat(F.lit("'"), t, F.lit("' denotes "), hit["c"], F.lit(".")))
-        .when(hit["r"].isNotNull(), F.concat(F.lit("Ambiguous: "), hit["r"]))
+        F.when(t == "", "No text.")
+        .when(is_code, F.concat(F.lit("'"), t, F.lit("' is a known code.")))
+        .when(hit["c"].isNotNull(), F.concat(F.lit("'"), t, F.lit("' stands for "), hit["c"], F.lit(".")))
+        .when(hit["r"].isNotNull(), F.concat(F.lit("Several readings: "), hit["r"]))
         .when(upper.rlike("^[A-Z]{3}$"), F.concat(
-            F.lit("'"), t, F.lit("' looks like a code but is not in the supported ISO 4217 list.")))
-        .otherwise(F.concat(F.lit("Unknown currency text '"), t, F.lit("'.")))
+            F.lit("'"), t, F.lit("' has the form of a code that is not known.")))
+        .otherwise(F.concat(F.lit("No reading for '"), t, F.lit("'.")))
     )
     return prepared.withColumns({"code": code, "reason": reason}).select(*df.columns, "code", "reason")

@@ -41,7 +41,8 @@ def replay_join(requests: DataFrame, responses: DataFrame) -> tuple[DataFrame, D
     keyed = requests.withColumn("fingerprint", request_fingerprint()).drop("model", "messages", "options", "tools")
     stored = responses.groupBy("fingerprint").agg(F.min(F.struct("response_text", "latency_ms")).alias("r")).select(
         "fingerprint", "r.*")
-    return keyed.join(stored, "fingerprint"), keyed.join(stored.select("fingerprint"), "fingerprint", "left_anti")
+    joined = keyed.join(stored.withColumn("_hit", F.lit(True)), "fingerprint", "left")
+    return joined.where("_hit").drop("_hit"), joined.where("_hit IS NULL").select(*keyed.columns)
 
 
 # ---------- export ----------
@@ -59,12 +60,12 @@ def score_export(doc_metrics: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
     return numbered.withColumn("batch", F.expr(f"_i div {size}")).drop("_i")
 
 
-def snapshot_sync(current: DataFrame, previous: DataFrame) -> DataFrame:
+def snapshot_sync(current: DataFrame, previous: DataFrame, prefix: str) -> DataFrame:
     """(doc_id, item_id, status): documents of now are ACTIVE under a fixed id, vanished ones ARCHIVED, none deleted."""
     now = current.select("doc_id").distinct().withColumn("_now", F.lit(True))
     before = previous.select("doc_id", F.col("item_id").alias("_old"))
     return now.join(before, "doc_id", "full_outer").select(
-        "doc_id", F.when(F.col("_now"), item_id(F.col("doc_id"))).otherwise(F.col("_old")).alias("item_id"),
+        "doc_id", F.when(F.col("_now"), item_id(F.col("doc_id"), prefix)).otherwise(F.col("_old")).alias("item_id"),
         F.when(F.col("_now"), "ACTIVE").otherwise("ARCHIVED").alias("status"))
 
 

@@ -53,13 +53,15 @@ def parsed_verdicts(verdicts: DataFrame) -> DataFrame:
 def verdict_join(outcomes: DataFrame, verdicts: DataFrame, in_input: Column) -> DataFrame:
     """Adds ``judged_outcome``, ``judge_state`` and ``judged_score`` to name rows (field, golden, predicted, outcome).
 
-    Only gray-zone rows can carry a pair id, so every other row leaves the join without meeting a verdict.
+    Only the asked rows, a small part, meet the verdicts; the others are not shuffled and no null key is.
     """
     mismatch = F.col("outcome") == MISMATCH
-    asked = mismatch & in_input
-    keyed = outcomes.withColumn("_asked", asked).withColumn(
+    keyed = outcomes.withColumn("_asked", F.coalesce(mismatch & in_input, F.lit(False))).withColumn(
         "pair_id", F.when(F.col("_asked"), pair_id(F.col("field"), F.col("golden"), F.col("predicted"))))
-    joined = keyed.join(parsed_verdicts(verdicts), "pair_id", "left")
+    asked = keyed.where("_asked").join(parsed_verdicts(verdicts), "pair_id", "left")
+    rest = keyed.where("NOT _asked").withColumns({
+        "equivalent": F.lit(None).cast("boolean"), "verdict_reason": F.lit(None).cast("string")})
+    joined = asked.unionByName(rest)
     state = (
         F.when(~mismatch, NOT_NEEDED)
         .when(~F.col("_asked"), NOT_IN_INPUT)
@@ -102,6 +104,8 @@ def confusion_kappa(ratings: DataFrame, human: str = "human", judge: str = "judg
     counts = ratings.agg(
         F.count_if(h & j).alias("tt"), F.count_if(h & ~j).alias("tf"),
         F.count_if(~h & j).alias("ft"), F.count_if(~h & ~j).alias("ff"))
+    pairs = F.col("tt") + F.col("tf") + F.col("ft") + F.col("ff")
+    counts = counts.withColumn("tt", F.when(pairs == 0, F.raise_error(F.lit("there are no pairs to rate"))).otherwise(F.col("tt")))
     n = F.nullif((F.col("tt") + F.col("tf") + F.col("ft") + F.col("ff")).cast("double"), F.lit(0.0))
     chance = (
         (F.col("tt") + F.col("tf")) / n * ((F.col("tt") + F.col("ft")) / n)

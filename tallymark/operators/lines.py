@@ -73,11 +73,13 @@ def line_items(scored: DataFrame, tol=TOLERANCE) -> DataFrame:
 
 
 def match_line_tables(
-    golden: DataFrame, predicted: DataFrame, keys: list[str], min_overlap: float = MIN_OVERLAP, tol=TOLERANCE
+    golden: DataFrame, predicted: DataFrame, keys: list[str], min_overlap: float = MIN_OVERLAP, tol=TOLERANCE,
+    documents: DataFrame | None = None,
 ) -> DataFrame:
     """(keys, n_golden, n_predicted, matched) for line tables with columns (keys, idx, description, amount).
 
-    A line without an amount is counted but never matches. Documents absent from ``golden`` are absent from the result.
+    A line without an amount is counted but never matches. ``documents`` lists by ``keys`` those with annotated lines,
+    which may be none; without it, documents absent from ``golden`` are absent from the result.
     """
     sides = golden.select(*keys, F.lit(True).alias("is_golden"), "idx", "description", "amount").unionByName(
         predicted.select(*keys, F.lit(False).alias("is_golden"), "idx", "description", "amount"))
@@ -100,7 +102,11 @@ def match_line_tables(
     hits = grouped.where((F.size("gold") > 0) & (F.size("pred") > 0)).select(
         *keys, _fold(_prepared(F.col("gold")), _prepared(F.col("pred")), min_overlap, tol).alias("m"))
     matched = hits.groupBy(*keys).agg(F.sum("m").alias("matched"))
+    if documents is None:
+        known = counts.where("n_golden > 0")
+    else:
+        known = documents.select(*keys).distinct().join(counts, keys, "left").fillna(0, ["n_golden", "n_predicted"])
     return (
-        counts.where("n_golden > 0").join(matched, keys, "left")
+        known.join(matched, keys, "left")
         .withColumn("matched", F.coalesce("matched", F.lit(0)).cast("long"))
     )

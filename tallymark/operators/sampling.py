@@ -45,7 +45,7 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, count: int, seed: i
 
 
 def holdout_strata(df: DataFrame, stratum: str, k: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(held out, remaining): the ``k`` strata ranked first are held out. The broadcast list has at most ``k`` rows."""
+    """(held out, remaining): the ``k`` strata ranked first are held out."""
     rank = F.sha2(F.concat(F.lit(f"{seed}:holdout:"), F.col(stratum).cast("string")), 256)
-    held = F.broadcast(df.select(stratum).distinct().orderBy(rank).limit(k))
+    held = df.select(stratum).distinct().orderBy(rank).limit(k)
     return df.join(held, stratum, "left_semi"), df.join(held, stratum, "left_anti")

@@ -31,7 +31,6 @@ PAIR = _struct(
     id=_S, field=_S, doc_id=_S, golden=_S, predicted=_S, excerpt=_S, origin=_S, human_label=_B,
 )
 CELL = _struct(config=_S, subset=_S, metric=_S, value=_D)
-TOTALS_RESULT = _struct(consistent=_B, difference=AMOUNT, reconciledTotal=AMOUNT, reason=_S)
 
 # One stored result per (execution, config, document), as the run wrote it.
 STORED_RESULT = T.StructType([

@@ -40,10 +40,12 @@ def eval_set(golden: DataFrame, synthetic: DataFrame, layers: DataFrame, mode: s
     docs = docs.join(layer, "textPath", "left")
     if mode == "text":
         return docs.withColumn("text", F.col("text_layer"))
-    ocr = layers.select(F.col("path").alias("ocrTextPath"), F.col("text").alias("_ocr"))
-    # A document without an OCR path keeps a null key: it meets no layer and falls back.
-    return docs.join(ocr, "ocrTextPath", "left").withColumn(
-        "text", F.when(F.col("ocrTextPath").isNotNull(), F.col("_ocr")).otherwise(F.col("text_layer"))).drop("_ocr")
+    ocr = layers.select(F.col("path").alias("_path"), F.col("text").alias("_ocr"))
+    # A document without an OCR path gets a key of its own that no file has: it falls back, and null is no hot key.
+    own = F.concat(F.lit("\0"), F.col("id").cast("string"))
+    keyed = docs.withColumn("_path", F.coalesce("ocrTextPath", own))
+    return keyed.join(ocr, "_path", "left").withColumn(
+        "text", F.when(F.col("ocrTextPath").isNotNull(), F.col("_ocr")).otherwise(F.col("text_layer"))).drop("_ocr", "_path")
 
 
 def read_configs(spark: SparkSession, path: str) -> DataFrame:
@@ -104,7 +106,7 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def _tag(prefix: str):
     hit = F.try_element_at(F.filter("tags", lambda t: F.startswith(t, F.lit(prefix))), F.lit(1))
-    return F.coalesce(F.substring(hit, len(prefix) + 1, 1_000_000), F.lit(""))
+    return F.coalesce(F.substr(hit, F.lit(len(prefix) + 1)), F.lit(""))
 
 
 def flatten_results(stored: DataFrame) -> DataFrame:
