@@ -204,9 +204,15 @@ def linked(index: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                     "node", F.coalesce("b", "node").alias("cell")), "cells")
             links = stored(verified(pairs, sets, num, den), "links")
         else:
-            near = mixed.select("sig", "node").join(cells, "node").select("sig", "cell").distinct()
-            asking = minor.select("sig", "node").join(near, "sig").select("node", "cell").distinct()
+            # A node asks a cell only where a signature of theirs holds another label there.
+            near = mixed.select("sig", "node", "label").join(cells, "node").groupBy("sig", "cell").agg(
+                F.min("label").alias("least"), F.max("label").alias("most"))
+            asking = minor.select("sig", "node", "label").join(near, "sig").where(
+                (F.col("least") != F.col("label")) | (F.col("most") != F.col("label"))).select("node", "cell").distinct()
+            asking = stored(asking, "asking")
+            asked = asking.select("cell").distinct()
             known = labels.join(sets.select("node", "grams"), "node")
+            cells = cells.join(asked, "cell")
             parts = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART).cast("long").alias("parts"))
             left = known.join(cells.join(parts, "cell"), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
             right = known.join(asking.join(parts, "cell").withColumn(
