@@ -138,7 +138,18 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
     return replaced.select("doc_id", "text", F.col("n_replaced").cast("long").alias("n_replaced"), "replaced")
 
 
-@query("op6_exact_top_k")
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE)::DOUBLE FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, "rank", vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS "rank" FROM p) WHERE "rank" <= 5"""
+
+
+@query("op6_exact_top_k", TOP_K_SQL)
 def op6(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
     return exact_top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
@@ -150,6 +161,23 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
     return nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
 
 
-@query("op7_ngram_jaccard_join")
+# All pairs with a common shingle, then the ids that links reach.
+GROUPS_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+r AS (
+  SELECT doc_id, doc_id AS c FROM documents
+  UNION SELECT z.y, r.c FROM r JOIN (SELECT x, y FROM l UNION ALL SELECT y, x FROM l) z ON z.x = r.doc_id)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
+
+
+@query("op7_ngram_jaccard_join", GROUPS_SQL)
 def op7(spark: SparkSession, d: str) -> DataFrame:
     return similar_groups(table(spark, d, "documents").select("doc_id", "text"))

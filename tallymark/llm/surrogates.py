@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-import ipaddress
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -39,19 +39,18 @@ ALPHABET = {"lower": "abcdefghijklmnopqrstuvwxyz", "digit": "0123456789", "hex":
 
 NAME = r"\p{Lu}[\p{L}'’-]+"
 # Every kind of entity is one named group; where two could match, the one that comes first does.
-ENTITY = regex.compile(
+DATA = regex.compile(
     r"(?P<email>(?<![\w.+-])[\w.%+-]+@[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?)+)"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w))"
     r"|(?P<secret>(?<!\w)(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?:AKIA|ASIA)[A-Z0-9]{16}|(?:sk|pk|ghp|gho|xox[abp])[-_][\w-]{16,})(?!\w))"
     r"|(?P<card>(?<![\w+.])\d(?:[ -]?\d){12,18}(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w.])(?:(?:\+|00)\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\w-]))"
-    rf"|(?P<m>(?<!\w)(?:{TITLES['m']})\.? {NAME}(?: {NAME})?)"
-    rf"|(?P<f>(?<!\w)(?:{TITLES['f']})\.? {NAME}(?: {NAME})?)"
-    rf"|(?P<n>(?<!\w)(?:{TITLES['n']})\.? {NAME}(?: {NAME})?)")
-# A text without any of these holds no entity.
-SIGN = regex.compile(r"@|\d\D?\d|[0-9a-fA-F]{32}|(?:AKIA|ASIA|sk[-_]|pk[-_]|ghp_|gho_|xox)|\b(?:" + "|".join(TITLES.values()) + r")\.? \p{Lu}")
+    r"|(?P<phone>(?<![\w.])(?:(?:\+|00)\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\w-]))")
+NAMED = regex.compile("|".join(rf"(?P<{g}>(?<!\w)(?:{titles})\.? {NAME}(?: {NAME})?)" for g, titles in TITLES.items()))
+# All data has an "@", an ASCII digit or a key's prefix, all names a title: only words around such a place are looked at.
+PLACE = re.compile(r"[@0-9]|\b(?:AKIA|ASIA|sk[-_]|pk[-_]|gh[po][-_]|xox[abp][-_])|(?P<title>\b(?:" + "|".join(TITLES.values()) + r")\b)")
+AROUND = re.compile(r"\S*(?: (?:[^\s0-9]*[0-9]\S*|[A-Z0-9]{1,4}\b))*")
 
 
 class Found(NamedTuple):
@@ -68,25 +67,41 @@ def script_of(word: str) -> str:
 
 def find(text: str) -> list[Found]:
     """Entities of a text from left to right. A name is found by its title; given and family name are apart."""
-    if not SIGN.search(text):
-        return []
-    out = []
-    for m in ENTITY.finditer(text):
-        kind, span = m.lastgroup, m.group()
-        if kind in ("m", "f", "n"):
-            parts = [(w.start() + m.start(), w.group()) for w in regex.finditer(r"[^ ]+", span)][1:]
-            for i, (at, word) in enumerate(parts):
-                role = "family" if i == len(parts) - 1 else f"given-{kind}"
-                out.append(Found(f"{role}-{script_of(word)}", word.casefold(), at, at + len(word)))
-        elif kind == "email":
-            out.append(Found(kind, span.lower(), m.start(), m.end()))
-        elif kind in ("ip", "secret"):
-            out.append(Found(kind, span.lower() if regex.fullmatch("[0-9a-fA-F]+", span) else span, m.start(), m.end()))
-        else:
-            out.append(Found(kind, regex.sub(r"[^\p{L}\p{N}+]", "", span), m.start(), m.end()))
+    out, end = [], 0
+    for place in PLACE.finditer(text):
+        at = place.start()
+        if at < end:
+            continue
+        if place.lastgroup:
+            m = NAMED.match(text, at)
+            if m:
+                out += names_in(m)
+                end = m.end()
+            continue
+        while at > end and not text[at - 1].isspace():
+            at -= 1
+        end = AROUND.match(text, at).end()
+        out += [data_in(m) for m in DATA.finditer(text, at, end)]
     return out
 
 
+def names_in(m) -> list[Found]:
+    words = [(w.start() + m.start(), w.group()) for w in re.finditer("[^ ]+", m.group())][1:]
+    roles = [f"given-{m.lastgroup}"] * (len(words) - 1) + ["family"]
+    return [Found(f"{r}-{script_of(w)}", w.casefold(), at, at + len(w)) for r, (at, w) in zip(roles, words)]
+
+
+def data_in(m) -> Found:
+    kind, span = m.lastgroup, m.group()
+    if kind == "email" or kind == "secret" and regex.fullmatch("[0-9a-fA-F]+", span):
+        normal = span.lower()
+    elif kind in ("ip", "secret"):
+        normal = span
+    else:
+        normal = regex.sub(r"[^\p{L}\p{N}+]", "", span)
+    return Found(kind, normal, m.start(), m.end())
+
+
 class Stream:
     """Draws from HMAC-SHA256 under a key: a function of the entity and the attempt only."""
 
