@@ -11,7 +11,7 @@ from tallymark.llm.vectors import distinct_vectors, expand, matrix, ranked, vali
 from tallymark.session import stored
 
 # Vectors of an index block, queries that meet it together, impact levels of a dimension, and segments between two checks.
-BLOCK, QUERIES, LEVELS, CHECK = 16_384, 2_048, 8, 48
+BLOCK, QUERIES, LEVELS, CHECK = 16_384, 2_048, 24, 256
 # A search stops once at most this share of a block can still be among the best.
 FEW = 1 / 16
 
@@ -25,15 +25,20 @@ class ImpactIndex:
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
+        # Products and sums of integers are exact in doubles, and faster, as long as none can reach 2**53.
+        self.largest = int(np.abs(vectors).max(initial=0))
+        self.exact = vectors.astype(np.float64)
         self.low, self.high = vectors.min(0), vectors.max(0)
         self.width = (self.high - self.low) // LEVELS + 1
         level = (vectors - self.low) // self.width
-        self.order = np.argsort(level, axis=0, kind="stable").astype(np.int32)
+        self.order = np.ascontiguousarray(np.argsort(level, axis=0, kind="stable").T.astype(np.int32))
         # starts[d, l]: where level l of dimension d begins in its order
         self.starts = np.stack([np.searchsorted(np.sort(level[:, d]), np.arange(LEVELS + 1)) for d in range(vectors.shape[1])])
 
     def search(self, query: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and scores of the vectors that can be among the ``count`` best; the best are certainly among them."""
+        if 2 * self.largest * int(np.abs(query).max(initial=0)) * len(query) >= 2**53:
+            return np.arange(len(self.vectors)), self.vectors @ query
         n, dims = self.vectors.shape
         weight = np.abs(query)
         rising = query > 0
@@ -42,33 +47,24 @@ class ImpactIndex:
         floor = np.where(rising[:, None], levels * self.width[:, None], np.maximum(0, (self.high - self.low)[:, None] - (levels + 1) * self.width[:, None] + 1))
         most = np.where(rising[:, None], np.minimum((levels + 1) * self.width[:, None] - 1, (self.high - self.low)[:, None]), (self.high - self.low)[:, None] - levels * self.width[:, None])
         floor, most = weight[:, None] * floor, weight[:, None] * np.maximum(most, 0)
-        segments = np.argsort(-most, axis=None, kind="stable")
-        segments = segments[weight[segments // LEVELS] > 0]
         size = self.starts[:, 1:] - self.starts[:, :-1]
-        segments = segments[size.ravel()[segments] > 0]
-        acc = np.zeros(n, np.int64)
-        ahead = np.where(size > 0, most, 0).max(1)  # the most that a posting not yet seen adds, by dimension
-        slack = np.zeros(dims, np.int64)  # how far a posting already seen may lie above its floor
-        left = [sorted((int(most[d, v]) for v in levels if size[d, v]), reverse=True) for d in range(dims)]
-        seen = np.zeros(dims, np.int64)
-        for at in range(0, len(segments), CHECK):
-            for s in segments[at:at + CHECK]:
-                d, v = divmod(int(s), LEVELS)
-                acc[self.order[self.starts[d, v]:self.starts[d, v + 1], d]] += floor[d, v]
-                slack[d] = max(slack[d], most[d, v] - floor[d, v])
-                seen[d] += 1
-                ahead[d] = left[d][seen[d]] if seen[d] < len(left[d]) else 0
-            if n <= count:
-                break
+        segments = np.argsort(-most, axis=None, kind="stable")
+        dim, level = np.divmod(segments[(size > 0).ravel()[segments] & (weight[segments // LEVELS] > 0)], LEVELS)
+        acc, seen, slack = np.zeros(n), np.zeros(dims, np.int64), np.zeros(dims, np.int64)
+        # left[d, s]: the most that a posting of dimension d adds after s of its segments have been seen.
+        left = np.concatenate((-np.sort(-np.where(size > 0, most, 0), axis=1), np.zeros((dims, 1), np.int64)), axis=1)
+        possible = np.arange(n)
+        for at in range(0, len(dim) if n > count else 0, CHECK):
+            d, v = dim[at:at + CHECK], level[at:at + CHECK]
+            ids = np.concatenate([self.order[i, a:b] for i, a, b in zip(d, self.starts[d, v], self.starts[d, v + 1])])
+            acc += np.bincount(ids, np.repeat(floor[d, v], size[d, v]), n)
+            np.maximum.at(slack, d, (most - floor)[d, v])  # how far postings seen may lie above their level's floor
+            seen += np.bincount(d, minlength=dims)
             reached = np.partition(acc, n - count)[n - count]
-            possible = np.flatnonzero(acc + np.maximum(ahead, slack).sum() >= reached)
+            possible = np.flatnonzero(acc + np.maximum(left[np.arange(dims), seen], slack).sum() >= reached)
             if len(possible) <= max(count, n * FEW):
-                return possible, self.vectors[possible] @ query
-        if n > count and len(segments):
-            reached = np.partition(acc, n - count)[n - count]
-            possible = np.flatnonzero(acc + np.maximum(ahead, slack).sum() >= reached)
-            return possible, self.vectors[possible] @ query
-        return np.arange(n), self.vectors @ query
+                break
+        return possible, (self.exact[possible] @ query.astype(np.float64)).astype(np.int64)
 
 
 def _searched(k: int):
