@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.vectors import distinct_vectors, expand, matrix, ranked, valid_vectors
+from tallymark.llm.vectors import distinct_queries, distinct_vectors, expand, matrix, ranked, valid_vectors
 from tallymark.session import stored
 
 # Vectors of the sample that sets the widths and the number of probes, the recall it aims at, and points of one task.
@@ -128,29 +128,30 @@ def _asked(made: Tables, cells: int):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                vec = batch["vec"].slice(at, 256)
+                vec, q = batch["vec"].slice(at, 256), batch["q"].slice(at, 256)
                 keys = bucket_keys(made.probed(matrix(vec)))  # vectors, tables, probes
                 for t in range(keys.shape[1]):
                     cell = keys[:, t] % cells
                     spots = [(i, c, keys[i, t][cell[i] == c]) for i in range(len(vec)) for c in np.unique(cell[i])]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(spots), t, np.int32)), pa.array([c for _, c, _ in spots], pa.int64()),
-                         vec.take(pa.array([i for i, _, _ in spots], pa.int64())), pa.array([b for _, _, b in spots], pa.list_(pa.int64()))],
-                        ["tab", "cell", "vec", "buckets"])
+                         *[x.take(pa.array([i for i, _, _ in spots], pa.int64())) for x in (vec, q)],
+                         pa.array([b for _, _, b in spots], pa.list_(pa.int64()))],
+                        ["tab", "cell", "vec", "q", "buckets"])
     return run
 
 
 def _reranked(k: int):
     """Exact distances of the vectors in the probed buckets of this cell, the k + 1 nearest of each query."""
     def run(index: pa.Table, queries: pa.Table) -> pa.Table:
-        qvec, vec_id, score = [], [np.zeros(0, np.int64)], [np.zeros(0)]
+        owners, vec_id, score = [], [np.zeros(0, np.int64)], [np.zeros(0)]
         if index.num_rows and queries.num_rows:
             points, asked, bucket = matrix(index["vec"]), matrix(queries["vec"]), index["bucket"].to_numpy()
             first = np.fromiter((x[0].as_py() for x in index["ids"]), np.int64, index.num_rows)
             order = np.argsort(bucket, kind="stable")
             names, starts = np.unique(bucket[order], return_index=True)
             ends = np.append(starts[1:], len(order))
-            for query, wanted in zip(asked, queries["buckets"]):
+            for q, query, wanted in zip(queries["q"].to_pylist(), asked, queries["buckets"]):
                 if wanted.is_valid:
                     spot = np.searchsorted(names, wanted.values.to_numpy())
                     spot = spot[(spot < len(names)) & (names[np.minimum(spot, len(names) - 1)] == wanted.values.to_numpy())]
@@ -163,11 +164,11 @@ def _reranked(k: int):
                     where, distance = where[near], distance[near]
                 best = np.lexsort((first[where], distance))[:k + 1]
                 ids, scores = expand(index["ids"], where[best], distance[best], k + 1, ascending=True)
-                qvec += [query] * len(ids)
+                owners += [q] * len(ids)
                 vec_id.append(ids)
                 score.append(scores)
-        return pa.table([pa.array(qvec, pa.list_(pa.float64())), pa.array(np.concatenate(vec_id)), pa.array(np.concatenate(score))],
-                        ["qvec", "vec_id", "score"])
+        return pa.table([pa.array(owners, pa.int64()), pa.array(np.concatenate(vec_id)), pa.array(np.concatenate(score))],
+                        ["q", "vec_id", "score"])
     return run
 
 
@@ -179,7 +180,7 @@ def _salted(index: DataFrame, asked: DataFrame, key: list[str]) -> DataFrame:
     return left.groupBy(*key, "part").cogroup(right.groupBy(*key, "part"))
 
 
-FOUND = "qvec array<double>, vec_id long, score double"
+FOUND = "q long, vec_id long, score double"
 
 
 def nearest(
@@ -207,21 +208,21 @@ def nearest(
 def _nearest_of(index: DataFrame, asked: DataFrame, k: int, tables: int) -> DataFrame:
     size = index.count()
     sample = [r["vec"] for r in index.select("vec").orderBy(F.xxhash64("vec")).limit(SAMPLE).collect()]
+    distinct = stored(distinct_queries(asked), "distinct")
     if not sample:
-        return ranked(index.sparkSession.createDataFrame([], FOUND), asked, k, F.col("score"))
+        return ranked(index.sparkSession.createDataFrame([], FOUND), asked, distinct, k, F.col("score"))
     made = fit(np.array(sample), size, k, tables)
     cells = max(1, size // (BLOCK // 4))
-    distinct = asked.select("vec").distinct()
     slots = index.mapInArrow(_indexed(made, cells), "tab int, cell long, bucket long, vec array<double>, ids array<long>")
-    probes = distinct.mapInArrow(_asked(made, cells), "tab int, cell long, vec array<double>, buckets array<long>")
+    probes = distinct.mapInArrow(_asked(made, cells), "tab int, cell long, vec array<double>, q long, buckets array<long>")
     found = _salted(slots, probes, ["tab", "cell"]).applyInArrow(_reranked(k), FOUND)
-    merged = stored(found.groupBy("qvec", "vec_id").agg(F.min("score").alias("score")), "found")
+    merged = stored(found.groupBy("q", "vec_id").agg(F.min("score").alias("score")), "found")
     # A query's own id is among what it finds, so k others are k + 1 rows.
-    short = distinct.join(merged.groupBy(F.col("qvec").alias("vec")).count().where(F.col("count") > k), "vec", "left_anti")
+    short = distinct.join(merged.groupBy("q").count().where(F.col("count") > k), "q", "left_anti")
     short = stored(short, "short")
     if not short.isEmpty():
         blocks = index.select(F.lit(0).alias("cell"), F.lit(0).cast("long").alias("bucket"), "vec", "ids")
-        whole = short.select(F.lit(0).alias("cell"), "vec", F.lit(None).cast("array<long>").alias("buckets"))
+        whole = short.select(F.lit(0).alias("cell"), "vec", "q", F.lit(None).cast("array<long>").alias("buckets"))
         rest = _salted(blocks, whole, ["cell"]).applyInArrow(_reranked(k), FOUND)
-        merged = merged.join(short.withColumnRenamed("vec", "qvec"), "qvec", "left_anti").unionByName(rest)
-    return ranked(merged, asked, k, F.col("score"))
+        merged = merged.join(short.select("q"), "q", "left_anti").unionByName(rest)
+    return ranked(merged, asked, distinct, k, F.col("score"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.vectors import distinct_vectors, expand, matrix, ranked, valid_vectors
+from tallymark.llm.vectors import distinct_queries, distinct_vectors, expand, matrix, ranked, valid_vectors
 from tallymark.session import stored
 
 # Vectors of an index block, queries that meet it together, impact levels of a dimension, and segments between two checks.
@@ -69,20 +69,20 @@ class ImpactIndex:
 
 def _searched(k: int):
     def run(index: pa.Table, queries: pa.Table) -> pa.Table:
-        found = {"qvec": [], "vec_id": [], "score": []}
+        found = {"q": [], "vec_id": [], "score": []}
         if index.num_rows and queries.num_rows:
             block, asked = ImpactIndex(matrix(index["vec"])), matrix(queries["vec"])
             # Smallest ids first, so that of equal scores the vectors with the smallest ids stay.
             first = np.fromiter((x[0].as_py() for x in index["ids"]), np.int64, index.num_rows)
-            for query in asked:
+            for q, query in zip(queries["q"].to_pylist(), asked):
                 where, score = block.search(query, k + 1)
                 best = np.lexsort((first[where], -score))[:k + 1]
                 ids, scores = expand(index["ids"], where[best], score[best], k + 1, ascending=False)
-                found["qvec"] += [query] * len(ids)
+                found["q"] += [q] * len(ids)
                 found["vec_id"].append(ids)
                 found["score"].append(scores)
         joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found["vec_id"], found["score"])]
-        return pa.table([pa.array(found["qvec"], pa.list_(pa.int64())), pa.array(joined[0]), pa.array(joined[1])], ["qvec", "vec_id", "score"])
+        return pa.table([pa.array(found["q"], pa.int64()), pa.array(joined[0]), pa.array(joined[1])], ["q", "vec_id", "score"])
     return run
 
 
@@ -103,12 +103,12 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "v
     index = stored(distinct_vectors(quantised(vectors), k + 1), "index")
     asked = stored(quantised(queries), "queries")
     blocks = max(1, -(-index.count() // BLOCK))
-    distinct = asked.select("vec").distinct()
+    distinct = stored(distinct_queries(asked), "distinct")
     groups = max(1, -(-distinct.count() // QUERIES))
     turn = F.pmod(F.xxhash64("vec"), F.lit(groups)).alias("turn")
     left = index.select(F.size("vec").alias("dim"), F.pmod(F.xxhash64(F.lit(1), "vec"), F.lit(blocks)).alias("block"),
                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("turn"), "vec", "ids")
-    right = distinct.select(F.size("vec").alias("dim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), turn, "vec")
+    right = distinct.select(F.size("vec").alias("dim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), turn, "vec", "q")
     key = ["dim", "block", "turn"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_searched(k), "qvec array<long>, vec_id long, score long")
-    return ranked(found, asked, k, F.col("score").desc())
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_searched(k), "q long, vec_id long, score long")
+    return ranked(found, asked, distinct, k, F.col("score").desc())

@@ -44,13 +44,19 @@ def expand(ids: pa.ChunkedArray, best: np.ndarray, scores: np.ndarray, count: in
     return row[order], score[order]
 
 
-def ranked(rows: DataFrame, queries: DataFrame, k: int, order: Column) -> DataFrame:
+def distinct_queries(queries: DataFrame) -> DataFrame:
+    """(vec, q): every query vector once, named by the smallest id that asks it."""
+    return queries.groupBy("vec").agg(F.min("id").alias("q"))
+
+
+def ranked(rows: DataFrame, queries: DataFrame, named: DataFrame, k: int, order: Column) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` best rows other than itself.
 
-    ``rows`` are (qvec, vec_id, score) of distinct query vectors, with at least k + 1 of the best; ``queries`` (id, vec).
+    ``rows`` are (q, vec_id, score) of distinct queries, with at least k + 1 of the best; ``queries`` (id, vec) and
+    ``named`` (vec, q) tell whose they are.
     """
-    best = rows.withColumn("_v_n", F.row_number().over(Window.partitionBy("qvec").orderBy(order, "vec_id"))).where(
+    best = rows.withColumn("_v_n", F.row_number().over(Window.partitionBy("q").orderBy(order, "vec_id"))).where(
         F.col("_v_n") <= k + 1).drop("_v_n")
-    mine = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")).join(best, "qvec").where(F.col("query_id") != F.col("vec_id"))
+    mine = queries.join(named, "vec").select(F.col("id").alias("query_id"), "q").join(best, "q").where(F.col("query_id") != F.col("vec_id"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id"))
     return mine.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
