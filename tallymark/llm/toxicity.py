@@ -96,7 +96,13 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     tokens, y = [t for t, h in zip(tokens, has) if h], y[has]
     if y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), 40.0 if y[0] else -40.0)
-    bucket, owner = word_grams(list(index))
+    # In parts and as 32-bit numbers: the n-grams of all words are the largest thing that the driver holds.
+    words, bucket, owner = list(index), [], []
+    for at in range(0, len(words), 20_000):
+        b, o = word_grams(words[at:at + 20_000])
+        bucket.append(b.astype(np.int32))
+        owner.append((o + at).astype(np.int32))
+    bucket, owner = np.concatenate(bucket), np.concatenate(owner)
     n_grams = np.bincount(owner, minlength=len(index))
     flat = np.concatenate(tokens)
     windows = [np.arange(0, len(t), WINDOW) for t in tokens]
