@@ -16,6 +16,9 @@ from tallymark.llm.ngram_join import similar_groups
 from tallymark.llm.queries import TOXIC, bpe_digests, toxicity_scores
 from tallymark.session import stored
 
+# Words of a shingle, and the similarity of near copies as a fraction.
+NEAR = (5, 80, 100)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the limit; the model learns from the labelled rows of the original table."""
@@ -29,9 +32,12 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of similar documents the one with the smallest id. Rows without an id are not compared and stay."""
+    """Of every group of similar documents the one with the smallest id. Rows without an id are not compared and stay.
+
+    Near copies share four fifths of their five-word shingles; the values of op7_ngram_jaccard_join bind that query alone.
+    """
     named = docs.where(F.col("doc_id").isNotNull())
-    copies = similar_groups(named).where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    copies = similar_groups(named, *NEAR).where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     return named.join(copies, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -57,3 +57,16 @@ def test_stages_keep_odd_rows(spark, tmp_path):
     none = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_near_copies_of_a_similarity_from_four_fifths_go(spark):
+    words = [f"w{i}" for i in range(204)]
+    rows = [
+        (1, " ".join(words)), (2, " ".join(words[:174])),  # 170 of 200 shingles: 0.85
+        (3, " ".join(words[:164])),  # 160 of 200: exactly 0.8
+        (4, " ".join(words[:120])), (5, " ".join(f"v{i}" for i in range(50))),
+    ]
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    plain = similar(rows, 5, 80, 100)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 5] == sorted(r[0] for x, r in enumerate(rows) if plain[x][1] == r[0])
