@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 ROWS = 128
+# A text of fewer code points than this may be the rest of a page whose article has an odd name.
+LITTLE = 250
 
 # Elements of HTML by their part in a page.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "title", "object", "canvas", "audio", "video", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-ASIDE = {"nav", "footer", "aside", "form", "button", "select", "option", "datalist", "dialog", "menu", "head"}
+ASIDE = {"nav", "footer", "aside", "button", "select", "option", "datalist", "dialog", "menu", "head"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PARAGRAPHS = HEADINGS | {"p", "pre", "blockquote", "li", "dt", "dd", "td", "th", "figcaption", "caption", "summary"}
 BLOCKS = PARAGRAPHS | {
@@ -23,14 +25,22 @@ BLOCKS = PARAGRAPHS | {
 # What a start tag closes, and up to which elements it looks for it.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"ul", "ol", "dl", "table", "body", "html", "article", "section", "div", "main", "td", "th", "blockquote"}
-# Names in class and id, and roles, of what is no article.
+# Names in class and id, and roles, of what is mostly no article; a name may add where or what kind of box it is.
 ASIDE_NAMES = set(
     "ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion sidebar rail menu menubar nav "
     "navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist discussion disqus respond "
     "replies reply cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall newsletter subscribe "
     "subscription signup login share sharing social related recommended recommendations trending widget toolbar pagination pager "
     "skip copyright disclaimer form search hidden".split())
-ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
+BOX_NAMES = set(
+    "area bar block bottom box button buttons container icons inner item items left links list only posts right section site slot sr "
+    "top unit visually wrap wrapper".split())
+# What readers say: such an element may hold more text than the article.
+VOICES = set("comment comments commentlist discussion disqus respond replies reply".split())
+# A name with one of these tells something of the layout: has-sidebar, overflow-hidden.
+LAYOUT = {"has", "with", "no", "without", "overflow"}
+NONE, WEAK, STRONG, VOICE = range(4)
+ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
 
 # One step through a page: a comment or declaration, a tag with its attributes, or text up to the next of them.
 # A quote opens a value only after "="; one that is never closed opens nothing.
@@ -43,43 +53,100 @@ NAME = re.compile(r"[a-z0-9]+")
 COMMA = re.compile("[,،、，]")
 
 
-def is_aside(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element is no part of an article, by its kind, role, names, or because it is hidden."""
-    if tag in ASIDE:
+def is_aside(tag: str, found: dict[str, str], in_article: bool) -> bool:
+    """Whether an element is no part of an article, by its kind or role, or because it is hidden."""
+    if tag in ASIDE or tag == "header" and not in_article:
         return True
-    if tag == "header" and not in_article:
-        return True
-    if not attrs or tag in ("html", "body", "main"):
+    if not found or tag in ("html", "body", "main"):
         return False
-    found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTR.finditer(attrs)}
     style = found.get("style", "").replace(" ", "")
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
         return True
-    if found.get("role") in ASIDE_ROLES:
-        return True
-    names = set(NAME.findall(found.get("class", "") + " " + found.get("id", "")))
-    return bool(names & (ASIDE_NAMES - {"header"} if in_article else ASIDE_NAMES))
+    return found.get("role") in ASIDE_ROLES
+
+
+def suspicion(tag: str, found: dict[str, str], in_article: bool) -> int:
+    """How surely the names of an element tell that it is no part of an article.
+
+    A whole class or id of nothing but names of asides is strong, one that only contains such a name is weak.
+    """
+    worst = STRONG if tag == "form" or found.get("role") == "form" else NONE
+    if tag in ("html", "body", "main"):
+        return NONE
+    for name in (found.get("class", "") + " " + found.get("id", "")).split():
+        parts = {x for x in NAME.findall(name) if not x.isdigit()}
+        hits = parts & (ASIDE_NAMES - {"header"} if in_article else ASIDE_NAMES)
+        if hits and not parts & LAYOUT:
+            worst = max(worst, WEAK if parts - ASIDE_NAMES - BOX_NAMES else VOICE if hits & VOICES else STRONG)
+    return worst
 
 
 class Page:
-    """Elements of a page in document order, and its text blocks outside of asides."""
+    """Elements of a page in document order, and its text blocks outside of asides.
+
+    What only a name or a form makes suspect is read too; :meth:`show` leaves out what it is given.
+    """
 
     def __init__(self, source: str):
         self.tag, self.parent, self.skip, self.article = ["html"], [-1], [False], [False]
+        self.suspect = [NONE]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, code points in links
-        self._stack, self._parts, self._linked, self._links = [0], [], 0, 0
+        self._read_blocks: list[tuple[int, list[tuple[int, str, int]]]] = []  # element, its texts by the element they stand in
+        self._stack, self._parts, self._links = [0], [], 0
         self._read(source)
+        self.show(set())
+
+    def show(self, dropped: set[int]) -> None:
+        """Sets ``blocks`` to the text outside of the elements ``dropped``."""
+        gone = [False] * len(self.tag)
+        for i in range(len(self.tag)) if dropped else ():
+            gone[i] = i in dropped or self.parent[i] >= 0 and gone[self.parent[i]]
+        self.blocks = []
+        for owner, parts in self._read_blocks:
+            shown = [x for x in parts if not gone[x[0]]]
+            text = " ".join("".join([x[1] for x in shown]).split())
+            if text:
+                self.blocks.append((owner, text, min(sum(x[2] for x in shown), len(text))))
+
+    def named_asides(self) -> tuple[set[int], list[int]]:
+        """The suspect elements that are menus or boxes, and the unlinked code points of every element.
+
+        One that holds every article, main or first heading of the page and half of its text holds the article; so does one
+        with nine tenths of a page that has none of them. A weak name counts only where half of the text is links.
+        """
+        if not any(self.suspect):
+            return set(), []
+        count = len(self.tag)
+        size, linked, marks = [0] * count, [0] * count, [0] * count
+        for _, parts in self._read_blocks:
+            for node, text, links in parts:
+                size[node] += len("".join(text.split()))
+                linked[node] += links
+        for node in range(count - 1, -1, -1):
+            marks[node] += size[node] > 0 and self.tag[node] in ("article", "main", "h1")
+            if node:
+                for x in (size, linked, marks):
+                    x[self.parent[node]] += x[node]
+        plain = [n - k for n, k in zip(size, linked)]
+        named = set()
+        for node, kind in enumerate(self.suspect):
+            share = plain[node] / max(plain[0], 1)
+            if kind == NONE or kind == WEAK and 2 * linked[node] < max(size[node], 1):
+                continue
+            if marks[0] and marks[node] == marks[0] and share >= 0.5 or not marks[0] and kind != VOICE and share >= 0.9:
+                continue
+            named.add(node)
+        return named, plain
 
     def _flush(self) -> None:
-        text = " ".join("".join(self._parts).split())
-        if text:
+        if self._parts:
             owner = next(i for i in reversed(self._stack) if self.tag[i] in BLOCKS)
-            self.blocks.append((owner, text, min(self._linked, len(text))))
-        self._parts, self._linked = [], 0
+            self._read_blocks.append((owner, self._parts))
+        self._parts = []
 
     def _open(self, tag: str, attrs: str) -> None:
         if tag == "br":
-            self._parts.append(" ")
+            self._parts.append((self._stack[-1], " ", 0))
         if tag in VOID:
             if tag == "hr":
                 self._flush()
@@ -92,7 +159,9 @@ class Page:
         self.tag.append(tag)
         self.parent.append(top)
         self.article.append(self.article[top] or tag in ("article", "main"))
-        self.skip.append(self.skip[top] or is_aside(tag, attrs, self.article[top]))
+        found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTR.finditer(attrs)} if attrs else {}
+        self.skip.append(self.skip[top] or is_aside(tag, found, self.article[top]))
+        self.suspect.append(suspicion(tag, found, self.article[top]))
         self._stack.append(len(self.tag) - 1)
         self._links += tag == "a"
 
@@ -110,7 +179,7 @@ class Page:
 
     def _close(self, tag: str) -> None:
         if tag == "br":
-            self._parts.append(" ")
+            self._parts.append((self._stack[-1], " ", 0))
         for depth in range(len(self._stack) - 1, 0, -1):
             open_tag = self.tag[self._stack[depth]]
             if open_tag == tag:
@@ -137,9 +206,7 @@ class Page:
                     self._open(tag, step["attrs"])
             elif step["text"] and not self.skip[self._stack[-1]]:
                 text = html.unescape(step["text"])
-                self._parts.append(text)
-                if self._links:
-                    self._linked += len("".join(text.split()))
+                self._parts.append((self._stack[-1], text, len("".join(text.split())) if self._links else 0))
         self._flush()
 
 
@@ -183,9 +250,9 @@ def best_nodes(page: Page) -> set[int]:
     return kept
 
 
-def main_text(source: str | None) -> str:
-    """The article of a page, blocks joined by an empty line; empty for null, empty or textless pages."""
-    page = Page(source or "")
+def article_text(page: Page, dropped: set[int]) -> str:
+    """The article of a page without the elements ``dropped``, blocks joined by an empty line."""
+    page.show(dropped)
     if not page.blocks:
         return ""
     kept, inside = best_nodes(page), [False] * len(page.tag)
@@ -194,12 +261,28 @@ def main_text(source: str | None) -> str:
     return "\n\n".join(text for owner, text, _ in page.blocks if inside[owner])
 
 
+def main_text(source: str | None) -> str:
+    """The article of a page; empty for null, empty or textless pages.
+
+    Where next to nothing is left of a page without what names tell, the named elements that hold the most text are read.
+    """
+    page = Page(source or "")
+    named, plain = page.named_asides()
+    text = article_text(page, named)
+    most = max((plain[i] for i in named), default=0)
+    if len(text) < LITTLE and most > 5 * len(text):
+        if not text or not any(page.article[owner] or page.tag[owner] == "h1" for owner, _, _ in page.blocks):
+            text = article_text(page, {i for i in named if 2 * plain[i] < most})
+    return text
+
+
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` with the main text in ``text_col`` instead of the html; one row per row, no shuffle.
 
     Paragraphs pass points for length and commas to their ancestors, less the share of their text that is links; the best
     container is kept with siblings of a fifth of its score and plain paragraphs beside it. Menus, headers, footers,
-    sidebars, notices, adverts, forms, scripts, styles and comments are left out by element, role and name. A null or
+    sidebars, notices, adverts, forms, scripts, styles and comments are left out by element, role and name; a form or a
+    name alone does not if the element holds the article (see :meth:`Page.named_asides`, :func:`main_text`). A null or
     empty page, or one without text, gives an empty string. Other columns are kept; an input column ``text_col`` is
     replaced. Time and memory are linear in a page.
     """

@@ -33,6 +33,30 @@ def test_cases(source, text):
     assert main_text(source) == text
 
 
+BODY = "".join(f"<p>Sentence {i} of the article, which is long enough, says this and that.</p>" for i in range(12))
+MENU = "<nav><a href='/'>Home</a></nav><div class='sidebar'><p>Side, side, side.</p></div><div class='cookie-notice'>We use cookies, many.</div>"
+
+
+@pytest.mark.parametrize("wrapper", [
+    "<div class='overflow-hidden'>{}</div>", "<div class='content has-sidebar'>{}</div>", "<article class='post has-comments'>{}</article>",
+    "<div id='social-history'>{}</div>", "<form id='page'>{}</form>", "<div class='widget'><div class='modal'>{}</div></div>",
+    "<form><div class='no-sidebar'><h1>T</h1>{}</div></form>", "<div class='discussion'>{}</div>", "<div role=form>{}</div>",
+])
+def test_a_wrapper_with_an_odd_name_does_not_lose_the_article(wrapper):
+    inner = BODY + "<div class='ad'>Buy, buy</div><div class='related-posts'><a>Other, more</a></div>"
+    want = "\n\n".join(re.findall("<p>(.*?)</p>", BODY))
+    assert main_text(f"<body>{MENU}{wrapper.format(inner)}</body>").removeprefix("T\n\n") == want
+
+
+def test_a_named_part_of_an_article_stays_and_boxes_go():
+    part = "<section id='social-history'><p>Its social history, in short.</p></section>"
+    share = "<div class='share-price-links'><a>Share, here</a> or</div>"
+    got = main_text(f"<article><h1>T</h1>{BODY}{part}{share}<div id='comments'><article>{BODY * 5}</article></div></article>")
+    assert got.endswith("\n\nIts social history, in short.") and got.count("Sentence 3 ") == 1
+    # A short article stays alone beside large boxes.
+    assert main_text(f"<h1>T</h1><p>Short, it is.</p><div class='cookie-notice'>{BODY}</div><div id=comments>{BODY}</div>") == "T\n\nShort, it is."
+
+
 def test_long_and_deep_pages_stay_linear():
     assert main_text("<div>" * 30_000 + "x") == "x"
     assert main_text("<p>x, y</p>" * 30_000).count("x, y") == 30_000
