@@ -48,6 +48,10 @@ DATA = regex.compile(
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w.])(?:(?:\+|00)\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\w-]))")
 NAMED = regex.compile("|".join(rf"(?P<{g}>(?<!\w)(?:{titles})\.? {NAME}(?: {NAME})?)" for g, titles in TITLES.items()))
+# What may be a later mention of a name, and the parts of a word.
+CAPITAL = regex.compile(r"(?<!\w)\p{Lu}[\p{L}'’-]*")
+PART = regex.compile(r"[^'’-]+")
+POSSESSIVE = regex.compile(r"(?:['’][sS]|['’-]+)$")
 # All data has an "@", an ASCII digit or a key's prefix, all names a title: only words around such a place are looked at.
 PLACE = re.compile(r"[@0-9]|\b(?:AKIA|ASIA|sk[-_]|pk[-_]|gh[po][-_]|xox[abp][-_])|(?P<title>\b(?:" + "|".join(TITLES.values()) + r")\b)")
 AROUND = re.compile(r"\S*(?: (?:[^\s0-9]*[0-9]\S*|[A-Z0-9]{1,4}\b))*")
@@ -66,8 +70,12 @@ def script_of(word: str) -> str:
 
 
 def find(text: str) -> list[Found]:
-    """Entities of a text from left to right. A name is found by its title; given and family name are apart."""
-    out, end = [], 0
+    """Entities of a text from left to right. A name is found by its title; given and family name are apart.
+
+    Capitalised words of the text that a found name is written with are found too, with or without a title. A name that
+    never follows a title, or that is written in lower case, is not.
+    """
+    out, names, end = [], {}, 0
     for place in PLACE.finditer(text):
         at = place.start()
         if at < end:
@@ -77,16 +85,43 @@ def find(text: str) -> list[Found]:
             if m:
                 out += names_in(m)
                 end = m.end()
+                for f in names_in(m):
+                    names.setdefault(f.normal, f.kind)
             continue
         while at > end and not text[at - 1].isspace():
             at -= 1
         end = AROUND.match(text, at).end()
         out += [data_in(m) for m in DATA.finditer(text, at, end)]
-    return out
+    return with_mentions(text, out, names) if names else out
+
+
+def with_mentions(text: str, found: list[Found], names: dict[str, str]) -> list[Found]:
+    """``found`` with the other mentions of ``names`` (kind by normal form), in order. A mention may be part of a word."""
+    longest = max(len(PART.findall(x)) for x in names)
+    out, k = [], 0
+    for word in CAPITAL.finditer(text):
+        parts = [m.span() for m in PART.finditer(text, word.start(), word.end())]
+        i = 0
+        while i < len(parts):
+            at = parts[i][0]
+            step = 1
+            for n in range(min(longest, len(parts) - i), 0, -1):
+                end = parts[i + n - 1][1]
+                normal = text[at:end].casefold()
+                if normal in names and text[at].isupper() and not regex.match(r"\w", text[end:end + 1]):
+                    while k < len(found) and found[k].end <= at:
+                        out.append(found[k])
+                        k += 1
+                    if k == len(found) or end <= found[k].start:
+                        out.append(Found(names[normal], normal, at, end))
+                    step = n
+                    break
+            i += step
+    return out + found[k:]
 
 
 def names_in(m) -> list[Found]:
-    words = [(w.start() + m.start(), w.group()) for w in re.finditer("[^ ]+", m.group())][1:]
+    words = [(w.start() + m.start(), POSSESSIVE.sub("", w.group())) for w in re.finditer("[^ ]+", m.group())][1:]
     roles = [f"given-{m.lastgroup}"] * (len(words) - 1) + ["family"]
     return [Found(f"{r}-{script_of(w)}", w.casefold(), at, at + len(w)) for r, (at, w) in zip(roles, words)]
 
@@ -230,7 +265,8 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
 
     Mentions of one entity get one surrogate in the whole table, distinct entities distinct ones, under ``key`` alone;
     gender (told by the title), script, separators, case, valid check digits and lengths are kept. ``start`` and ``end``
-    are code points of the new text. Only texts that hold an entity are written and shuffled. Null and empty texts stay
+    are code points of the new text. People are found by a title; the other capitalised mentions of the names found so in a
+    text are replaced too. Names without any title in a text are out of reach. Only texts that hold an entity are written and shuffled. Null and empty texts stay
     as they are, with no replacements. Repeated rows and null ids are kept; other columns too, except that input columns
     with the names of results are replaced.
     """

@@ -18,6 +18,25 @@ def test_kinds_are_found():
     assert s.find(clean) == [] and s.find("") == []
 
 
+def test_later_mentions_of_a_found_name_are_found():
+    text = "Smith rang. Mr John Smith's car, Mrs O'Neil-Weber and Dr Smith. SMITH said: John, ask Smith’s or anti-Smith Weber O'Neil-Weber; Smithers, smith, Johnny, John_1, Smith@a.de."
+    found = s.find(text)
+    assert [text[f.start:f.end] for f in found] == [
+        "Smith", "John", "Smith", "O'Neil-Weber", "Smith", "SMITH", "John", "Smith", "Smith", "O'Neil-Weber", "Smith@a.de"]
+    assert {f.kind for f in found if f.normal == "smith"} == {"family-latin"} and {f.kind for f in found if f.normal == "john"} == {"given-m-latin"}
+    assert s.find("Smith and John Smith") == []  # never with a title
+    many = "".join(f"Mr N{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} " for i in range(5_000))
+    assert len(s.find(many + many.replace("Mr ", ""))) == 10_000
+
+
+def test_later_mentions_get_the_surrogate_of_the_name(spark):
+    docs = spark.createDataFrame([(1, "Mr John Smith called. Smith said so, then John left."), (2, "Smith, a word here")], "doc_id long, text string")
+    by = {r["doc_id"]: r for r in s.replace_entities(docs, KEY).collect()}
+    given, family, later, last = (x["surrogate"] for x in by[1]["replaced"])
+    assert by[1]["text"] == f"Mr {given} {family} called. {family} said so, then {given} left." and (later, last) == (family, given)
+    assert by[2]["text"] == "Smith, a word here" and "Smith" not in by[1]["text"]
+
+
 def test_replacement_keeps_type_format_and_identity(spark):
     rows = [(1, TEXT, "x"), (2, "again anna.berg@mail7.example.com " + "word " * 30_000, "y"), (2, "Frau Weber", None), (3, None, "n"), (4, "", "e"),
             (None, "97.51.17.173", "z"), (1, TEXT, "x")]
