@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallymark.llm import bpe, toxicity
 from tallymark.llm.ann import nearest
 from tallymark.llm.common import table
+from tallymark.llm.conversations import damaged, figures, repair_steps
 from tallymark.llm.html_extract import extract
 from tallymark.llm.line_dedup import dedup_lines
 from tallymark.llm.mixing import mix
@@ -181,3 +182,62 @@ SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id
 @query("op7_ngram_jaccard_join", GROUPS_SQL)
 def op7(spark: SparkSession, d: str) -> DataFrame:
     return similar_groups(table(spark, d, "documents").select("doc_id", "text"))
+
+
+# The damage (crc32 by its table), then a search that keeps whole audits and whole texts per state.
+REPAIR_SQL = r"""WITH RECURSIVE b AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) AS r(i))),
+o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda s: ascii(s)::BIGINT),
+           lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]), 4294967295), 4294967295) % 20 AS kind
+  FROM conversations, b),
+d AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM o, unnest(CASE kind WHEN 0 THEN []::INTEGER[] WHEN 3 THEN [1, 2] ELSE [1] END) AS u(copy)),
+n AS (
+  SELECT *, row_number() OVER w AS pos, lag(role) OVER w AS before, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), encode(text))),
+f AS (
+  SELECT *, left(role, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN seen > 1 THEN 'd'
+           WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault FROM n),
+-- States: 0 nothing, 1 system, 2 user, 3 assistant. k insertions, then one letter.
+ins(a, k, z) AS (VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (2, 2, 2), (3, 0, 3), (3, 1, 2), (3, 2, 3)),
+nxt(a, z, r) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+mid AS (
+  SELECT ins.a, ins.k, ins.z, repeat('I', ins.k) AS letters,
+         CASE ins.k WHEN 0 THEN '' WHEN 1 THEN n1.r || ':' || chr(10) ELSE n1.r || ':' || chr(10) || n2.r || ':' || chr(10) END AS made
+  FROM ins JOIN nxt n1 ON n1.a = ins.a JOIN nxt n2 ON n2.a = n1.z),
+op AS (
+  SELECT m.*, x.letter, x.cost + 2 * m.k AS cost, CASE x.letter WHEN 'D' THEN m.z WHEN 'S' THEN 1 ELSE nxt.z END AS e, nxt.r
+  FROM mid m JOIN nxt ON nxt.a = m.z, (VALUES ('D', 3), ('R', 2), ('K', 0), ('S', 0)) AS x(letter, cost) WHERE x.letter <> 'S' OR m.z = 0),
+p AS (
+  SELECT conv_id, 0::BIGINT AS pos, 0 AS st, {'cost': 0, 'audit': '', 'made': ''} AS best FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT p.conv_id, any_value(f.pos), op.e,
+         min({'cost': p.best.cost + op.cost + CASE WHEN f.fault = 't' AND op.letter <> 'D' THEN 1 ELSE 0 END,
+              'audit': p.best.audit || op.letters || CASE op.letter WHEN 'S' THEN 'K' ELSE op.letter END,
+              'made': p.best.made || op.made || CASE op.letter WHEN 'D' THEN '' WHEN 'R' THEN op.r || ':' || f.text || chr(10) ELSE f.role || ':' || f.text || chr(10) END})
+  FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.pos = p.pos + 1 JOIN op ON op.a = p.st
+  WHERE op.letter = 'D' OR (f.fault NOT IN ('b', 'd') AND (op.letter = 'R' OR (op.letter = 'S' AND f.i = 's') OR (op.letter = 'K' AND f.i = left(op.r, 1))))
+  GROUP BY p.conv_id, op.e),
+c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (pos > 1 AND left(before, 1) || i NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id),
+z AS (
+  SELECT p.conv_id, min({'cost': p.best.cost + 2 * m.k, 'audit': p.best.audit || m.letters, 'made': p.best.made || m.made}) AS best
+  FROM p LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM p.conv_id JOIN mid m ON m.a = p.st AND m.z IN (0, 3)
+  WHERE p.pos = coalesce(c.n, 0) GROUP BY p.conv_id)
+SELECT z.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, z.best.cost::BIGINT AS cost, z.best.audit AS audit, sha256(left(z.best.made, greatest(length(z.best.made) - 1, 0))) AS repaired_sha256
+FROM z LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM z.conv_id"""
+
+
+@query("op12_conversation_repair", REPAIR_SQL)
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    steps = repair_steps(damaged(table(spark, d, "conversations")), live_col="live")
+    return figures(steps).withColumnRenamed("conv", "conv_id")
