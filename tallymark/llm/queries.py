@@ -16,6 +16,7 @@ from tallymark.llm.html_extract import extract
 from tallymark.llm.line_dedup import dedup_lines
 from tallymark.llm.mixing import mix
 from tallymark.llm.ngram_join import similar_groups
+from tallymark.llm.ranked_search import rank_documents
 from tallymark.llm.surrogates import replace_entities
 from tallymark.llm.token_counts import count_tokens
 from tallymark.llm.topk import exact_top_k
@@ -241,3 +242,24 @@ FROM z LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM z.conv_id"""
 def op12(spark: SparkSession, d: str) -> DataFrame:
     steps = repair_steps(damaged(table(spark, d, "conversations")), live_col="live")
     return figures(steps).withColumnRenamed("conv", "conv_id")
+
+
+RANKED_SQL = r"""
+WITH r AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+d AS (SELECT doc_id, k, ts, len(ts)::BIGINT AS n FROM r WHERE len(ts) > 0),
+a AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM d),
+p AS (SELECT k, t, count(*)::BIGINT AS tf FROM (SELECT k, unnest(ts) AS t FROM d) GROUP BY k, t),
+w AS (SELECT t, floor(1000 * ln((2 * a.docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, a GROUP BY t, a.docs),
+m AS (SELECT k, doc_id, 100 - 25 + (25 * n * a.docs) // a.terms AS m FROM d, a),
+i AS (SELECT item_id, t, count(*)::BIGINT AS q FROM (
+  SELECT item_id, unnest(regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, t),
+s AS (
+  SELECT item_id, doc_id, k, sum(q * w.w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM i JOIN p USING (t) JOIN w USING (t) JOIN m USING (k) GROUP BY item_id, doc_id, k)
+SELECT item_id, "rank", doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS "rank" FROM s WHERE score > 0) WHERE "rank" <= 20""".replace("{lower}", _LOWER.format("text"))
+
+
+@query("op13_ranked_search", RANKED_SQL)
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    return rank_documents(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text"))
