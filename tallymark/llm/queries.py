@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, toxicity
+from tallymark.llm import bpe, langid, toxicity
 from tallymark.llm.ann import nearest
 from tallymark.llm.common import table
 from tallymark.llm.conversations import damaged, figures, repair_steps
@@ -263,3 +263,16 @@ SELECT item_id, "rank", doc_id, score FROM (
 @query("op13_ranked_search", RANKED_SQL)
 def op13(spark: SparkSession, d: str) -> DataFrame:
     return rank_documents(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text"))
+
+
+def lang_held_out() -> Column:
+    """Rows that no language is learned from; a row without an id is none of them."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+@query("op11_language_id")
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = langid.fit(docs.select("doc_id", "text", "lang"), use=~lang_held_out())
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", lang_held_out().alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
