@@ -27,3 +27,18 @@ def pair_hash(col: Column) -> tuple[Column, Column]:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+# Places of a membership filter: a broadcast of at most four million bytes, whatever the size of the tables.
+PLACES = 1 << 25
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``rows`` without most of those whose ``columns`` are not in ``keys``, before a join shuffles them; none in ``keys`` is lost."""
+    place = F.pmod(F.xxhash64(*columns), F.lit(PLACES)) + 1
+    bits = keys.select(place.alias("_m_at")).groupBy(F.bitmap_bucket_number("_m_at").alias("_m_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_m_at")).alias("_m_bits"))
+    at = rows.withColumn("_m_at", place).join(F.broadcast(bits), F.bitmap_bucket_number("_m_at") == F.col("_m_bucket"))
+    bit = F.bitmap_bit_position("_m_at")
+    byte = F.conv(F.hex(F.col("_m_bits").substr(F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return at.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)

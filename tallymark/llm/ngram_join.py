@@ -3,26 +3,31 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.llm.common import maybe_in, pair_hash
 from tallymark.llm.components import components
 from tallymark.session import stored
 
-# Words a task remembers, and rows it hands over at once.
-MEMO, ROWS = 250_000, 256
+# Words a task remembers; texts, and bytes of them, that are looked at together.
+MEMO, ROWS, BYTES = 250_000, 1_024, 1 << 22
 # Shingles in at most so many sets are rare (indexed alone), in at most so many frequent (in pairs), else very frequent
 # (in triples). Sets of fewer than 2**SMALL shingles index all of theirs alone.
 RARE, FREQUENT, SMALL = 32, 1_024, 4
-# Passes that try one candidate per set before all that is left is tried, and sets of a cell that are met at once.
-TRIES, PART = 2, 512
+# Passes that try one candidate per set before all that is left is tried, and shingles of either side that meet at once.
+TRIES, LOAD = 2, 250_000
+# Growth of the size classes of the first pass.
+STEP = 1.25
 
 
 class WordHashes(dict):
@@ -58,19 +63,108 @@ def spare(n, num: int, den: int):
     return n - -(-num * n // den)
 
 
+class SizeClass(NamedTuple):
+    """Sets of at least ``low`` shingles that miss at most ``spare`` of each other's, cut into ``parts``."""
+
+    low: int
+    spare: int
+    parts: int
+    empty: int  # so many parts may be empty without any doubt
+
+
+def size_classes(num: int, den: int) -> list[SizeClass]:
+    """Classes of the smaller one of two linked sets; ``spare`` is the most that lies in only one of them.
+
+    There is a part more than that, and as many again as may be empty in both sets: twice what is expected, and one.
+    """
+    out, low = [], 1
+    while low < 1 << 40:
+        high = max(low + 1, int(low * STEP))
+        spare = (high - 1) * (den - num) // num
+        parts = spare + 2
+        for _ in range(8):
+            parts = spare + 2 + int(2 * parts * np.exp(-low / parts))
+        out.append(SizeClass(low, spare, parts, parts - spare - 1))
+        low = high
+    return out
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return x ^ (x >> np.uint64(29))
+
+
+def part_hashes(grams: np.ndarray, classes: list[SizeClass], lows: list[int], num: int, den: int) -> tuple[list[np.ndarray], bool]:
+    """Hashes of the parts of a set in every class it can be in with a linked one, and whether it has too many empty parts.
+
+    Two linked sets meet in the class of the smaller one. What lies in only one of them touches fewer parts than there
+    are beyond those empty in both, so a part with something in it is the same in both, unless both are in doubt.
+    """
+    out, doubt = [], False
+    codes = _mixed(grams.view(np.uint64))
+    for at in range(bisect_right(lows, -(-num * len(grams) // den)) - 1, bisect_right(lows, len(grams))):
+        kind = classes[at]
+        if kind.spare == 0:  # different sets cannot link
+            continue
+        place = ((grams >> 32) + (1 << 31)) * kind.parts >> 32  # the shingles are in order, and so are their parts
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        doubt = doubt or kind.parts - len(first) > kind.empty
+        with np.errstate(over="ignore"):
+            held = np.add.reduceat(codes, first)
+        out.append(_mixed(held ^ _mixed((place[first] + (at << 44)).astype(np.uint64))).view(np.int64))
+    return out, doubt
+
+
+def _digest(grams: np.ndarray) -> tuple[int, int]:
+    return tuple(np.frombuffer(hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), np.int64).tolist())
+
+
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of bounded rows, and of bounded bytes where no text alone is longer."""
+    sizes = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch[column]])
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BYTES, "right"))
+        to = max(at + 1, min(to, at + ROWS))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _sets(width: int, num: int, den: int):
-    """(id, n, node, check, prefix in hash order) of every text."""
+    """(the row's key, n, node, check, sure, parts) of every text.
+
+    Of texts looked at together that share a part only the first keeps it, so a large group of copies does not come
+    whole to one place; those that are not equal are ``sure`` to share a part, as are sets in doubt.
+    """
+    classes = size_classes(num, den)
+    lows = [c.low for c in classes]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in _slices(batch, "_j_text"):
                 sets = [shingles(x.as_py() or "", width, known) for x in part["_j_text"]]
-                digests = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
+                digests = [_digest(s) for s in sets]
+                node = np.array([d[0] for d in digests], np.int64)
+                found = [part_hashes(s, classes, lows, num, den) if len(s) else ([], False) for s in sets]
+                sure = np.array([d for _, d in found], bool)
+                sizes = [sum(map(len, p)) for p, _ in found]
+                flat = np.concatenate([x for p, _ in found for x in p]) if sum(sizes) else np.zeros(0, np.int64)
+                owner = np.repeat(np.arange(len(sets)), sizes)
+                keep = np.zeros(len(flat), bool)
+                if len(flat):
+                    order = np.argsort(flat, kind="stable")
+                    first = np.flatnonzero(np.diff(flat[order], prepend=flat[order[0]] ^ 1))
+                    nodes = node[owner[order]]
+                    several = np.minimum.reduceat(nodes, first) != np.maximum.reduceat(nodes, first)
+                    sure[owner[order][np.repeat(several, np.diff(np.append(first, len(flat))))]] = True
+                    keep[order[first]] = True
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=len(sets)))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part["_j_id"], pa.array([len(s) for s in sets], pa.int64()), *[pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)],
-                     pa.array([s[:2 * spare(len(s), num, den) + 1] for s in sets], pa.list_(pa.int64()))],
-                    ["_j_id", "n", "node", "check", "prefix"])
+                    [*[part[c] for c in KEY], pa.array([len(s) for s in sets], pa.int64()), pa.array(node), pa.array([d[1] for d in digests], pa.int64()),
+                     pa.array(sure), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[keep]))],
+                    [*KEY, "n", "node", "check", "sure", "parts"])
     return run
 
 
@@ -78,10 +172,11 @@ def _whole(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in _slices(batch, "_j_text"):
                 sets = [shingles(x.as_py() or "", width, known) for x in part["_j_text"]]
-                yield pa.RecordBatch.from_arrays([part["node"], pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_digest(s)[0] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
+                    ["node", "n", "grams"])
     return run
 
 
@@ -136,18 +231,11 @@ def _signed(num: int, den: int, classes: tuple[int, int]):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
-    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-    common = F.size(F.array_intersect("ga", "gb"))
-    return pairs.join(left, "a").join(right, "b").withColumn("c", common).where(
-        den * F.col("c") >= num * (F.size("ga") + F.size("gb") - F.col("c"))).select("a", "b")
-
-
 def _met(num: int, den: int):
-    """(a, b): for every asking node one link to each label that a part of a cell holds, found on whole sets."""
-    def run(held: pa.Table, asking: pa.Table) -> pa.Table:
+    """(a, b): for every asking node one link to each other label that it meets, found on whole sets."""
+    def run(group: pa.Table) -> pa.Table:
+        asks = group["asks"].to_numpy(zero_copy_only=False)
+        held, asking = group.filter(pa.array(~asks)), group.filter(pa.array(asks))
         out_a, out_b = [], []
         if held.num_rows and asking.num_rows:
             node, label = held["node"].to_numpy(), held["label"].to_numpy()
@@ -169,6 +257,22 @@ def _met(num: int, den: int):
     return run
 
 
+def meet(held: DataFrame, asking: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) of ``asking`` (cell, node, n) nodes to those ``held`` (cell, node, n) in the same cell under another label.
+
+    Both sides of a cell are cut by hash into parts of bounded shingles, and every part meets every part of the other
+    side. A set travels once to its parts, not once per pair.
+    """
+    loads = [side.groupBy("cell").agg(F.ceil(F.sum("n") / LOAD).cast("long").alias(f"of_{name}")) for side, name in ((held, "held"), (asking, "asking"))]
+    both = loads[0].join(loads[1], "cell")
+    mine = lambda of: F.pmod(F.xxhash64("node"), F.col(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    roles = held.join(both, "cell").select("cell", "node", F.lit(False).alias("asks"), mine("of_held").alias("part"), every("of_asking").alias("turn")).unionByName(
+        asking.join(both, "cell").select("cell", "node", F.lit(True).alias("asks"), every("of_held").alias("part"), mine("of_asking").alias("turn")))
+    sent = sets.select("node", "grams").join(labels, "node").join(roles, "node")
+    return stored(sent.groupBy("cell", "part", "turn").applyInArrow(_met(num, den), "a long, b long"), "links")
+
+
 def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (node, label) with the labels that ``links`` (a, b) join made one."""
     named = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(
@@ -180,11 +284,11 @@ def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
 def linked(index: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, label) of all nodes with links, from (sig, node, n): the components of the similarity graph.
 
-    Only components are asked for, so pairs inside one that is known already need no look. First every node tries one
-    node at a time that shares the most signatures with it, out of those that stand for the largest component of a
-    signature. The node tried first names a node's cell. Then every node outside the largest component of one of its
-    signatures meets, on whole sets, all nodes of other components in the cells that share a signature with it. So all
-    candidates left are verified, without a row per pair, and cells are met in parts of bounded size.
+    Only components are asked for, so pairs inside one that is known already need no look, and signatures that only one
+    component holds are dropped. First every node tries one node at a time that shares the most signatures with it, out
+    of those that stand for the largest component of a signature. The node tried first names a node's cell. Then every
+    node outside the largest component of one of its signatures meets, on whole sets, all nodes of other components in
+    the cells that share a signature with it. So all candidates left are verified, without a row per pair.
     """
     labels = stored(index.select("node").distinct().select("node", F.col("node").alias("label")), "labels")
     cells = None
@@ -193,73 +297,68 @@ def linked(index: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         sizes = now.groupBy("sig", "label").agg(
             F.count(F.lit(1)).alias("c"), F.min_by(F.struct("node", "n"), F.xxhash64(F.lit(attempt), "node")).alias("stand"))
         largest = sizes.groupBy("sig").agg(F.max(F.struct("c", "label", "stand")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        mixed = now.join(largest.select("sig", F.col("top.label").alias("major"), "top.stand"), "sig")
+        mixed = stored(now.join(largest.select("sig", F.col("top.label").alias("major"), "top.stand"), "sig"), "mixed")
+        index = mixed.select("sig", "node", "n")
         minor = mixed.where(F.col("label") != F.col("major"))
         if attempt < TRIES:
             tried = minor.where(den * F.least("n", "stand.n") >= num * F.greatest("n", "stand.n")).groupBy(
-                F.col("node").alias("a"), F.col("stand.node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-            pairs = stored(tried.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")), "tries")
+                F.col("node").alias("a"), "n", F.col("stand").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+            pairs = stored(tried.groupBy("a", "n").agg(F.max_by("b", F.struct("c", "b")).alias("b")), "tries")
             if cells is None:
-                cells = stored(labels.join(pairs.select(F.col("a").alias("node"), "b"), "node", "left").select(
-                    "node", F.coalesce("b", "node").alias("cell")), "cells")
-            links = stored(verified(pairs, sets, num, den), "links")
+                cells = stored(sets.select("node", "n").join(labels, "node").join(pairs.select(F.col("a").alias("node"), "b"), "node", "left").select(
+                    "node", "n", F.coalesce("b.node", "node").alias("cell")), "cells")
+            stands = pairs.select(F.col("b.node").alias("cell"), F.col("b.node").alias("node"), F.col("b.n").alias("n")).distinct()
+            links = meet(stands, pairs.select(F.col("b.node").alias("cell"), F.col("a").alias("node"), "n"), labels, sets, num, den)
         else:
             # A node asks a cell only where a signature of theirs holds another label there.
-            near = mixed.select("sig", "node", "label").join(cells, "node").groupBy("sig", "cell").agg(
+            near = mixed.select("sig", "node", "label").join(cells.select("node", "cell"), "node").groupBy("sig", "cell").agg(
                 F.min("label").alias("least"), F.max("label").alias("most"))
-            asking = minor.select("sig", "node", "label").join(near, "sig").where(
-                (F.col("least") != F.col("label")) | (F.col("most") != F.col("label"))).select("node", "cell").distinct()
-            asking = stored(asking, "asking")
-            asked = asking.select("cell").distinct()
-            known = labels.join(sets.select("node", "grams"), "node")
-            cells = cells.join(asked, "cell")
-            parts = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART).cast("long").alias("parts"))
-            left = known.join(cells.join(parts, "cell"), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-            right = known.join(asking.join(parts, "cell").withColumn(
-                "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))), "node")
-            columns = ("cell", "part", "node", "label", "grams")
-            held, asks = (x.select(*[F.col(c).alias(f"{c}_") for c in columns]).toDF(*columns) for x in (left, right))
-            links = stored(held.groupBy("cell", "part").cogroup(asks.groupBy("cell", "part")).applyInArrow(
-                _met(num, den), "a long, b long"), "links")
+            asking = stored(minor.select("sig", "node", "n", "label").join(near, "sig").where(
+                (F.col("least") != F.col("label")) | (F.col("most") != F.col("label"))).select("cell", "node", "n").distinct(), "asking")
+            links = meet(cells.join(asking.select("cell").distinct(), "cell"), asking, labels, sets, num, den)
         if not links.isEmpty():
             labels = merged_labels(labels, links)
     return labels
 
 
-def similar_groups(
+# What names a row of the input: its id, and 128 bits of its text.
+KEY = ("_j_id", "_j_high", "_j_low")
+
+
+def labelled(
     docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
     classes: tuple[int, int] = (RARE, FREQUENT),
 ) -> DataFrame:
-    """(id, n_shingles, component_id) per row of ``docs``: the smallest id reachable by links.
+    """(_j_id, _j_high, _j_low, n, node, check, label) per row: ``label`` is the same exactly if links join two rows.
 
     Two documents link if ``den`` times their common shingles are at least ``num`` times all of theirs (at least half).
-    Equal sets are one node. A first pass in hash order keeps the sets whose prefix shares enough with any others; these
-    are ordered rarest shingle first and indexed by token-combination prefixes (see :func:`signatures`), and candidates
-    are verified on whole sets. Sets are known by 64-bit hashes of shingles and digests.
+    Equal sets are one node. A first pass cuts every set by hash into more parts than a linked set can differ in, and
+    keeps the sets that share a part with another one. These are ordered rarest shingle first and indexed by
+    token-combination prefixes (see :func:`signatures`), and candidates are verified on whole sets. Shingles and parts
+    are known by 64-bit hashes, sets by digests of which nodes carry 64 bits, texts by 128-bit hashes.
 
-    Null, empty and blank texts have no shingles and stay alone. Rows that repeat an id are looked at each. A row without
-    an id follows its copies, and has a null component if none of them has an id; it links nothing by itself. Other
-    columns are not used. An empty table gives no rows.
+    Null, empty and blank texts have no shingles and a null label. Rows that repeat an id, or have none, are looked at
+    each. Other columns are not used. An empty table gives no rows.
     """
     if not 2 * num >= den >= num > 0:
         raise ValueError("the similarity must lie between 0.5 and 1")
-    base = docs.select(F.col(id_col).alias("_j_id"), F.col(text_col).alias("_j_text"))
-    kind = base.schema["_j_id"].dataType
+    text = F.col(text_col)
+    base = docs.select(F.col(id_col).alias("_j_id"), *[h.alias(k) for h, k in zip(pair_hash(text), KEY[1:])], text.alias("_j_text"))
+    kind = base.schema["_j_id"].dataType.simpleString()
     members = stored(base.mapInArrow(
-        _sets(width, num, den), f"_j_id {kind.simpleString()}, n long, node long, check long, prefix array<long>"), "members")
-    nodes = stored(members.where("n > 0 and _j_id is not null").groupBy("node", "check").agg(
-        F.min_by(F.struct("n", "prefix"), "_j_id").alias("s"), F.min("_j_id").alias("first")).select(
-        "node", "first", F.col("s.n").alias("n"), "s.prefix"), "nodes")
-    grams = nodes.select("node", "first", "n", F.explode("prefix").alias("gram"))
-    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
-    # Of a prefix of 2 * spare + 1 in hash order, linked sets share as many as the smaller one's spare, plus 1.
-    least = spare_sql(ceil_sql(F.col("n"), num, den), num, den) + 1
-    kept = stored(grams.join(shared, "gram").groupBy("node", "first", "n").agg(F.count(F.lit(1)).alias("c")).where(
-        F.col("c") >= least).select("node", "first", "n"), "kept")
-    # One text per kept node: its first document's, by id and node.
-    texts = base.join(kept.select(F.col("first").alias("_j_id"), "node"), "_j_id")
-    sets = stored(texts.mapInArrow(_whole(width), "node long, grams array<long>").join(kept.select("node", "n"), "node").where(
-        F.size("grams") == F.col("n")).dropDuplicates(["node"]).select("node", "n", "grams"), "sets")
+        _sets(width, num, den), f"_j_id {kind}, _j_high long, _j_low long, n long, node long, check long, sure boolean, parts array<long>"), "members")
+    shares = Window.partitionBy("part").orderBy("node")
+    other = (F.lag("node").over(shares) != F.col("node")) | (F.lead("node").over(shares) != F.col("node"))
+    parted = members.select("node", F.explode("parts").alias("part")).select("node", other.alias("other")).where("other").select("node")
+    candidates = members.where("sure").select("node").unionAll(parted).distinct()
+    # One text per candidate: the first row's, known by its id and its text.
+    first = F.min(F.struct(F.col("_j_id").isNull(), *KEY)).alias("s")
+    kept = stored(members.where("n > 0").select("node", *KEY).join(candidates, "node", "left_semi").groupBy("node").agg(first).select(
+        "node", *[f"s.{k}" for k in KEY]), "kept")
+    a, b = maybe_in(base, kept, KEY).alias("a"), kept.alias("b")
+    same = F.col("a._j_id").eqNullSafe(F.col("b._j_id")) & (F.col("a._j_high") == F.col("b._j_high")) & (F.col("a._j_low") == F.col("b._j_low"))
+    texts = a.join(b, same).select("a._j_text")
+    sets = stored(texts.mapInArrow(_whole(width), "node long, n long, grams array<long>").dropDuplicates(["node"]), "sets")
     rows = sets.select("node", "n", F.explode("grams").alias("gram"))
     counts = rows.groupBy("gram").agg(F.count(F.lit(1)).cast("long").alias("c")).where("c > 1")
     ordered = rows.join(counts, "gram").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "gram"))).alias("shared"))
@@ -267,19 +366,38 @@ def similar_groups(
     several = index.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig")
     index = stored(index.join(several, "sig"), "index")
     labels = linked(index, sets, num, den)
+    return members.drop("sure", "parts").join(labels, "node", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "node")))
 
-    firsts = members.where("n > 0").groupBy("node", "check").agg(F.min("_j_id").alias("first"))
-    named = firsts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = named.where(F.col("first").isNotNull()).groupBy("label").agg(F.min("first").alias("component_id"))
-    group = named.join(smallest, "label", "left").select("node", "check", "component_id")
-    return members.join(group, ["node", "check"], "left").select(
+
+def similar_groups(
+    docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
+    classes: tuple[int, int] = (RARE, FREQUENT),
+) -> DataFrame:
+    """(id, n_shingles, component_id) per row of ``docs``: the smallest id reachable by links (see :func:`labelled`).
+
+    Texts without shingles are linked with nothing and keep their own id. A row without an id links as all others do,
+    but names no component: where no linked row has an id, the component is null. Empty tables give no rows.
+    """
+    rows = labelled(docs, width, num, den, id_col, text_col, classes)
+    smallest = rows.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("_j_id").alias("component_id"))
+    return rows.join(smallest, "label", "left").select(
         F.col("_j_id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("_j_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def ceil_sql(n: Column, num: int, den: int) -> Column:
-    return F.floor((n * num + den - 1) / den)
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of every group of similar texts: that of the smallest id, null ids last, then by text hash.
 
-
-def spare_sql(n: Column, num: int, den: int) -> Column:
-    return n - ceil_sql(n, num, den)
+    Of rows with equal ids and texts one stays. Texts without shingles are similar to nothing and all stay.
+    """
+    rows = labelled(docs, width, num, den, id_col, text_col).where(F.col("label").isNotNull()).select(
+        "label", F.struct(F.col("_j_id").isNull().alias("none"), *KEY).alias("row"))
+    keys = rows.groupBy("label", "row").agg(F.count(F.lit(1)).alias("c"))
+    stays = rows.groupBy("label").agg(F.min("row").alias("stay"))
+    told = stored(keys.join(stays, "label").select(*[f"row.{k}" for k in KEY], (F.col("row") != F.col("stay")).alias("goes"), (F.col("c") > 1).alias("again")).where("goes or again"), "told")
+    text = F.col(text_col)
+    a, b = docs.withColumns({"_j_id": F.col(id_col), "_j_high": pair_hash(text)[0], "_j_low": pair_hash(text)[1]}).alias("a"), told.alias("b")
+    on = F.col("a._j_id").eqNullSafe(F.col("b._j_id")) & (F.col("a._j_high") == F.col("b._j_high")) & (F.col("a._j_low") == F.col("b._j_low"))
+    left = a.join(b, on, "left").where(~F.coalesce("b.goes", F.lit(False))).select("a.*", F.coalesce("b.again", F.lit(False)).alias("_j_again"))
+    left = left if told.where("again and not goes").isEmpty() else left.where(~F.col("_j_again")).unionByName(left.where("_j_again").dropDuplicates(list(KEY)))
+    return left.select(*docs.columns)

@@ -1,9 +1,12 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallymark.llm import ngram_join as j
+from tallymark.llm.common import maybe_in
 from tallymark.llm.components import components
 from tests.llm.conftest import SF, needs_data
 from tests.llm.plain import similar
@@ -72,6 +75,60 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert j.similar_groups(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("num", [50, 80, 90, 95])
+def test_linked_sets_share_a_part_or_are_in_doubt(num):
+    rnd, classes = random.Random(num), j.size_classes(num, 100)
+    lows, doubts, tried = [c.low for c in classes], 0, 0
+    for _ in range(1_500):
+        n = rnd.choice([rnd.randint(1, 30), rnd.randint(1, 600)])
+        a = [rnd.getrandbits(64) - (1 << 63) for _ in range(n)]
+        most = n // rnd.choice([3, 30])
+        b = a[:n - rnd.randint(0, most)] + [rnd.getrandbits(64) - (1 << 63) for _ in range(rnd.randint(0, most))]
+        common = len(set(a) & set(b))
+        if 100 * common < num * (len(a) + len(b) - common) or set(a) == set(b):
+            continue
+        (p, x), (q, y) = (j.part_hashes(np.unique(np.array(s, np.int64)), classes, lows, num, 100) for s in (a, b))
+        p, q = set(np.concatenate(p).tolist() if p else ()), set(np.concatenate(q).tolist() if q else ())
+        assert p & q or (x and y), (len(a), len(b), common)
+        doubts, tried = doubts + x + y, tried + 2
+    assert tried > 100 and (num == 50 or doubts < 0.1 * tried)
+
+
+def test_membership_filter_loses_nothing(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id")).alias("k"), F.xxhash64("id").alias("v"))
+    keys = rows.where("v % 50 = 0")
+    left = maybe_in(rows, keys, ("k", "v"))
+    assert left.columns == rows.columns and left.where("v % 50 = 0").count() == keys.count()
+    assert left.count() < keys.count() + 200 and maybe_in(rows, keys.limit(0), ("k", "v")).count() == 0
+
+
+def test_one_id_with_several_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " y"), (None, b + " x"), (None, " ".join(f"n{i}" for i in range(60))), (None, " ".join(f"n{i}" for i in range(59)))]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+    got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in j.similar_groups(docs).collect())
+    assert got == [(-1, -1), (-1, -1), (-1, 1), (1, 1), (1, 1), (2, 1), (3, 1)]
+
+
+def test_one_row_of_each_group_stays(spark):
+    k, m, q = (" ".join(f"{c}{i}" for i in range(100)) for c in "kmq")
+    rows = [(0, k), (1, k + " end"), (1, m), (2, m), (2, m), (None, q), (None, q + " end"), (None, q), (4, ""), (4, ""), (None, None), (5, "few words"), (5, "few words")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+    kept = j.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert sum(got[r] for r in ((None, q), (None, q + " end"))) == 1
+    assert {r: n for r, n in got.items() if r[1] not in (q, q + " end")} == {(0, k): 1, (1, m): 1, (4, ""): 2, (None, None): 1, (5, "few words"): 1}
+
+
+def test_large_groups_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(j, "LOAD", 300)
+    monkeypatch.setattr(j, "ROWS", 7)
+    rows = variants(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in j.similar_groups(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()}
+    assert got == {rows[x][0]: v for x, v in similar(rows).items()}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (300, 200), (7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
