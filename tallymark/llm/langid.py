@@ -40,6 +40,7 @@ UNSPACED = {"Thai", "Lao", "Tibetan", "Myanmar", "Khmer", "Hiragana", "Katakana"
 OTHER = "Other"
 NAMES = sorted({name for _, _, name in SCRIPTS} | {OTHER})
 _STARTS = [start for start, _, _ in SCRIPTS]
+_MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
@@ -143,9 +144,9 @@ def fit(docs: DataFrame, use: Column | None = None, id_col: str = "doc_id", text
     known = docs.where((F.lit(True) if use is None else use) & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
     order = Window.partitionBy("lang").orderBy("h")
-    # One row per language: the highest hash of its sample.
+    # One row per language: the highest hash of its sample. The driver holds a whole table per language in any case.
     last = known.select("lang", "h").withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE).groupBy("lang").agg(F.max("h").alias("last"))
-    sample = known.join(last, "lang").where(F.col("h") <= F.col("last")).select("lang", "text")
+    sample = known.join(F.broadcast(last), "lang").where(F.col("h") <= F.col("last")).select("lang", "text")
     counted = sample.mapInArrow(_counts("lang", "text"), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     langs = sorted(set(counted["lang"]))
     table, scripts = np.zeros((BUCKETS, len(langs))), np.zeros((len(NAMES), len(langs)))
@@ -254,9 +255,9 @@ class Words:
         for token in tokens:
             if token not in self.known:
                 self.chars += len(token) + 20
-                mine = []
-                for _, word, script in words_of(token):
-                    key = (word, script)
+                mine, bare = [], token.strip(_MARKS)
+                # Most tokens are one Latin word and marks.
+                for key in [(bare, "Latin")] if bare.isalpha() and (bare.isascii() or max(bare) < "\u0250") else [(w, s) for _, w, s in words_of(token)]:
                     if key not in self.number:
                         self.number[key] = len(self.number)
                         fresh.append(key)
