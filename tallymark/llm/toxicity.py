@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 # Sample of labelled rows: at most so many of class 0 and 1, none longer than so many code points.
 SAMPLE_ROWS, SAMPLE_CHARS = (2_500, 1_500), 30_000
-# Words of a window; lengths of n-grams; rows and columns of the embedding table.
-WINDOW, GRAMS, BUCKETS, DIM = 2, (3, 4, 5), 1 << 17, 8
+# Lengths of n-grams; rows and columns of the embedding table. A window is two neighbouring words, or a lone one.
+GRAMS, BUCKETS, DIM = (3, 4, 5), 1 << 17, 8
 # Passes over the sample, step size, decay of the embeddings, and how sharply windows are weighed at first and at last.
 PASSES, RATE, DECAY, SHARP = 100, 0.02, 0.1, (0.5, 3.0)
-MEMO, ROWS = 300_000, 256
+# Words a task remembers, texts and bytes of them looked at together, and words whose n-grams are held at once.
+MEMO, ROWS, BYTES, WORDS = 100_000, 256, 1 << 20, 10_000
 
 
 def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -70,64 +71,79 @@ class Model:
     bias: float
 
     def word_values(self, words: list[str]) -> np.ndarray:
-        bucket, owner = word_grams(words)
-        return np.bincount(owner, self.grams[bucket], len(words)) / np.bincount(owner, minlength=len(words))
+        out = np.zeros(len(words))
+        for at in range(0, len(words), WORDS):
+            part = words[at:at + WORDS]
+            bucket, owner = word_grams(part)
+            out[at:at + WORDS] = np.bincount(owner, self.grams[bucket], len(part)) / np.bincount(owner, minlength=len(part))
+        return out
 
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, last word, first window of each text) of all windows of texts of so many words, none of them empty.
+
+    Windows begin at every word but the last one; a text of one word is a window of its own.
+    """
+    count = np.maximum(lengths - 1, 1)
+    first_window = np.cumsum(count) - count
+    left = np.arange(count.sum()) - np.repeat(first_window, count) + np.repeat(np.cumsum(lengths) - lengths, count)
+    return left, left + np.repeat(lengths > 1, count), first_window
+
+
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """Embeddings and softmax weights, trained jointly by full-batch Adam; the same rows in the same order give the same model.
 
     Embeddings are averaged over a word's n-grams and a window's words. A document counts by its most toxic window, so
     a short insult in a long text is not averaged away; in training its windows are weighed softly at first and more and
-    more sharply. With labels of one class or none the model scores every text by that share.
+    more sharply. With labels of one class or none the model scores every text by that share. N-grams are held as 32-bit
+    numbers and worked on in parts, so the driver needs about six bytes per n-gram of a distinct word.
     """
     y = np.asarray(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), 40.0 if len(y) and y[0] else -40.0)
-    if not any(words_of(t) for t in texts):
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log(y.mean() / (1 - y.mean()))))
     index: dict[str, int] = {}
-    tokens = [np.fromiter((index.setdefault(w, len(index)) for w in words_of(t)), np.int64) for t in texts]
-    has = np.array([len(t) > 0 for t in tokens])
-    tokens, y = [t for t, h in zip(tokens, has) if h], y[has]
+    tokens = [np.fromiter((index.setdefault(w, len(index)) for w in words_of(t)), np.int32) for t in texts]
+    lengths = np.array([len(t) for t in tokens])
+    if not lengths.any():
+        return Model(np.zeros(BUCKETS, np.float32), float(np.log(y.mean() / (1 - y.mean()))))
+    y, lengths, flat = y[lengths > 0], lengths[lengths > 0], np.concatenate(tokens)
     if y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), 40.0 if y[0] else -40.0)
-    # In parts and as 32-bit numbers: the n-grams of all words are the largest thing that the driver holds.
-    words, bucket, owner = list(index), [], []
-    for at in range(0, len(words), 20_000):
-        b, o = word_grams(words[at:at + 20_000])
-        bucket.append(b.astype(np.int32))
-        owner.append((o + at).astype(np.int32))
-    bucket, owner = np.concatenate(bucket), np.concatenate(owner)
-    n_grams = np.bincount(owner, minlength=len(index))
-    flat = np.concatenate(tokens)
-    windows = [np.arange(0, len(t), WINDOW) for t in tokens]
-    doc_at = np.cumsum([0, *[len(t) for t in tokens[:-1]]])
-    starts = np.concatenate([w + a for w, a in zip(windows, doc_at)])
-    sizes = np.diff(np.append(starts, len(flat)))
-    first_window = np.cumsum([0, *[len(w) for w in windows[:-1]]])
-    window_doc = np.repeat(np.arange(len(tokens)), [len(w) for w in windows])
-    window_of = np.repeat(np.arange(len(sizes)), sizes)
+    words, n_words = list(index), len(index)
+    del tokens, index
+    parts = []  # (buckets, words of the part, n-grams of each)
+    for at in range(0, n_words, WORDS):
+        bucket, owner = word_grams(words[at:at + WORDS])
+        parts.append((bucket.astype(np.int32), slice(at, min(at + WORDS, n_words)), np.bincount(owner)))
+    del words
+    left, right, first_window = windows_of(lengths)
+    left, right = flat[left], flat[right]
+    window_doc = np.repeat(np.arange(len(lengths), dtype=np.int32), np.diff(np.append(first_window, len(left))))
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
 
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 1.0, DIM), np.array([-1.0])]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+    value = np.zeros(n_words)
     for step in range(1, PASSES + 1):
         table, out, bias = params
-        value = np.bincount(owner, (table @ out)[bucket], len(index)) / n_grams
-        window = np.add.reduceat(value[flat], starts) / sizes
+        gram = table @ out
+        for bucket, mine, count in parts:
+            value[mine] = np.add.reduceat(gram[bucket], np.cumsum(count) - count) / count
+        window = (value[left] + value[right]) / 2
         sharp = SHARP[0] * (SHARP[1] / SHARP[0]) ** (step / PASSES)
         share = np.exp(sharp * (window - np.maximum.reduceat(window, first_window)[window_doc]))
         share /= np.add.reduceat(share, first_window)[window_doc]
         error = (_sigmoid(np.add.reduceat(share * window, first_window) + bias[0]) - y) * weight
-        per_window = error[window_doc] * share / sizes
-        per_word = np.bincount(flat, per_window[window_of], len(index))
-        per_gram = np.bincount(bucket, (per_word / n_grams)[owner], BUCKETS)
+        share *= error[window_doc] / 2
+        per_word = np.bincount(left, share, n_words) + np.bincount(right, share, n_words)
+        per_gram = np.zeros(BUCKETS)
+        for bucket, mine, count in parts:
+            per_gram += np.bincount(bucket, np.repeat(per_word[mine] / count, count), BUCKETS)
         grads = [np.outer(per_gram, out), per_gram @ table, np.array([error.sum()])]
         for p, g, (m, v) in zip(params, grads, moments):
             m += 0.1 * (g - m)
@@ -139,22 +155,26 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, use: Column, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(id, text, label) of at most ``SAMPLE_ROWS`` labelled documents of a class, the smallest id hashes first."""
+    """(id, text, label) of at most ``SAMPLE_ROWS`` labelled documents of a class, the smallest id hashes first.
+
+    Labels of one id that agree count once. An id labelled both ways is learned from as both, and of rows that repeat an
+    id one text is taken, the smallest, so the bound holds for rows too.
+    """
     known = labels.where(use & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_x_id"), F.col(label_col).alias("_x_label")).distinct()
     order = [F.xxhash64("_x_id"), F.col("_x_id")]
     picked = [known.where(F.col("_x_label") == c).orderBy(*order).limit(SAMPLE_ROWS[c]) for c in (0, 1)]
     # At most sum(SAMPLE_ROWS) ids, whatever the size of the tables.
     chosen = F.broadcast(picked[0].unionAll(picked[1]))
     texts = docs.where(F.char_length(text_col) <= SAMPLE_CHARS).select(F.col(id_col).alias("_x_id"), F.col(text_col).alias("_x_text"))
-    return texts.join(chosen, "_x_id")
+    return texts.join(chosen, "_x_id").groupBy("_x_id", "_x_label").agg(F.min("_x_text").alias("_x_text"))
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> Model:
     """A model from the labelled rows for which ``use`` holds, by a bounded sample of them (see :func:`sample`)."""
-    rows = sample(docs, labels, F.lit(True) if use is None else use, id_col, text_col, label_col).collect()
-    rows.sort(key=lambda r: (r["_x_id"], r["_x_text"], r["_x_label"]))
+    rows = sample(docs, labels, F.lit(True) if use is None else use, id_col, text_col, label_col).select("_x_id", "_x_text", "_x_label").toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["_x_id"], r["_x_label"]))
     return train([r["_x_text"] for r in rows], [int(r["_x_label"]) for r in rows])
 
 
@@ -170,21 +190,24 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            sizes = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch[text_col]])
+            at = 0
+            while at < batch.num_rows:
+                to = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BYTES, "right"))
+                part = batch.slice(at, max(1, min(to - at, ROWS)))
+                at += part.num_rows
                 tokens = [words_of(x.as_py() or "") for x in part[text_col]]
-                new = list({w for t in tokens for w in t if w not in known})
-                if len(known) + len(new) > MEMO:
+                if len(known) > MEMO:
                     known.clear()
-                    new = list({w for t in tokens for w in t})
+                new = list({w for t in tokens for w in t if w not in known})
                 known.update(zip(new, model.word_values(new).tolist()))
-                tops = []
-                for words in tokens:
-                    value = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-                    starts = np.arange(0, len(words), WINDOW)
-                    sizes = np.diff(np.append(starts, len(words)))
-                    tops.append((np.add.reduceat(value, starts) / sizes).max() if len(words) else 0.0)
-                scores = pa.array(_sigmoid(np.asarray(tops) + model.bias), pa.float64())
+                lengths = np.array([len(t) for t in tokens])
+                tops = np.zeros(len(tokens))
+                if lengths.any():
+                    value = np.fromiter((known[w] for t in tokens for w in t), np.float64, int(lengths.sum()))
+                    left, right, first_window = windows_of(lengths[lengths > 0])
+                    tops[lengths > 0] = np.maximum.reduceat((value[left] + value[right]) / 2, first_window)
+                scores = pa.array(_sigmoid(tops + model.bias), pa.float64())
                 yield pa.RecordBatch.from_arrays([*[part[c] for c in kept], scores], [*kept, out_col])
 
     return docs.select(*kept).mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], f"`{out_col}` double"]))

@@ -29,7 +29,7 @@ def test_every_stage_equals_its_plain_version(spark, tmp_path):
     assert sorted(pairs(lines)) == sorted((i, t) for i, t, _, _ in deduped(pairs(clean)))
     assert (lines["n_chars"] == lines["text"].str.len()).all()
     rows = pairs(lines)
-    groups = similar(rows)
+    groups = similar(rows, *corpus_pipeline.NEAR)
     assert sorted(pairs(single)) == sorted(r for x, r in enumerate(rows) if groups[x][1] == r[0])
     times = Counter(dict(duck(f"SELECT doc_id, CASE WHEN size = 0 THEN 0 ELSE taken // size END FROM ({MIX_SQL})", {"documents": single})))
     empty = {i for i, t in pairs(single) if not t.split()}
@@ -53,6 +53,8 @@ def test_stages_keep_odd_rows(spark, tmp_path):
         kept = stage(spark, kept, str(tmp_path))
         assert kept.columns == docs.columns
     assert kept.count() == len(rows)
+    again = [(7, "one row written twice", "en", "s", 21)] * 2
+    assert corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(again, schema), str(tmp_path)).count() == 1
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     none = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:

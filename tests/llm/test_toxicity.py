@@ -55,6 +55,72 @@ def test_vectorised_grams_equal_a_plain_loop():
     assert len(shared) >= 9 and not set(bucket[owner == 0]) & set(bucket[owner == 2])
 
 
+def plain_train(texts, labels, passes, seed=7):
+    """The training rule, word by word and window by window."""
+    docs = [t.words_of(x) for x in texts]
+    grams = {w: t.word_grams([w])[0].tolist() for d in docs for w in d}
+    share_of = {1: 0.5 / sum(labels), 0: 0.5 / (len(labels) - sum(labels))}
+    rng = np.random.default_rng(seed)
+    params = [rng.normal(0, 0.1, (t.BUCKETS, t.DIM)), rng.normal(0, 1.0, t.DIM), np.array([-1.0])]
+    m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    for step in range(1, passes + 1):
+        table, out, bias = params
+        sharp = t.SHARP[0] * (t.SHARP[1] / t.SHARP[0]) ** (step / t.PASSES)
+        grad, total = np.zeros(t.BUCKETS), 0.0
+        for words, y in zip(docs, labels):
+            pairs = list(zip(words, words[1:])) or [(words[0], words[0])]
+            value = {w: np.mean([table[g] @ out for g in grams[w]]) for w in words}
+            window = np.array([(value[a] + value[b]) / 2 for a, b in pairs])
+            weight = np.exp(sharp * (window - window.max()))
+            weight /= weight.sum()
+            error = (1 / (1 + np.exp(-(weight @ window + bias[0]))) - y) * share_of[y]
+            total += error
+            for (a, b), x in zip(pairs, weight):
+                for w in (a, b):
+                    for g in grams[w]:
+                        grad[g] += error * x / 2 / len(grams[w])
+        for i, g in enumerate([np.outer(grad, out), grad @ table, np.array([total])]):
+            m[i] = 0.9 * m[i] + 0.1 * g
+            v[i] = 0.999 * v[i] + 0.001 * g * g
+            params[i] = params[i] - t.RATE * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-9)
+        params[0] = params[0] * (1 - t.RATE * t.DECAY)
+    return params[0] @ params[1], params[2][0]
+
+
+def test_training_and_scoring_equal_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(t, "PASSES", 4)
+    monkeypatch.setattr(t, "WORDS", 3)
+    texts = ["you stupid tree", "river", "stone cloud garden stone", "idiot", "a paper idiot window", "winter winter"]
+    labels = [1, 0, 0, 1, 1, 0]
+    model = t.train(texts, labels)
+    grams, bias = plain_train(texts, labels, 4)
+    assert np.allclose(model.grams, grams, atol=1e-5) and abs(model.bias - bias) < 1e-6
+    rows = [(i, x) for i, x in enumerate([*texts, "", "new words stupidd here"])]
+    got = {r["doc_id"]: r["score"] for r in t.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, x in rows:
+        words = t.words_of(x)
+        value = [np.mean(model.grams[t.word_grams([w])[0]]) for w in words]
+        top = max([(a + b) / 2 for a, b in zip(value, value[1:])] or value or [0.0])
+        assert abs(got[i] - 1 / (1 + np.exp(-(top + model.bias)))) < 1e-6
+
+
+def test_a_word_in_front_hides_nothing(spark):
+    rows = corpus()
+    model = t.train([x for _, x, _ in rows], [y for _, _, y in rows])
+    docs = spark.createDataFrame([(i, x) for i, x, _ in rows] + [(1_000 + i, "garden " + x) for i, x, _ in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in t.score(docs, model).collect()}
+    assert all(got[1_000 + i] >= got[i] - 1e-9 for i, _, _ in rows)
+
+
+def test_repeated_and_contradicting_labels(spark):
+    docs = spark.createDataFrame([(i, x) for i, x, _ in corpus()] + [(3, "another text")] * 5, "doc_id long, text string")
+    labels = [(i, y) for i, _, y in corpus()]
+    one = t.sample(docs, spark.createDataFrame(labels * 3, "doc_id long, toxic int"), F.lit(True), "doc_id", "text", "toxic").collect()
+    assert len(one) == len(labels) and {r["_x_text"] for r in one if r["_x_id"] == 3} == {"another text"}
+    both = t.sample(docs, spark.createDataFrame([*labels, (4, 1), (4, 0)], "doc_id long, toxic int"), F.lit(True), "doc_id", "text", "toxic").collect()
+    assert sorted(r["_x_label"] for r in both if r["_x_id"] == 4) == [0, 1]
+
+
 @needs_data
 def test_query_on_held_out_rows(spark):
     from tallymark.llm.queries import QUERIES
