@@ -316,10 +316,38 @@ def delta_listing(spark, d):
     return rounded(rows.select("doc_id", "delta")).join(F.broadcast(zero))
 
 
-@check("paired_bootstrap")
+def _bootstrap_sql(where: str, resamples: int) -> str:
+    """Intervals by the same stream: every draw of every resample, once per distinct group size."""
+    bits = "18446744073709551615::UHUGEINT"
+    low, high = (-(-resamples * p // 1000) for p in (25, 975))
+    return sql(f"""
+    SELECT metric, subset, n, round(mean, 6) + 0.0e0 AS mean, round(m[{low}], 6) + 0.0e0 AS low, round(m[{high}], 6) + 0.0e0 AS high,
+           m[{low}] > 0 OR m[{high}] < 0 AS significant, 'stream' AS method
+    FROM (SELECT metric, subset, any_value(n) AS n, any_value(mean) AS mean, list_sort(list(total / n)) AS m FROM resampled GROUP BY metric, subset)""",
+        "judged_scores", extra=_PAIRED | {
+            "subsets": f"SELECT doc_id, metric, source AS subset, delta FROM paired WHERE {where} UNION ALL SELECT doc_id, metric, 'combined', delta FROM paired WHERE {where}",
+            "placed": """SELECT metric, subset, delta, count(*) OVER g AS n, avg(delta) OVER g AS mean, row_number() OVER (g ORDER BY doc_id, delta) - 1 AS idx
+                FROM subsets WHERE delta IS NOT NULL WINDOW g AS (PARTITION BY metric, subset)""",
+            "z0": f"""SELECT n, r, (42::UHUGEINT + (r * n + i + 1)::UHUGEINT * 11400714819323198485::UHUGEINT) & {bits} AS z
+                FROM (SELECT DISTINCT n FROM placed), range({resamples}) AS x(r), unnest(range(n)) AS y(i)""",
+            "z1": f"SELECT n, r, (xor(z, z >> 30::UHUGEINT) * 13787848793156543929::UHUGEINT) & {bits} AS z FROM z0",
+            "z2": f"SELECT n, r, (xor(z, z >> 27::UHUGEINT) * 10723151780598845931::UHUGEINT) & {bits} AS z FROM z1",
+            "drawn": "SELECT n, r, ((xor(z, z >> 31::UHUGEINT) * n::UHUGEINT) >> 64::UHUGEINT)::BIGINT AS idx FROM z2",
+            "counted": "SELECT n, r, idx, count(*) AS c FROM drawn GROUP BY n, r, idx",
+            "resampled": """SELECT metric, subset, r, any_value(p.n) AS n, any_value(mean) AS mean, sum(delta * c) AS total
+                FROM placed p JOIN counted USING (n, idx) GROUP BY metric, subset, r"""})
+
+
+@check("paired_bootstrap", _bootstrap_sql("true", 200))
 def paired_bootstrap(spark, d):
-    """All metrics and subsets with 10,000 resamples; sizes and means are compared in ``compare_shown``, intervals in the tests."""
-    return rounded(C.paired_bootstrap(C.subset_rows(paired(spark, d)), ["metric", "subset"]))
+    """All metrics and subsets, with 200 resamples; ``compare_intervals`` has the default number."""
+    return rounded(C.paired_bootstrap(C.subset_rows(paired(spark, d)), ["metric", "subset"], resamples=200))
+
+
+@check("compare_intervals", _bootstrap_sql("metric = 'composite'", 10_000))
+def compare_intervals(spark, d):
+    """The intervals of a comparison at the default 10,000 resamples, for the composite in every subset."""
+    return rounded(C.paired_bootstrap(C.subset_rows(paired(spark, d, ("composite",))), ["metric", "subset"]))
 
 
 @check("compare_rows")

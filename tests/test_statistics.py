@@ -77,6 +77,43 @@ def test_blocks_of_deltas_change_nothing(spark, block):
     assert interval(spark, deltas, resamples=700, index_block=block) == interval(spark, deltas, resamples=700)
 
 
+def test_shares_of_blocks_are_one_multinomial():
+    """Every resample's shares add up to n, and over many resamples they have the means and variances of draws by size."""
+    n, size = 2_350, 300
+    blocks, shares = -(-n // size), []
+    for r0 in range(0, 4_000, 500):
+        rs = np.arange(r0, r0 + 500)
+        shares.append(np.stack([C.block_draws(42, n, b, rs, size) for b in range(blocks)], axis=1))
+    shares = np.concatenate(shares)
+    assert (shares.sum(axis=1) == n).all() and shares.min() >= 0
+    p = np.minimum(size, n - size * np.arange(blocks)) / n
+    assert np.abs(shares.mean(axis=0) - n * p).max() < 4 * math.sqrt(n / 4 / len(shares))
+    assert np.allclose(shares.var(axis=0), n * p * (1 - p), rtol=0.12)
+    assert not np.array_equal(shares[:500], shares[500:1_000])
+
+
+def test_a_block_makes_only_its_own_draws():
+    n, size, made = 1_000, 64, 0
+    for b in range(-(-n // size)):
+        made += sum(int(c.sum()) for c in C.hierarchical_counts(7, n, b, np.arange(20), size))
+    assert made == 20 * n
+
+
+def test_both_methods_agree_but_for_chance(spark):
+    rng = random.Random(5)
+    deltas = [rng.choice([-1.0, 0.0, 0.25, 0.5]) for _ in range(2_000)]
+    stream = interval(spark, deltas, resamples=4_000)
+    tree = interval(spark, deltas, resamples=4_000, method=C.HIERARCHICAL, index_block=128)
+    error = np.std(deltas) / math.sqrt(len(deltas))
+    assert (stream.method, tree.method) == ("stream", "hierarchical") and stream.n == tree.n and stream.mean == tree.mean
+    assert abs(stream.low - tree.low) < 0.2 * error and abs(stream.high - tree.high) < 0.2 * error and stream.low != tree.low
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 7)
+    assert interval(spark, deltas, resamples=4_000, method=C.HIERARCHICAL, index_block=128) == tree
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert tuple(interval(spark, [-0.25] * 50, method=C.HIERARCHICAL, index_block=7))[2:5] == (-0.25,) * 3
+
+
 def test_no_deltas_are_an_error(spark):
     rows = spark.createDataFrame([("m", 1, None)], "metric string, doc_id long, delta double")
     with pytest.raises(ValueError, match="no deltas"):
@@ -85,7 +122,7 @@ def test_no_deltas_are_an_error(spark):
 
 def test_bootstrap_arguments(spark):
     rows = spark.createDataFrame([("m", 1, 0.5)], "metric string, doc_id long, delta double")
-    for options in ({"resamples": 0}, {"confidence": 1.0}, {"confidence": 0.0}):
+    for options in ({"resamples": 0}, {"confidence": 1.0}, {"confidence": 0.0}, {"method": "other"}):
         with pytest.raises(ValueError):
             C.paired_bootstrap(rows, ["metric"], **options)
 
