@@ -7,7 +7,8 @@ order matters, so no plain join gives the result. Two forms:
 * :func:`line_match` works on the arrays inside a document row (one document is one record) and shuffles nothing.
 * :func:`match_line_tables` works on line *tables*, where a document may be of any length. Lines whose amounts lie
   further apart than the tolerance can never meet, so a document splits into runs of neighbouring amounts that are
-  matched apart and summed; no task needs the whole document.
+  matched apart and summed; no task needs the whole document. Inside a run, lines of one side with equal amounts and
+  token sets are one entry with their places, so descriptions are compared once per pair of entries.
 """
 
 from __future__ import annotations
@@ -41,6 +42,36 @@ def _fold(golden: Column, predicted: Column, min_overlap: float, tol) -> Column:
     return F.aggregate(golden, start, step, lambda state: state["matched"])
 
 
+def _fold_entries(golden: Column, predicted: Column, min_overlap: float, tol) -> Column:
+    """Matches of two arrays of entries struct(amount, tokens, places), the places of an entry in order.
+
+    The lines of the golden entries are visited in golden order. An entry's options are the predicted entries that it can
+    match, best overlap first; a line takes the first option with a place left, of equal overlaps the earliest place.
+    """
+    def options(g):
+        rated = F.transform(predicted, lambda p, j: F.struct(
+            F.when(amount_match(g["amount"], p["amount"], tol), -token_jaccard(g["tokens"], p["tokens"])).alias("key"), j.alias("j")))
+        return F.array_sort(F.filter(rated, lambda x: x["key"] <= F.lit(-min_overlap)))
+
+    visits = F.array_sort(F.flatten(F.transform(golden, lambda g, i: F.transform(g["places"], lambda at: F.struct(at.alias("at"), i.alias("i"))))))
+    # What stays the same is carried along, so it is worked out once and not for every line.
+    start = F.struct(
+        F.lit(0).alias("matched"), F.transform(predicted, lambda p: F.lit(0)).alias("used"),
+        F.transform(golden, options).alias("options"), F.transform(predicted, lambda p: p["places"]).alias("places"))
+
+    def step(state, visit):
+        used, places = state["used"], state["places"]
+        free = F.filter(F.get(state["options"], visit["i"]), lambda o: F.get(used, o["j"]) < F.size(F.get(places, o["j"])))
+        top = F.get(free, F.lit(0))["key"]
+        taken = F.array_min(F.transform(F.filter(free, lambda o: o["key"] == top), lambda o: F.struct(
+            F.get(F.get(places, o["j"]), F.get(used, o["j"])).alias("at"), o["j"].alias("j"))))["j"]
+        return F.when(taken.isNull(), state).otherwise(F.struct(
+            (state["matched"] + 1).alias("matched"), F.transform(used, lambda u, j: u + (j == taken).cast("int")).alias("used"),
+            state["options"].alias("options"), places.alias("places")))
+
+    return F.aggregate(visits, start, step, lambda state: state["matched"])
+
+
 def line_match(golden_lines: Column, predicted_lines: Column, min_overlap: float = MIN_OVERLAP, tol=TOLERANCE) -> Column:
     """Number of matched lines of two line arrays; null when the golden array is null."""
     folded = _fold(_prepared(golden_lines), _prepared(predicted_lines), min_overlap, tol)
@@ -95,12 +126,13 @@ def match_line_tables(
     runs = runs.withColumn("_run", F.sum("_new").over(by_amount)).drop("g", "p", "_new")
 
     placed = sides.where(F.col("amount").isNotNull()).join(runs, [*keys, "amount"])
-    entry = F.struct("idx", "amount", "description")
-    grouped = placed.groupBy(*keys, "_run").agg(
-        F.array_sort(F.collect_list(F.when(F.col("is_golden"), entry))).alias("gold"),
-        F.array_sort(F.collect_list(F.when(~F.col("is_golden"), entry))).alias("pred"))
+    kinds = placed.withColumn("tokens", F.array_sort(tokens(F.col("description")))).groupBy(
+        *keys, "_run", "is_golden", "amount", "tokens").agg(F.array_sort(F.collect_list("idx")).alias("places"))
+    entry = F.struct("amount", "tokens", "places")
+    grouped = kinds.groupBy(*keys, "_run").agg(
+        F.collect_list(F.when(F.col("is_golden"), entry)).alias("gold"), F.collect_list(F.when(~F.col("is_golden"), entry)).alias("pred"))
     hits = grouped.where((F.size("gold") > 0) & (F.size("pred") > 0)).select(
-        *keys, _fold(_prepared(F.col("gold")), _prepared(F.col("pred")), min_overlap, tol).alias("m"))
+        *keys, _fold_entries(F.col("gold"), F.col("pred"), min_overlap, tol).alias("m"))
     matched = hits.groupBy(*keys).agg(F.sum("m").alias("matched"))
     if documents is None:
         known = counts.where("n_golden > 0")
