@@ -26,8 +26,8 @@ MEMO, ROWS, BYTES = 250_000, 1_024, 1 << 22
 RARE, FREQUENT, SMALL = 32, 1_024, 4
 # Passes that try one candidate per set before all that is left is tried, and shingles of either side that meet at once.
 TRIES, LOAD = 2, 250_000
-# Growth of the size classes of the first pass.
-STEP = 1.25
+# Growth of the size classes of the first pass, and parts there for each shingle that linked sets may differ in.
+STEP, MORE = 1.25, 1.25
 
 
 class WordHashes(dict):
@@ -69,22 +69,21 @@ class SizeClass(NamedTuple):
     low: int
     spare: int
     parts: int
-    empty: int  # so many parts may be empty without any doubt
 
 
 def size_classes(num: int, den: int) -> list[SizeClass]:
     """Classes of the smaller one of two linked sets; ``spare`` is the most that lies in only one of them.
 
-    There is a part more than that, and as many again as may be empty in both sets: twice what is expected, and one.
+    There are ``MORE`` times as many parts, and as many again as are expected to be empty.
     """
     out, low = [], 1
     while low < 1 << 40:
         high = max(low + 1, int(low * STEP))
         spare = (high - 1) * (den - num) // num
-        parts = spare + 2
+        parts = enough = int((spare + 1) * MORE) + 1
         for _ in range(8):
-            parts = spare + 2 + int(2 * parts * np.exp(-low / parts))
-        out.append(SizeClass(low, spare, parts, parts - spare - 1))
+            parts = enough + int(parts * np.exp(-low / parts))
+        out.append(SizeClass(low, spare, parts))
         low = high
     return out
 
@@ -95,13 +94,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-def part_hashes(grams: np.ndarray, classes: list[SizeClass], lows: list[int], num: int, den: int) -> tuple[list[np.ndarray], bool]:
-    """Hashes of the parts of a set in every class it can be in with a linked one, and whether it has too many empty parts.
+def part_hashes(grams: np.ndarray, classes: list[SizeClass], lows: list[int], num: int, den: int) -> list[tuple[int, int, np.ndarray]]:
+    """(class, need, hashes of the parts that are not empty) for every class in which a set can be linked with another.
 
-    Two linked sets meet in the class of the smaller one. What lies in only one of them touches fewer parts than there
-    are beyond those empty in both, so a part with something in it is the same in both, unless both are in doubt.
+    Two linked sets meet in the class of the smaller one. What lies in only one of them touches at most ``spare`` parts,
+    so all other parts are the same in both, and of those at most as many are empty as this set has empty ones: ``need``
+    is what is left. A set that shares fewer parts than that with all others together is not linked in that class; one
+    that needs none cannot be ruled out.
     """
-    out, doubt = [], False
+    out = []
     codes = _mixed(grams.view(np.uint64))
     for at in range(bisect_right(lows, -(-num * len(grams) // den)) - 1, bisect_right(lows, len(grams))):
         kind = classes[at]
@@ -109,11 +110,10 @@ def part_hashes(grams: np.ndarray, classes: list[SizeClass], lows: list[int], nu
             continue
         place = ((grams >> 32) + (1 << 31)) * kind.parts >> 32  # the shingles are in order, and so are their parts
         first = np.flatnonzero(np.diff(place, prepend=-1))
-        doubt = doubt or kind.parts - len(first) > kind.empty
         with np.errstate(over="ignore"):
             held = np.add.reduceat(codes, first)
-        out.append(_mixed(held ^ _mixed((place[first] + (at << 44)).astype(np.uint64))).view(np.int64))
-    return out, doubt
+        out.append((at, len(first) - kind.spare, _mixed(held ^ _mixed((place[first] + (at << 44)).astype(np.uint64))).view(np.int64)))
+    return out
 
 
 def _digest(grams: np.ndarray) -> tuple[int, int]:
@@ -132,14 +132,19 @@ def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(width: int, num: int, den: int):
-    """(the row's key, n, node, check, sure, parts) of every text.
+    """(the row's key, n, node, check, parts, needs) of every text.
 
     Of texts looked at together that share a part only the first keeps it, so a large group of copies does not come
-    whole to one place; those that are not equal are ``sure`` to share a part, as are sets in doubt.
+    whole to one place. If they are not all equal, each of them has got that part already: it is in its ``got``, and
+    ``counted`` where it is kept.
     """
     classes = size_classes(num, den)
     lows = [c.low for c in classes]
 
+    def listed(counts: np.ndarray, fields: dict) -> pa.ListArray:
+        return pa.ListArray.from_arrays(
+            pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(x) for x in fields.values()], list(fields)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
@@ -147,24 +152,26 @@ def _sets(width: int, num: int, den: int):
                 sets = [shingles(x.as_py() or "", width, known) for x in part["_j_text"]]
                 digests = [_digest(s) for s in sets]
                 node = np.array([d[0] for d in digests], np.int64)
-                found = [part_hashes(s, classes, lows, num, den) if len(s) else ([], False) for s in sets]
-                sure = np.array([d for _, d in found], bool)
-                sizes = [sum(map(len, p)) for p, _ in found]
-                flat = np.concatenate([x for p, _ in found for x in p]) if sum(sizes) else np.zeros(0, np.int64)
-                owner = np.repeat(np.arange(len(sets)), sizes)
-                keep = np.zeros(len(flat), bool)
+                found = [part_hashes(s, classes, lows, num, den) if len(s) else [] for s in sets]
+                groups = np.array([len(f) for f in found])
+                rows = [x for f in found for x in f]  # one per text and class
+                kind = np.array([k for k, _, _ in rows], np.int32)
+                flat = np.concatenate([h for _, _, h in rows]) if rows else np.zeros(0, np.int64)
+                row = np.repeat(np.arange(len(rows)), [len(h) for _, _, h in rows])
+                owner = np.repeat(np.arange(len(sets)), groups)[row]
+                first, shared = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
                 if len(flat):
                     order = np.argsort(flat, kind="stable")
-                    first = np.flatnonzero(np.diff(flat[order], prepend=flat[order[0]] ^ 1))
+                    begin = np.flatnonzero(np.diff(flat[order], prepend=flat[order[0]] ^ 1))
                     nodes = node[owner[order]]
-                    several = np.minimum.reduceat(nodes, first) != np.maximum.reduceat(nodes, first)
-                    sure[owner[order][np.repeat(several, np.diff(np.append(first, len(flat))))]] = True
-                    keep[order[first]] = True
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=len(sets)))]).astype(np.int32)
+                    several = np.minimum.reduceat(nodes, begin) != np.maximum.reduceat(nodes, begin)
+                    shared[order] = np.repeat(several, np.diff(np.append(begin, len(flat))))
+                    first[order[begin]] = True
                 yield pa.RecordBatch.from_arrays(
                     [*[part[c] for c in KEY], pa.array([len(s) for s in sets], pa.int64()), pa.array(node), pa.array([d[1] for d in digests], pa.int64()),
-                     pa.array(sure), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[keep]))],
-                    [*KEY, "n", "node", "check", "sure", "parts"])
+                     listed(np.bincount(owner[first], minlength=len(sets)), {"part": flat[first], "kind": kind[row[first]], "counted": shared[first]}),
+                     listed(groups, {"kind": kind, "need": np.array([n for _, n, _ in rows], np.int32), "got": np.bincount(row, shared, len(rows)).astype(np.int32)})],
+                    [*KEY, "n", "node", "check", "parts", "needs"])
     return run
 
 
@@ -333,7 +340,7 @@ def labelled(
 
     Two documents link if ``den`` times their common shingles are at least ``num`` times all of theirs (at least half).
     Equal sets are one node. A first pass cuts every set by hash into more parts than a linked set can differ in, and
-    keeps the sets that share a part with another one. These are ordered rarest shingle first and indexed by
+    keeps the sets that share enough parts with others. These are ordered rarest shingle first and indexed by
     token-combination prefixes (see :func:`signatures`), and candidates are verified on whole sets. Shingles and parts
     are known by 64-bit hashes, sets by digests of which nodes carry 64 bits, texts by 128-bit hashes.
 
@@ -345,12 +352,14 @@ def labelled(
     text = F.col(text_col)
     base = docs.select(F.col(id_col).alias("_j_id"), *[h.alias(k) for h, k in zip(pair_hash(text), KEY[1:])], text.alias("_j_text"))
     kind = base.schema["_j_id"].dataType.simpleString()
-    members = stored(base.mapInArrow(
-        _sets(width, num, den), f"_j_id {kind}, _j_high long, _j_low long, n long, node long, check long, sure boolean, parts array<long>"), "members")
+    members = stored(base.mapInArrow(_sets(width, num, den), f"""_j_id {kind}, _j_high long, _j_low long, n long, node long, check long,
+        parts array<struct<part: long, kind: int, counted: boolean>>, needs array<struct<kind: int, need: int, got: int>>"""), "members")
     shares = Window.partitionBy("part").orderBy("node")
     other = (F.lag("node").over(shares) != F.col("node")) | (F.lead("node").over(shares) != F.col("node"))
-    parted = members.select("node", F.explode("parts").alias("part")).select("node", other.alias("other")).where("other").select("node")
-    candidates = members.where("sure").select("node").unionAll(parted).distinct()
+    parted = members.select("node", F.explode("parts").alias("p")).select("node", "p.*").withColumn("other", other).where("other and not counted")
+    needs = members.select("node", F.explode("needs").alias("p")).select("node", "p.*")
+    candidates = needs.unionByName(parted.select("node", "kind", F.lit(None).cast("int").alias("need"), F.lit(1).alias("got"))).groupBy("node", "kind").agg(
+        F.min("need").alias("need"), F.sum("got").alias("got")).where("got >= need").select("node").distinct()
     # One text per candidate: the first row's, known by its id and its text.
     first = F.min(F.struct(F.col("_j_id").isNull(), *KEY)).alias("s")
     kept = stored(members.where("n > 0").select("node", *KEY).join(candidates, "node", "left_semi").groupBy("node").agg(first).select(
@@ -361,12 +370,12 @@ def labelled(
     sets = stored(texts.mapInArrow(_whole(width), "node long, n long, grams array<long>").dropDuplicates(["node"]), "sets")
     rows = sets.select("node", "n", F.explode("grams").alias("gram"))
     counts = rows.groupBy("gram").agg(F.count(F.lit(1)).cast("long").alias("c")).where("c > 1")
-    ordered = rows.join(counts, "gram").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "gram"))).alias("shared"))
+    ordered = maybe_in(rows, counts, ("gram",)).join(counts, "gram").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "gram"))).alias("shared"))
     index = ordered.mapInArrow(_signed(num, den, classes), "sig long, node long, n long")
     several = index.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig")
     index = stored(index.join(several, "sig"), "index")
     labels = linked(index, sets, num, den)
-    return members.drop("sure", "parts").join(labels, "node", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "node")))
+    return members.drop("parts", "needs").join(labels, "node", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "node")))
 
 
 def similar_groups(
