@@ -45,8 +45,19 @@ _TEXTS = {
 }
 
 
+_ODD = """concat(
+    if(doc_id % 59 = 4 and invoice_number is not null, '"NUMBER":{"text":"INVOICE ID OLD","bbox":[[1,2],[3,4]]},', ''),
+    if(doc_id % 59 = 4 and invoice_date is not null, '"DATE":{"text":"soon"},', ''), if(doc_id % 59 = 4, '"TOTAL":[],"OTHER":{"text":"old page"},', ''),
+    if(doc_id % 59 = 4, concat('"OTHER":', to_json(struct(concat('Page ', doc_id, '  \\r\\n', customer_name, ' \\n\\n') as text)), ','), ''),
+    if(doc_id % 61 = 6, '"STAMP":{"text":"PAID","bbox":[[5.0,900.0]]},"MARK":{"text":"COPY"},"SEAL":{"text":"X","bbox":[[1.0],[2.0]]},', ''),
+    if(doc_id % 67 = 8 and doc_id % 2 = 1 and tax is not null, '"TAX":{"text":"none"},', ''))"""
+
+
 def annotations(spark, d):
-    """(name, raw, doc_id, ...): one annotation document per invoice, with tables, boxes without text, and OCR text."""
+    """(name, raw, doc_id, ...): one annotation document per invoice, with tables, boxes without text, and OCR text.
+
+    Some name a key twice, of which the last counts, or hold a span whose box has one corner or none, which has no place.
+    """
     golden = t.golden(spark, d)
     spans = F.create_map(*[x for key, text in _TEXTS.items() for x in (F.lit(key), F.when(F.expr(text).isNotNull(), F.struct(
         F.expr(text).alias("text"), F.array(F.array(*map(F.lit, _BOXES[key][:2])), F.array(*map(F.lit, _BOXES[key][2:]))).alias("bbox"))))])
@@ -55,7 +66,7 @@ def annotations(spark, d):
     fixed = F.lit('{"TABLE":[[{"bbox":[[27.0,459.9],[527.0,387.9]]}]],"INVOICE_INFO":[],"LOGO":{"bbox":[[20,841],[110,751]]},"OTHER":')
     return golden.select(
         F.expr("concat('Template', 1 + doc_id % 50, '_Instance', doc_id)").alias("name"), "doc_id",
-        F.concat(fixed, ocr, F.lit(","), F.substr(body, F.lit(2))).alias("raw"))
+        F.concat(fixed, ocr, F.lit(","), F.expr(_ODD), F.substr(body, F.lit(2))).alias("raw"))
 
 
 _M = "({c} // 100) || '.' || lpad(CAST({c} % 100 AS VARCHAR), 2, '0')"
@@ -136,12 +147,12 @@ _ORDERED = ["CASE WHEN doc_id % 2 = 0 THEN 'Bill to:' || customer_name || chr(10
     SELECT doc_id, array_to_string(list_filter([{', '.join(_ORDERED)}], lambda x: x IS NOT NULL), chr(10)) || chr(10) AS text FROM ann""",
     "golden", extra=_ANN))
 def reading_order(spark, d):
-    return annotations(spark, d).select("doc_id", V.reading_order(V.spans_of(F.col("raw"))).alias("text"))
+    return V.with_spans(annotations(spark, d)).select("doc_id", V.reading_order(F.col("spans")).alias("text"))
 
 
 @check("ocr_text", sql("SELECT doc_id, 'Page ' || doc_id || chr(10) || customer_name || chr(10) AS text FROM golden", "golden"))
 def ocr_text(spark, d):
-    return annotations(spark, d).select("doc_id", V.ocr_text(V.spans_of(F.col("raw"))).alias("text"))
+    return V.with_spans(annotations(spark, d)).select("doc_id", V.ocr_text(F.col("spans")).alias("text"))
 
 
 # ---------- sampling ----------

@@ -19,14 +19,18 @@ ADDRESS_LABEL = r"(?i)^\s*Address\s*:\s*"
 CITY_LINE = r"^(.+?),?\s+([A-Z]{2})\s+(\d{5})\s+([A-Z]{2})$"
 
 
-def spans_of(raw: Column) -> Column:
-    """MAP<key, SPAN> of an annotation document; of a repeated key the last entry counts, and only objects are kept."""
-    parts = F.map_entries(F.from_json(raw, "map<string,string>"))
-    keys = F.reverse(F.transform(parts, lambda e: e["key"]))
-    last = F.filter(parts, lambda e, i: F.array_position(keys, e["key"]) == F.size(parts) - i)
-    objects = F.filter(last, lambda e: F.startswith(F.ltrim(e["value"]), F.lit("{")))
-    return F.map_from_entries(F.transform(objects, lambda e: F.struct(
-        e["key"].alias("key"), F.from_json(e["value"], SPAN).alias("value"))))
+def with_spans(df: DataFrame, raw: str = "raw", name: str = "spans") -> DataFrame:
+    """Adds MAP<key, SPAN> of an annotation document; of a repeated key the last entry counts, and only objects are kept.
+
+    The document is read once: its entries, and their keys from the last on, are columns of their own, for an expression
+    inside a lambda is worked out again for every entry.
+    """
+    df = df.withColumn("_parts", F.map_entries(F.from_json(F.col(raw), "map<string,string>")))
+    df = df.withColumn("_keys", F.reverse(F.transform("_parts", lambda e: e["key"])))
+    last = F.filter("_parts", lambda e, i: F.array_position(F.col("_keys"), e["key"]) == F.size("_keys") - i)
+    df = df.withColumn("_parts", F.filter(last, lambda e: F.startswith(F.ltrim(e["value"]), F.lit("{"))))
+    spans = F.transform("_parts", lambda e: F.struct(e["key"].alias("key"), F.from_json(e["value"], SPAN).alias("value")))
+    return df.withColumn(name, F.map_from_entries(spans)).drop("_parts", "_keys")
 
 
 def span_text(spans: Column, key: str) -> Column:
@@ -104,7 +108,7 @@ def currencies_of(spans: Column) -> Column:
 
 
 def _with_spans(annotations: DataFrame) -> DataFrame:
-    return annotations if "spans" in annotations.columns else annotations.withColumn("spans", spans_of(F.col("raw")))
+    return annotations if "spans" in annotations.columns else with_spans(annotations)
 
 
 def tax_rollup(annotations: DataFrame) -> DataFrame:

@@ -118,7 +118,7 @@ def test_odd_annotations_become_values_or_rejects(spark):
     got = {r.name: r for r in convert.convert_annotations(rows).collect()}
     assert float(got["L0_a"].invoice.total) == 2.0 and got["L2_a"].invoice.total is None and got["L3_a"].invoice.total is None
     assert all((r.invoice is None) != (r.reject_reason is None) for r in got.values())
-    order = rows.select("name", convert.reading_order(convert.spans_of(F.col("raw"))).alias("t")).where("name = 'L1_a'").first()
+    order = convert.with_spans(rows).select("name", convert.reading_order(F.col("spans")).alias("t")).where("name = 'L1_a'").first()
     assert order.t == "4\n"
 
 
