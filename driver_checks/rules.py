@@ -44,8 +44,8 @@ _KIND = "event_id % 6"
 
 @check("parse_verdict", f"""
     SELECT event_id, CASE {_KIND} WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS equivalent,
-           CASE {_KIND} WHEN 0 THEN event_type WHEN 1 THEN '' WHEN 2 THEN props WHEN 3 THEN 'unparsed: no JSON object'
-                WHEN 4 THEN 'unparsed: no boolean ''equivalent''' ELSE 'unparsed: empty response' END AS reason FROM events""")
+           CASE {_KIND} WHEN 0 THEN event_type WHEN 1 THEN '' WHEN 2 THEN props WHEN 3 THEN 'There are no braces in what the judge wrote.'
+                WHEN 4 THEN 'Neither true nor false is given under equivalent.' ELSE 'The judge wrote nothing.' END AS reason FROM events""")
 def parse_verdict_(spark, d):
     text = F.expr(f"""case {_KIND} when 0 then concat('{{"reason":" ', event_type, ' ","equivalent":true}}')
         when 1 then concat('So: {{"Equivalent":"False"}} (', value, ')')

@@ -48,6 +48,9 @@ def _answer_text(flat):
         .when(kind == 4, F.lit(""))
         .when(kind == 5, F.concat(F.lit("["), text, F.lit("]")))
         .when(kind == 6, F.concat(F.lit(" "), text, F.lit("\n")))
+        # Amounts in strings must be numbers and nothing else: neither padded nor with a plus sign.
+        .when(kind == 7, F.regexp_replace(text, '"subtotal":[^,]*,', '"subtotal":" 5 ",'))
+        .when(kind == 8, F.regexp_replace(text, '"tax":[^,]*,', '"tax":"+5",'))
         .otherwise(text)
     )
 
@@ -69,7 +72,7 @@ def answer_texts(spark, d):
            CASE WHEN NOT bad THEN CAST(len(p_line_items) AS BIGINT) END AS n_lines,
            CASE WHEN NOT bad THEN array_to_string(list_transform(p_line_items,
                 lambda x: coalesce(x.description, '-') || '=' || x.amount), ';') END AS line_text
-    FROM (SELECT *, doc_id % 31 <= 5 AS bad FROM answers)""", "answers"))
+    FROM (SELECT *, doc_id % 31 IN (0, 1, 2, 3, 4, 5, 7, 8) AS bad FROM answers)""", "answers"))
 def parse_answers(spark, d):
     parsed = S.parse_answers(answer_texts(spark, d))
     p = F.col("predicted")
@@ -140,12 +143,12 @@ def fold_match_(spark, d):
 
 @check("schema_validity", sql("""
     SELECT execution, config, doc_id, schema_validity,
-           CASE WHEN NOT parsed THEN 'Does not parse into an invoice: not JSON' ELSE concat_ws(' ',
+           CASE WHEN NOT parsed THEN 'No invoice could be read. not JSON' ELSE concat_ws(' ',
              CASE WHEN p_invoice_number IS NULL AND p_invoice_date IS NULL AND p_total IS NULL
-                  THEN 'invoiceNumber, invoiceDate and total are all null.' END,
-             CASE WHEN NOT regexp_full_match(p_currency, '[A-Z]{3}') THEN 'currency ''' || p_currency || ''' is not a 3-letter code.' END,
+                  THEN 'Number, date and total are missing, all three.' END,
+             CASE WHEN NOT regexp_full_match(p_currency, '[A-Z]{3}') THEN 'No currency code: ' || p_currency END,
              CASE WHEN len(list_filter(p_line_items, lambda x: x.description IS NULL)) > 0
-                  THEN 'lineItems[0] have no description.' END) END AS violations
+                  THEN 'Lines without a description: 0' END) END AS violations
     FROM rated""", "rated"))
 def schema_validity(spark, d):
     rows = S.schema_validity(t.scored(spark, d))
@@ -154,8 +157,8 @@ def schema_validity(spark, d):
 
 @check("reconcile_totals", sql("""
     SELECT doc_id, abs(total - rebuilt) <= 1 AS consistent, total - rebuilt AS difference, rebuilt AS reconciled_total,
-           CASE WHEN abs(total - rebuilt) <= 1 THEN 'Printed amounts reconcile.'
-                ELSE 'Printed total ' || total || ' differs from subtotal − discount + tax = ' || rebuilt || ' by ' || (total - rebuilt) || '.' END AS reason
+           CASE WHEN abs(total - rebuilt) <= 1 THEN 'The parts add up to the total.'
+                ELSE 'The parts add up to ' || rebuilt || ', the total says ' || total || ': off by ' || (total - rebuilt) END AS reason
     FROM (SELECT *, subtotal - coalesce(discount, 0) + coalesce(tax, 0) AS rebuilt FROM golden)""", "golden"))
 def reconcile_totals_(spark, d):
     rows = reconcile_totals(t.golden(spark, d).select("doc_id", "subtotal", "discount", "tax", "total"), CENT)

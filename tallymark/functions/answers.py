@@ -21,6 +21,7 @@ _KEYS = tuple(dict.fromkeys(
 # The first look-ahead settles that a quoted word is a property name before any name is tried.
 _MISCASED = '("(?=[A-Za-z]{{3,13}}"\\s*:)(?!(?:{0})")(?i:{0})"\\s*:)'.format("|".join(_KEYS))
 _ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
+_NUMBER = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
 
 _ALL = "|".join
 _PARTY_TEXTS = ("name", *ADDRESS.fieldNames())
@@ -82,7 +83,7 @@ def _amount(v: Column) -> Column:
 
 def _bad_amount(v: Column) -> Column:
     """True when a value is present but is neither a number nor a string that holds a number and nothing else."""
-    padded = (_kind(v) == "STRING") & ~F.try_variant_get(v, "$", "string").rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$")
+    padded = (_kind(v) == "STRING") & ~F.try_variant_get(v, "$", "string").rlike(_NUMBER)
     return (_kind(v) != "VOID") & (_kind(v).rlike("^(BOOLEAN|OBJECT|ARRAY)") | _amount(v).isNull() | padded)
 
 
@@ -146,7 +147,8 @@ def with_invoice(df: DataFrame, text_col: str) -> DataFrame:
         error = error.when(
             printed.isNotNull() & (~printed.rlike(_ISO_DATE) | F.col(f"_invoice.{f}").isNull()), f"{f} is not an ISO date.")
     for f in _AMOUNTS:
-        error = error.when(F.col(f"_printed.{f}").isNotNull() & F.col(f"_invoice.{f}").isNull(), f"{f} is not an amount.")
+        printed = F.col(f"_printed.{f}")
+        error = error.when(printed.isNotNull() & (~printed.rlike(_NUMBER) | F.col(f"_invoice.{f}").isNull()), f"{f} is not an amount.")
     error = error.when(kind.rlike(_UNUSUAL), F.concat(_wrong_part(root), F.lit(" has the wrong type.")))
     df = df.withColumn("parse_error", error)
     return df.withColumn("predicted", F.when(F.col("parse_error").isNull(), F.col("_invoice"))).drop(
@@ -177,9 +179,9 @@ def parse_verdict(text: Column) -> Column:
     reason_value = F.try_variant_get(root, "$.reason", "variant")
     reason = F.when(_kind(reason_value) == "STRING", trim_ws(F.try_variant_get(reason_value, "$", "string"))).otherwise("")
     why = (
-        F.when(~not_blank(text), "unparsed: empty response")
-        .when(body == "", "unparsed: no JSON object")
-        .when(root.isNull(), "unparsed: malformed JSON")
-        .when(equivalent.isNull(), "unparsed: no boolean 'equivalent'")
+        F.when(~not_blank(text), "The judge wrote nothing.")
+        .when(body == "", "There are no braces in what the judge wrote.")
+        .when(root.isNull(), "What the judge put in braces is not JSON.")
+        .when(equivalent.isNull(), "Neither true nor false is given under equivalent.")
     )
     return F.struct(F.when(why.isNull(), equivalent).alias("equivalent"), F.coalesce(why, reason).alias("reason"))

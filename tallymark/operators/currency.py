@@ -30,21 +30,13 @@ UNAMBIGUOUS = {
     "south african rand": "ZAR",
 }
 
-# Texts that several currencies share, with the reason reported.
-AMBIGUOUS = {
-    "$": "'$' alone is used by USD, CAD, AUD, NZD, SGD, HKD, MXN and others.",
-    "dollar": "'dollar' without a country names several currencies.",
-    "¥": "'¥' is used by both JPY and CNY.",
-    "kr": "'kr' is used by SEK, NOK, DKK and ISK.",
-    "krona": "'krona' is used by SEK and ISK.",
-    "krone": "'krone' is used by NOK and DKK.",
-    "rs": "'Rs' is used by INR, PKR, LKR and NPR.",
-    "rs.": "'Rs' is used by INR, PKR, LKR and NPR.",
-    "rupee": "'rupee' is used by INR, PKR, LKR and NPR.",
-    "pound": "'pound' alone is used by GBP, EGP and others.",
-    "franc": "'franc' alone is used by CHF, XOF, XAF and others.",
-    "peso": "'peso' alone is used by MXN, ARS, COP, CLP, PHP and others.",
+# Texts that several currencies share, and those that are named for them.
+SHARED = {
+    "$": "USD CAD AUD NZD SGD HKD MXN", "dollar": "USD CAD AUD NZD SGD HKD", "¥": "JPY CNY", "kr": "SEK NOK DKK ISK", "krona": "SEK ISK",
+    "krone": "NOK DKK", "rs": "INR PKR LKR NPR", "rs.": "INR PKR LKR NPR", "rupee": "INR PKR LKR NPR", "pound": "GBP EGP",
+    "franc": "CHF XOF XAF", "peso": "MXN ARS COP CLP PHP",
 }
+AMBIGUOUS = {text: f"{text} may mean {', '.join(codes.split())}" for text, codes in SHARED.items()}
 
 
 def normalize_currency(

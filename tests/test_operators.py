@@ -82,7 +82,7 @@ def test_verdict_and_warnings(spark):
     rows = spark.createDataFrame([(c[0],) for c in cases], "t string").select(parse_verdict(F.col("t")).alias("v")).select("v.*").collect()
     for (_, flag, reason), row in zip(cases, rows):
         assert row.equivalent == flag
-        assert row.reason == reason if flag is not None else row.reason.startswith("unparsed")
+        assert row.reason == reason if flag is not None else row.reason.endswith(".")
     w = spark.createDataFrame([('{"warnings":["a",3,"b"]}',), ('{"warnings":{}}',), ("x",)], "t string").select(warnings_of(F.col("t")))
     assert [r[0] for r in w.collect()] == [["a", "b"], [], []]
 
@@ -188,26 +188,35 @@ def test_replay_keeps_latency_and_lists_misses(spark):
 
 
 def test_gate_files_round_trip(spark, tmp_path):
-    summary = tmp_path / "summary.csv"
-    summary.write_text("execution,config,subset,composite,total_accuracy\n20270301T101500Z-old,lite,combined,0.4100,\n"
-                       "20270401T101500Z-new,lite,combined,0.7300,\n20270401T101500Z-new,lite,fatura,0.6200,0.5500\n")
-    thresholds_path = tmp_path / "thresholds.json"
-    thresholds_path.write_text(json.dumps({"_note": "n", "thresholds": [
-        {"metric": "composite", "subset": "combined", "maxDrop": 0.02}, {"metric": "total_accuracy", "subset": "fatura", "maxDrop": 0.05}]}))
-    thresholds = readers.read_thresholds(spark, str(thresholds_path))
+    """Two configurations in three executions; a cell without a value lies between two that have one."""
+    summary = tmp_path / "report.csv"
+    summary.write_text("\n".join([
+        "config,execution,subset,line_items_f1,docs,schema_validity",
+        'wide,20251105T080000Z-c1,combined,0.8125,40,0.9750', "wide,20251105T080000Z-c1,synthetic,,8,1.0000",
+        "narrow,20251103T200000Z-b9,combined,0.9900,40,0.9900", "narrow,20251104T200000Z-b9,combined,0.5000,40,0.8500",
+        "narrow,20251104T200000Z-b9,synthetic,0.2500,8,", ""]))
+    limits = tmp_path / "limits.json"
+    limits.write_text(json.dumps({"thresholds": [
+        {"metric": "schema_validity", "subset": "combined", "maxDrop": 0.1}, {"metric": "line_items_f1", "subset": "synthetic", "maxDrop": 0.0},
+        {"metric": "line_items_f1", "subset": "combined", "maxDrop": 0.3}]}))
+    thresholds = readers.read_thresholds(spark, str(limits))
     cells = readers.read_summary_csv(spark, str(summary), thresholds)
-    out = str(tmp_path / "baseline")
+    held = {(r.config, r.subset, r.metric): r.value for r in cells.collect()}
+    assert held["narrow", "combined", "line_items_f1"] == 0.5 and held.get(("wide", "synthetic", "line_items_f1")) is None
+    out = str(tmp_path / "kept")
     writers.write_baseline(cells, thresholds, out)
-    text = "".join(p.read_text() for p in sorted((tmp_path / "baseline").glob("part-*")))
-    assert text == "config,subset,metric,value\nlite,combined,composite,0.7300\nlite,fatura,total_accuracy,0.5500\n"
-    rows = gate.gate_verdicts(gate.gate(readers.read_baseline_csv(spark, out), cells, thresholds)).collect()
-    assert len(rows) == 2 and not any(r.breach for r in rows)
-    wrong = spark.createDataFrame([("no_such_metric", "combined", 0.1, 0)], TH)
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "kept").glob("part-*"))).splitlines()
+    of = lambda config: [x.split(",")[1:] for x in lines if x.startswith(config)]
+    assert lines[0] == "config,subset,metric,value" and [x.split(",")[0] for x in lines[1:]] == ["narrow"] * 3 + ["wide"] * 3
+    assert of("narrow") == [["combined", "schema_validity", "0.8500"], ["synthetic", "line_items_f1", "0.2500"], ["combined", "line_items_f1", "0.5000"]]
+    assert of("wide") == [["combined", "schema_validity", "0.9750"], ["synthetic", "line_items_f1", ""], ["combined", "line_items_f1", "0.8125"]]
+    same = gate.gate_verdicts(gate.gate(readers.read_baseline_csv(spark, out), cells, thresholds)).collect()
+    assert sorted(r.result for r in same if r.config == "wide") == ["n/a", "ok", "ok"] and not any(r.breach for r in same)
     with pytest.raises(ValueError, match="no_such_metric"):
-        readers.read_summary_csv(spark, str(summary), wrong)
-    (tmp_path / "bad.csv").write_text("config,metric,value\na,b,1\n")
+        readers.read_summary_csv(spark, str(summary), spark.createDataFrame([("no_such_metric", "combined", 0.1, 0)], TH))
+    (tmp_path / "torn.csv").write_text("config,value\nwide,1\n")
     with pytest.raises(ValueError, match="expected header"):
-        readers.read_baseline_csv(spark, str(tmp_path / "bad.csv"))
-    thresholds_path.write_text('{"thresholds": []}')
+        readers.read_baseline_csv(spark, str(tmp_path / "torn.csv"))
+    limits.write_text('{"thresholds": []}')
     with pytest.raises(ValueError, match="no thresholds"):
-        readers.read_thresholds(spark, str(thresholds_path))
+        readers.read_thresholds(spark, str(limits))

@@ -63,7 +63,7 @@ def test_schema_violations(spark):
         answer(invoiceNumber=None, invoiceDate=None, total=None), answer(currency="eur"), answer(currency="EURO"),
         answer(lineItems=[{"description": "a"}, {"description": " "}, {"amount": 1}]), answer(invoiceDate="31.01.2024"), answer(currency=5)])
     assert [rows[i].schema_validity for i in range(6)] == [0] * 6
-    assert rows[3].violations == ["lineItems[1, 2] have no description."]
+    assert rows[3].violations == ["Lines without a description: 1, 2"]
     assert rows[1].outcome_currency == "correct_value"
     assert rows[4].outcome_total == "unparsed" and rows[5].outcome_total == "unparsed"
 
