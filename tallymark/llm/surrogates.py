@@ -19,7 +19,7 @@ ROWS = 256
 
 # Titles by the gender they tell; given names by script and gender; syllables of invented family names.
 TITLES = {
-    "m": "Mr|Sir|Herr|Monsieur|M|Señor|Sr|Don|Signor|Господин|Кύριος|Κύριος", "f": "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Sra|Doña|Signora|Госпожа|Κυρία",
+    "m": "Mr|Sir|Herr|Monsieur|M|Señor|Sr|Don|Signor|Господин|Κύριος", "f": "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Sra|Doña|Signora|Госпожа|Κυρία",
     "n": "Dr|Prof|Professor|Доктор|Δρ"}
 GIVEN = {
     ("latin", "m"): "Adam Bruno Caspar David Emil Felix Gustav Hugo Ivan Jonas Karl Leon Martin Nils Oskar Paul Rafael Simon Tomas Viktor".split(),
@@ -47,7 +47,15 @@ DATA = regex.compile(
     r"|(?P<card>(?<![\w+.])\d(?:[ -]?\d){12,18}(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w.])(?:(?:\+|00)\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\w-]))")
-NAMED = regex.compile("|".join(rf"(?P<{g}>(?<!\w)(?:{titles})\.? {NAME}(?: {NAME})?)" for g, titles in TITLES.items()))
+_TITLE = rf"(?:{'|'.join(TITLES.values())})(?!\w)"
+# A run of titles, and one or two names that are no titles themselves.
+NAMED = regex.compile(rf"(?<!\w)(?P<titles>(?:{_TITLE}\.? +)+)(?P<name>(?!{_TITLE}){NAME}(?: (?!{_TITLE}){NAME})?)")
+PREFIX = re.compile(r"(?:AKIA|ASIA|(?:sk|pk|ghp|gho|xox[abp])[-_])")
+# Names that are plain words too. One that begins a sentence and is followed by a small letter is the word.
+WORDS = frozenset(
+    "april art august bill black brown bush chase cook dean drew faith field frank gene grace grant green guy hill hope hunter jack joy june king lance "
+    "long mark mason may miles norm page pat penny pierce price ray rich rob rock rose rusty sky stone sue summer violet wade white will wood young".split())
+OPENS = regex.compile(r"(?:^|[.!?…]['\"”’)]*\s+|\n\s*)$")
 # What may be a later mention of a name, and the parts of a word.
 CAPITAL = regex.compile(r"(?<!\w)\p{Lu}[\p{L}'’-]*")
 PART = regex.compile(r"[^'’-]+")
@@ -62,6 +70,7 @@ class Found(NamedTuple):
     normal: str  # equal for all mentions of one entity
     start: int
     end: int
+    gender: str = ""  # of a given name, where a title of this mention tells it
 
 
 def script_of(word: str) -> str:
@@ -70,10 +79,12 @@ def script_of(word: str) -> str:
 
 
 def find(text: str) -> list[Found]:
-    """Entities of a text from left to right. A name is found by its title; given and family name are apart.
+    """Entities of a text from left to right. A name is found by its titles; given and family name are apart.
 
-    Capitalised words of the text that a found name is written with are found too, with or without a title. A name that
-    never follows a title, or that is written in lower case, is not.
+    Capitalised words of the text that a found name is written with are found too, with or without a title, but for
+    ``WORDS`` where they read as plain words. A name that never follows a title, or that is written in lower case, is not
+    found; nor are IPv6 addresses, dates of birth, and phone numbers without a country or area code in one of the usual
+    writings. A long number is a card only if its check digit is right.
     """
     out, names, end = [], {}, 0
     for place in PLACE.finditer(text):
@@ -91,7 +102,7 @@ def find(text: str) -> list[Found]:
         while at > end and not text[at - 1].isspace():
             at -= 1
         end = AROUND.match(text, at).end()
-        out += [data_in(m) for m in DATA.finditer(text, at, end)]
+        out += [d for m in DATA.finditer(text, at, end) if (d := data_in(m)).kind != "card" or luhn(d.normal) == 0]
     return with_mentions(text, out, names) if names else out
 
 
@@ -108,7 +119,7 @@ def with_mentions(text: str, found: list[Found], names: dict[str, str]) -> list[
             for n in range(min(longest, len(parts) - i), 0, -1):
                 end = parts[i + n - 1][1]
                 normal = text[at:end].casefold()
-                if normal in names and text[at].isupper() and not regex.match(r"\w", text[end:end + 1]):
+                if normal in names and text[at].isupper() and not regex.match(r"\w", text[end:end + 1]) and not plain_word(text, at, end, normal):
                     while k < len(found) and found[k].end <= at:
                         out.append(found[k])
                         k += 1
@@ -120,10 +131,17 @@ def with_mentions(text: str, found: list[Found], names: dict[str, str]) -> list[
     return out + found[k:]
 
 
+def plain_word(text: str, at: int, end: int, normal: str) -> bool:
+    """Whether a name that is a word too begins a sentence and goes on in small letters, as a word would."""
+    return normal in WORDS and text[end:end + 1] == " " and text[end + 1:end + 2].islower() and bool(OPENS.search(text, max(0, at - 8), at))
+
+
 def names_in(m) -> list[Found]:
-    words = [(w.start() + m.start(), POSSESSIVE.sub("", w.group())) for w in re.finditer("[^ ]+", m.group())][1:]
-    roles = [f"given-{m.lastgroup}"] * (len(words) - 1) + ["family"]
-    return [Found(f"{r}-{script_of(w)}", w.casefold(), at, at + len(w)) for r, (at, w) in zip(roles, words)]
+    told = {g for t in re.findall(r"\w+", m["titles"]) for g in "mf" if t in TITLES[g].split("|")}
+    gender = told.pop() if len(told) == 1 else ""
+    words = [(w.start() + m.start("name"), POSSESSIVE.sub("", w.group())) for w in re.finditer("[^ ]+", m["name"])]
+    return [Found(f"{'given' if i < len(words) - 1 else 'family'}-{script_of(w)}", w.casefold(), at, at + len(w), gender if i < len(words) - 1 else "")
+            for i, (at, w) in enumerate(words)]
 
 
 def data_in(m) -> Found:
@@ -156,8 +174,16 @@ def luhn(digits: str) -> int:
     return sum(d - 9 if d > 9 else d for d in double) % 10
 
 
-def surrogate(key: bytes, kind: str, normal: str, attempt: int) -> str:
-    """A replacement in normal form. Letters stay letters and digits digits; every eighth attempt adds a character."""
+def iban_check(normal: str) -> int:
+    """The remainder of an IBAN in normal form; 1 where its check digits are right."""
+    return int("".join(str(int(c, 36)) for c in normal[4:] + normal[:4])) % 97
+
+
+def surrogate(key: bytes, kind: str, normal: str, attempt: int, gender: str = "") -> str:
+    """A replacement in normal form. Letters stay letters and digits digits; every eighth attempt adds a character.
+
+    Prefixes that tell the kind of a key stay, and right check digits of cards and IBANs stay right.
+    """
     draw = Stream(key, kind, normal, str(attempt))
     extra = attempt // 8
     role, _, rest = kind.partition("-")
@@ -167,15 +193,15 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int) -> str:
         syllables = SYLLABLES[rest]
         return "".join(syllables[draw.below(len(syllables))] for _ in range(3 + extra))
     if role == "given":
-        gender, _, script = rest.partition("-")
-        names = GIVEN[script, gender]
-        more = "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range((attempt + 1) // 2))
+        names = GIVEN[rest, gender or "n"]
+        more = "".join(SYLLABLES[rest][draw.below(len(SYLLABLES[rest]))] for _ in range((attempt + 1) // 2))
         return names[draw.below(len(names))].casefold() + more
     letters = ALPHABET["hex"] if regex.fullmatch("[0-9a-f]{32,}", normal) else None
     keep = {"email": normal.rfind(".") if "@" in normal else len(normal), "iban": None, "phone": None}.get(role)
+    prefix = len(PREFIX.match(normal).group()) if role == "secret" and PREFIX.match(normal) else 0
     out = []
     for i, c in enumerate(normal):
-        if keep is not None and i >= keep or role == "iban" and i < 2 or role == "phone" and i < 2 and normal[0] in "+0":
+        if keep is not None and i >= keep or i < prefix or role == "iban" and i < 2 or role == "phone" and i < 2 and normal[0] in "+0":
             out.append(c)
         elif letters:
             out.append(letters[draw.below(16)])
@@ -189,6 +215,9 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int) -> str:
     made = "".join(out)
     if role == "card":
         made = made[:-1] + str(next(d for d in range(10) if (luhn(made[:-1] + str(d)) == 0) == (luhn(normal) == 0)))
+    if role == "iban" and iban_check(normal) == 1:
+        made += "".join(ALPHABET["digit"][draw.below(10)] for _ in range(extra))
+        return made[:2] + f"{98 - iban_check(made[:2] + '00' + made[4:]):02d}" + made[4:]
     if extra and role == "email":
         return "".join(ALPHABET["lower"][draw.below(26)] for _ in range(extra)) + made
     return made + "".join(ALPHABET["digit"][draw.below(10)] for _ in range(extra))
@@ -212,8 +241,8 @@ def rendered(kind: str, original: str, new: str) -> str:
     return "".join(out) + (tail.upper() if original.isupper() else tail)
 
 
-FOUND = "array<struct<kind:string,normal:string,start:int,end:int>>"
-_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("normal", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+FOUND = "array<struct<kind:string,normal:string,start:int,end:int,gender:string>>"
+_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("normal", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("gender", pa.string())]))
 
 
 def _detect(text_col: str, kept: list[str], wanted: bool):
@@ -231,14 +260,14 @@ def _detect(text_col: str, kept: list[str], wanted: bool):
 def _made(key: bytes, attempt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, normals = batch["kind"].to_pylist(), batch["normal"].to_pylist()
-            new = [surrogate(key, k, n, attempt) for k, n in zip(kinds, normals)]
-            yield pa.RecordBatch.from_arrays([batch["kind"], batch["normal"], pa.array(new, pa.string())], ["kind", "normal", "new"])
+            columns = [batch[c].to_pylist() for c in ("kind", "normal", "gender")]
+            new = [surrogate(key, k, n, attempt, g) for k, n, g in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([batch["kind"], batch["normal"], batch["gender"], pa.array(new, pa.string())], ["kind", "normal", "gender", "new"])
     return run
 
 
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, normal, new) for distinct (kind, normal): no two of a kind share a surrogate, and none is a real value.
+    """(kind, normal, new) for distinct (kind, normal, gender): no two of a kind share a surrogate, and none is a real value.
 
     Each round draws for what is still open. A value goes to a real entity or an earlier winner first, then to the
     smallest of those that drew it; the others draw again. Rounds shrink fast, and the alphabet grows with attempts.
@@ -246,15 +275,15 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
     real = entities.select("kind", F.col("normal").alias("new"), F.lit(0).alias("late"), F.lit("").alias("normal"))
     pending, done, attempt = entities, None, 0
     while True:
-        drawn = stored(pending.mapInArrow(_made(key, attempt), "kind string, normal string, new string"), "drawn")
-        claims = real.unionByName(drawn.withColumn("late", F.lit(1)))
+        drawn = stored(pending.mapInArrow(_made(key, attempt), "kind string, normal string, gender string, new string"), "drawn")
+        claims = real.unionByName(drawn.drop("gender").withColumn("late", F.lit(1)))
         if done is not None:
             claims = claims.unionByName(done.select("kind", "new", F.lit(0).alias("late"), F.lit("").alias("normal")))
         winners = claims.groupBy("kind", "new").agg(F.min(F.struct("late", "normal")).alias("w")).where("w.late = 1").select(
             "kind", "new", F.col("w.normal").alias("normal"))
         won = stored(winners.join(drawn, ["kind", "new", "normal"], "left_semi").select("kind", "normal", "new"), "surrogates")
         done = won if done is None else done.unionByName(won)
-        pending = stored(drawn.join(won, ["kind", "normal"], "left_anti").select("kind", "normal"), "pending")
+        pending = stored(drawn.join(won, ["kind", "normal"], "left_anti").select("kind", "normal", "gender"), "pending")
         if pending.isEmpty():
             return done
         attempt += 1
@@ -264,7 +293,7 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
     """``docs`` with every entity in the text replaced, plus ``n_replaced`` and ``replaced`` (kind, start, end, surrogate).
 
     Mentions of one entity get one surrogate in the whole table, distinct entities distinct ones, under ``key`` alone;
-    gender (told by the title), script, separators, case, valid check digits and lengths are kept. ``start`` and ``end``
+    gender (of a given name: what its titles in the whole table agree on, else none), script, key prefixes, separators, case, valid check digits and lengths are kept. ``start`` and ``end``
     are code points of the new text. People are found by a title; the other capitalised mentions of the names found so in a
     text are replaced too. Names without any title in a text are out of reach. Only texts that hold an entity are written and shuffled. Null and empty texts stay
     as they are, with no replacements. Repeated rows and null ids are kept; other columns too, except that input columns
@@ -279,9 +308,11 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
     found = stored(docs.select(*kept).mapInArrow(_detect(text_col, kept, True), f"{schema}, _s_found {FOUND}").withColumn(
         "_s_row", F.xxhash64(text_col)), "entities")
     mentions = found.select(F.col(id_col).alias("_s_id"), F.col("_s_row").alias("_s_key"), F.explode("_s_found").alias("e")).select(
-        "_s_id", "_s_key", "e.kind", "e.normal").distinct()
-    table = assign(mentions.select("kind", "normal").distinct(), key)
-    per_row = mentions.join(table, ["kind", "normal"]).groupBy("_s_id", "_s_key").agg(
+        "_s_id", "_s_key", "e.kind", "e.normal", "e.gender").distinct()
+    told = F.collect_set(F.nullif("gender", F.lit("")))  # two values at most
+    table = assign(mentions.groupBy("kind", "normal").agg(told.alias("told")).select(
+        "kind", "normal", F.when(F.size("told") == 1, F.get("told", F.lit(0))).otherwise("").alias("gender")), key)
+    per_row = mentions.drop("gender").distinct().join(table, ["kind", "normal"]).groupBy("_s_id", "_s_key").agg(
         F.collect_list(F.struct("kind", "normal", "new")).alias("_s_new"))
     joined = found.join(per_row, F.col(id_col).eqNullSafe(F.col("_s_id")) & (F.col("_s_row") == F.col("_s_key"))).select(
         *kept, "_s_found", "_s_new")
