@@ -27,7 +27,7 @@ RARE, FREQUENT, SMALL = 32, 1_024, 4
 # Passes that try one candidate per set before all that is left is tried, and shingles of either side that meet at once.
 TRIES, LOAD = 2, 250_000
 # Growth of the size classes of the first pass, and parts there for each shingle that linked sets may differ in.
-STEP, MORE = 1.25, 1.25
+STEP, MORE, KIND_BITS = 1.25, 1.25, 7
 
 
 class WordHashes(dict):
@@ -95,7 +95,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def part_hashes(grams: np.ndarray, classes: list[SizeClass], lows: list[int], num: int, den: int) -> list[tuple[int, int, np.ndarray]]:
-    """(class, need, hashes of the parts that are not empty) for every class in which a set can be linked with another.
+    """(class, need, hashes of the parts that are not empty) for every class in which a set can be linked with another;
+    the lowest bits of a hash are its class.
 
     Two linked sets meet in the class of the smaller one. What lies in only one of them touches at most ``spare`` parts,
     so all other parts are the same in both, and of those at most as many are empty as this set has empty ones: ``need``
@@ -112,7 +113,8 @@ def part_hashes(grams: np.ndarray, classes: list[SizeClass], lows: list[int], nu
         first = np.flatnonzero(np.diff(place, prepend=-1))
         with np.errstate(over="ignore"):
             held = np.add.reduceat(codes, first)
-        out.append((at, len(first) - kind.spare, _mixed(held ^ _mixed((place[first] + (at << 44)).astype(np.uint64))).view(np.int64)))
+        hashes = _mixed(held ^ _mixed(place[first].astype(np.uint64))) << np.uint64(KIND_BITS) | np.uint64(at)
+        out.append((at, len(first) - kind.spare, hashes.view(np.int64)))
     return out
 
 
@@ -169,7 +171,7 @@ def _sets(width: int, num: int, den: int):
                     first[order[begin]] = True
                 yield pa.RecordBatch.from_arrays(
                     [*[part[c] for c in KEY], pa.array([len(s) for s in sets], pa.int64()), pa.array(node), pa.array([d[1] for d in digests], pa.int64()),
-                     listed(np.bincount(owner[first], minlength=len(sets)), {"part": flat[first], "kind": kind[row[first]], "counted": shared[first]}),
+                     listed(np.bincount(owner[first], minlength=len(sets)), {"part": flat[first], "counted": shared[first]}),
                      listed(groups, {"kind": kind, "need": np.array([n for _, n, _ in rows], np.int32), "got": np.bincount(row, shared, len(rows)).astype(np.int32)})],
                     [*KEY, "n", "node", "check", "parts", "needs"])
     return run
@@ -228,9 +230,10 @@ def _signed(num: int, den: int, classes: tuple[int, int]):
             for at in range(0, batch.num_rows, ROWS):
                 nodes, sizes, sigs = [], [], []
                 part = batch.slice(at, ROWS)
-                for node, n, shared in zip(part["node"].to_pylist(), part["n"].to_pylist(), part["shared"]):
-                    counts, grams = (shared.values.field(i).to_numpy() for i in (0, 1))
-                    found = [s for level in levels_of(n, num, den) for s in signatures(n, counts, grams, level, num, den, classes)]
+                for node, n, counts, grams in zip(part["node"].to_pylist(), part["n"].to_pylist(), part["counts"], part["grams"]):
+                    counts, grams = counts.values.to_numpy(), grams.values.to_numpy()
+                    order = np.lexsort((grams, counts))
+                    found = [s for level in levels_of(n, num, den) for s in signatures(n, counts[order], grams[order], level, num, den, classes)]
                     nodes += [node] * len(found)
                     sizes += [n] * len(found)
                     sigs += found
@@ -353,10 +356,11 @@ def labelled(
     base = docs.select(F.col(id_col).alias("_j_id"), *[h.alias(k) for h, k in zip(pair_hash(text), KEY[1:])], text.alias("_j_text"))
     kind = base.schema["_j_id"].dataType.simpleString()
     members = stored(base.mapInArrow(_sets(width, num, den), f"""_j_id {kind}, _j_high long, _j_low long, n long, node long, check long,
-        parts array<struct<part: long, kind: int, counted: boolean>>, needs array<struct<kind: int, need: int, got: int>>"""), "members")
+        parts array<struct<part: long, counted: boolean>>, needs array<struct<kind: int, need: int, got: int>>"""), "members")
     shares = Window.partitionBy("part").orderBy("node")
     other = (F.lag("node").over(shares) != F.col("node")) | (F.lead("node").over(shares) != F.col("node"))
-    parted = members.select("node", F.explode("parts").alias("p")).select("node", "p.*").withColumn("other", other).where("other and not counted")
+    parted = members.select("node", F.explode("parts").alias("p")).select("node", "p.*").withColumn("other", other).where("other and not counted").withColumn(
+        "kind", F.col("part").bitwiseAND((1 << KIND_BITS) - 1).cast("int"))
     needs = members.select("node", F.explode("needs").alias("p")).select("node", "p.*")
     candidates = needs.unionByName(parted.select("node", "kind", F.lit(None).cast("int").alias("need"), F.lit(1).alias("got"))).groupBy("node", "kind").agg(
         F.min("need").alias("need"), F.sum("got").alias("got")).where("got >= need").select("node").distinct()
@@ -369,8 +373,8 @@ def labelled(
     texts = a.join(b, same).select("a._j_text")
     sets = stored(texts.mapInArrow(_whole(width), "node long, n long, grams array<long>").dropDuplicates(["node"]), "sets")
     rows = sets.select("node", "n", F.explode("grams").alias("gram"))
-    counts = rows.groupBy("gram").agg(F.count(F.lit(1)).cast("long").alias("c")).where("c > 1")
-    ordered = maybe_in(rows, counts, ("gram",)).join(counts, "gram").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "gram"))).alias("shared"))
+    counts = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").withColumn("c", F.least("c", F.lit(2**31 - 1)).cast("int"))
+    ordered = maybe_in(rows, counts, ("gram",)).join(counts, "gram").groupBy("node", "n").agg(F.collect_list("c").alias("counts"), F.collect_list("gram").alias("grams"))
     index = ordered.mapInArrow(_signed(num, den, classes), "sig long, node long, n long")
     several = index.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig")
     index = stored(index.join(several, "sig"), "index")
