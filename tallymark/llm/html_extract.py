@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 ROWS = 128
-# A text of fewer code points than this may be the rest of a page whose article has an odd name.
-LITTLE = 250
 
 # Elements of HTML by their part in a page.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "title", "object", "canvas", "audio", "video", "xmp"}
@@ -92,7 +91,10 @@ class Page:
         self.suspect = [NONE]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, code points in links
         self._read_blocks: list[tuple[int, list[tuple[int, str, int]]]] = []  # element, its texts by the element they stand in
+        self.headers: list[int] = []  # of a main, outside of any article
         self._stack, self._parts, self._links = [0], [], 0
+        # Places in the stack of the open blocks, the inline elements open in each by tag, and all open blocks by tag.
+        self._open_blocks, self._inline, self._count = [0], [Counter()], Counter(["html"])
         self._read(source)
         self.show(set())
 
@@ -114,7 +116,8 @@ class Page:
         One that holds every article, main or first heading of the page and half of its text holds the article; so does one
         with nine tenths of a page that has none of them. A weak name counts only where half of the text is links.
         """
-        if not any(self.suspect):
+        headers = set(self.headers) if "article" in self.tag else set()
+        if not any(self.suspect) and not headers:
             return set(), []
         count = len(self.tag)
         size, linked, marks = [0] * count, [0] * count, [0] * count
@@ -128,7 +131,7 @@ class Page:
                 for x in (size, linked, marks):
                     x[self.parent[node]] += x[node]
         plain = [n - k for n, k in zip(size, linked)]
-        named = set()
+        named = headers
         for node, kind in enumerate(self.suspect):
             share = plain[node] / max(plain[0], 1)
             if kind == NONE or kind == WEAK and 2 * linked[node] < max(size[node], 1):
@@ -140,8 +143,7 @@ class Page:
 
     def _flush(self) -> None:
         if self._parts:
-            owner = next(i for i in reversed(self._stack) if self.tag[i] in BLOCKS)
-            self._read_blocks.append((owner, self._parts))
+            self._read_blocks.append((self._stack[self._open_blocks[-1]], self._parts))
         self._parts = []
 
     def _open(self, tag: str, attrs: str) -> None:
@@ -162,32 +164,58 @@ class Page:
         found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTR.finditer(attrs)} if attrs else {}
         self.skip.append(self.skip[top] or is_aside(tag, found, self.article[top]))
         self.suspect.append(suspicion(tag, found, self.article[top]))
+        if tag == "header" and self.article[top] and not self.inside_article(top):
+            self.headers.append(len(self.tag) - 1)
         self._stack.append(len(self.tag) - 1)
         self._links += tag == "a"
+        if tag in BLOCKS:
+            self._open_blocks.append(len(self._stack) - 1)
+            self._inline.append(Counter())
+            self._count[tag] += 1
+        else:
+            self._inline[-1][tag] += 1
+
+    def inside_article(self, node: int) -> bool:
+        while node >= 0 and self.tag[node] not in ("article", "main"):
+            node = self.parent[node]
+        return node >= 0 and self.tag[node] == "article"
 
     def _pop_to(self, depth: int) -> None:
-        self._links -= sum(self.tag[i] == "a" for i in self._stack[depth:])
-        del self._stack[depth:]
+        """Closes all elements from a place of the stack on: each is looked at once in its life."""
+        while len(self._stack) > depth:
+            tag = self.tag[self._stack.pop()]
+            self._links -= tag == "a"
+            if tag in BLOCKS:
+                self._open_blocks.pop()
+                self._inline.pop()
+                self._count[tag] -= 1
+            else:
+                self._inline[-1][tag] -= 1
 
     def _close_within(self, tags: set[str], scope: set[str]) -> None:
-        for depth in range(len(self._stack) - 1, 0, -1):
-            tag = self.tag[self._stack[depth]]
-            if tag in tags:
-                return self._pop_to(depth)
-            if tag in scope:
-                return None
+        """Closes the innermost of ``tags`` up to the first of ``scope``, looking at blocks only, and only if one is open."""
+        if any(self._count[t] for t in tags):
+            for i in range(len(self._open_blocks) - 1, 0, -1):
+                depth = self._open_blocks[i]
+                tag = self.tag[self._stack[depth]]
+                if tag in tags:
+                    return self._pop_to(depth)
+                if tag in scope or tag not in PARAGRAPHS and tag != "tr":
+                    return None
 
     def _close(self, tag: str) -> None:
         if tag == "br":
             self._parts.append((self._stack[-1], " ", 0))
-        for depth in range(len(self._stack) - 1, 0, -1):
-            open_tag = self.tag[self._stack[depth]]
-            if open_tag == tag:
-                if tag in BLOCKS or any(self.tag[i] in BLOCKS for i in self._stack[depth:]):
-                    self._flush()
-                return self._pop_to(depth)
-            if tag not in BLOCKS and open_tag in BLOCKS:
-                return None  # an inline end tag does not close the block it stands in
+        # An inline end tag does not close the block it stands in, and an end tag of what is not open closes nothing.
+        if not (self._count[tag] if tag in BLOCKS else self._inline[-1][tag]):
+            return
+        depth = len(self._stack) - 1
+        while depth > 0 and self.tag[self._stack[depth]] != tag:
+            depth -= 1
+        if depth:
+            if tag in BLOCKS:
+                self._flush()
+            self._pop_to(depth)
 
     def _read(self, source: str) -> None:
         at, end = 0, len(source)
@@ -242,10 +270,17 @@ def best_nodes(page: Page) -> set[int]:
         node = page.parent[node]
     kept = {best}
     if page.parent[best] >= 0:
+        # Where the best container holds one paragraph alone, its neighbours that hold plain paragraphs are more of the same.
+        held = [0] * count
+        for owner, _, _ in page.blocks:
+            held[owner] += page.tag[owner] in PARAGRAPHS
+        for node in range(count - 1, 0, -1):
+            held[page.parent[node]] += held[node]
+        single = page.tag[best] not in ("article", "main") and held[best] == 1
         for node in range(1, count):
             if page.parent[node] == page.parent[best] and size[node]:
-                density = linked[node] / size[node]
-                if score[node] >= 0.2 * score[best] > 0 or page.tag[node] in PARAGRAPHS and density < 0.25:
+                plain = linked[node] < 0.25 * size[node] and (page.tag[node] in PARAGRAPHS or single and held[node])
+                if score[node] >= 0.2 * score[best] > 0 or plain:
                     kept.add(node)
     return kept
 
@@ -264,15 +299,16 @@ def article_text(page: Page, dropped: set[int]) -> str:
 def main_text(source: str | None) -> str:
     """The article of a page; empty for null, empty or textless pages.
 
-    Where next to nothing is left of a page without what names tell, the named elements that hold the most text are read.
+    Where a page without article and first heading has lost most of its text to a name or a form, or all of its text, what
+    holds the most of that is read; what readers say only if nothing else is there.
     """
     page = Page(source or "")
     named, plain = page.named_asides()
     text = article_text(page, named)
-    most = max((plain[i] for i in named), default=0)
-    if len(text) < LITTLE and most > 5 * len(text):
-        if not text or not any(page.article[owner] or page.tag[owner] == "h1" for owner, _, _ in page.blocks):
-            text = article_text(page, {i for i in named if 2 * plain[i] < most})
+    back = [i for i in named if not text or page.suspect[i] != VOICE]
+    most = max((plain[i] for i in back), default=0)
+    if most > 5 * len(text) and (not text or not any(page.article[owner] or page.tag[owner] == "h1" for owner, _, _ in page.blocks)):
+        text = article_text(page, named - {i for i in back if 2 * plain[i] >= most})
     return text
 
 
@@ -280,11 +316,12 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
     """``pages`` with the main text in ``text_col`` instead of the html; one row per row, no shuffle.
 
     Paragraphs pass points for length and commas to their ancestors, less the share of their text that is links; the best
-    container is kept with siblings of a fifth of its score and plain paragraphs beside it. Menus, headers, footers,
+    container is kept with siblings of a fifth of its score and plain paragraphs beside it, which may stand in containers
+    of their own if the best one holds a single paragraph. Menus, headers, footers,
     sidebars, notices, adverts, forms, scripts, styles and comments are left out by element, role and name; a form or a
     name alone does not if the element holds the article (see :meth:`Page.named_asides`, :func:`main_text`). A null or
     empty page, or one without text, gives an empty string. Other columns are kept; an input column ``text_col`` is
-    replaced. Time and memory are linear in a page.
+    replaced. Every element is opened and closed once, whatever is left open, so time and memory grow with the page.
     """
     kept = [c for c in pages.columns if c not in (html_col, text_col)]
     kinds = dict(pages.dtypes)

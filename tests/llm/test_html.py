@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 import pandas as pd
@@ -57,6 +58,33 @@ def test_a_named_part_of_an_article_stays_and_boxes_go():
     assert main_text(f"<h1>T</h1><p>Short, it is.</p><div class='cookie-notice'>{BODY}</div><div id=comments>{BODY}</div>") == "T\n\nShort, it is."
 
 
+def test_paragraphs_in_containers_of_their_own_all_stay():
+    divs = ["Short one.", "A long one, with commas, many of them, and more, and words, words, words, to the end.", "Another short one.", "Third."]
+    page = "<div class=nav-menu><a href=x>Home</a></div><div id=w>" + "".join(f"<div><p>{d}</p></div>" for d in divs) + "<div><p><a href=y>More of this here</a></p></div></div>"
+    assert main_text(page) == "\n\n".join(divs)
+
+
+def test_the_header_of_main_goes_if_there_is_an_article():
+    words = "Some words, and more of them, say this and that. " * 9
+    rest = f"<header><h1>Title</h1></header><p>{words}</p>"
+    assert main_text(f"<main><header><p>The Daily Site, since 1900</p></header><article>{rest}</article></main>") == f"Title\n\n{words.strip()}"
+    assert main_text(f"<main>{rest}</main>") == f"Title\n\n{words.strip()}"
+
+
+def test_a_long_article_without_marks_is_read_whatever_is_left_outside():
+    left = "Some words, left outside of the form, that are neither few nor many. " * 5
+    page = f"<p>{left}</p><form><div>{''.join(f'<p>Paragraph {i}, with words, and more, and more</p>' for i in range(99))}</div></form>"
+    assert "Paragraph 39" in main_text(page)
+
+
+def test_elements_that_are_never_closed_cost_no_more():
+    n = 100_000
+    for page in ("<font>" * n + "<p>a, b" * n, "<font>" * n + "</b>" * n + "x", "<b><p>" + "<i>" * n + "</b>" * n + "x", "<form>" * n + "<dt>a<li>b" * n):
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 12
+
+
 def test_long_and_deep_pages_stay_linear():
     assert main_text("<div>" * 30_000 + "x") == "x"
     assert main_text("<p>x, y</p>" * 30_000).count("x, y") == 30_000
