@@ -94,10 +94,15 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "v
     Equal vectors are indexed once, with the k + 1 smallest ids of each; equal queries are searched once. A query is never
     its own result. Rows without an id, with a null or empty vector, or with null or non-finite components take no part.
     Vectors of different lengths never meet. With fewer candidates all are returned; an empty table gives no rows.
-    Integer products are taken in 64 bits.
+    Scores are 64-bit integers: a vector that could leave them, because its squares add up to 2**62 or more, is an error.
     """
     def quantised(df: DataFrame) -> DataFrame:
-        return valid_vectors(df, id_col, vec_col).withColumn("vec", F.transform("vec", lambda x: F.floor(x * scale).cast("long")))
+        # By Cauchy and Schwarz no product of two vectors is larger than the larger one's squares.
+        scaled = valid_vectors(df, id_col, vec_col).withColumn("vec", F.transform("vec", lambda x: F.floor(x * F.lit(float(scale)))))
+        squares = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+        fits = F.forall("vec", lambda x: F.abs(x.cast("double")) < 2.0**31) & (squares < 2.0**62)
+        return scaled.withColumn("vec", F.when(fits, F.col("vec")).otherwise(F.raise_error(
+            F.concat(F.lit("scores of this vector can leave 64 bits: id "), F.col("id").cast("string")))))
 
     spark = vectors.sparkSession
     index = stored(distinct_vectors(quantised(vectors), k + 1), "index")

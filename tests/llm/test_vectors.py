@@ -93,3 +93,15 @@ def test_queries_against_brute_force(spark):
     found = {(r[0], r[2]) for r in QUERIES["op8_multiprobe_ann"](spark, SF).collect()}
     expected = {(q, i) for q, _, i, _ in brute(data, [r for r in data if r[0] % 100 == 0], 10, lambda a, b: np.sqrt(((a - b) ** 2).sum()), False)}
     assert len(found) == len(expected) and len(found & expected) >= 0.9 * len(expected)
+
+
+def test_scores_that_could_leave_64_bits_are_an_error(spark):
+    from tallymark.llm.topk import exact_top_k
+
+    fits = [(i, [2.0**20 * (i + 1), -3.0]) for i in range(4)]
+    docs = spark.createDataFrame(fits, "vec_id long, embedding array<double>")
+    top = exact_top_k(docs, docs.where("vec_id = 0"), 1).first()
+    assert (top["vec_id"], top["score"]) == (3, (2**28) * (2**30) + 768 * 768)
+    large = spark.createDataFrame([*fits, (9, [1e17, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="leave 64 bits: id 9"):
+        exact_top_k(large, docs.where("vec_id = 0"), 1).collect()
