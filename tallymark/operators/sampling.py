@@ -7,41 +7,61 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.hashing import hash_rank
 from tallymark.operators.ranks import HASH_DIGITS
+from tallymark.session import stored
+
+
+def _first_by_hash(rows: DataFrame, k: int) -> DataFrame:
+    """The ``k`` rows (_name, _sh) with the smallest hashes: whole buckets by their counts, only the boundary one in order."""
+    bucketed = rows.withColumn("_b", F.substring("_sh", 1, HASH_DIGITS))
+    # One row that holds at most 16 ** HASH_DIGITS counts.
+    counts = bucketed.groupBy("_b").agg(F.count("*").alias("_n")).agg(F.array_sort(F.collect_list(F.struct("_b", "_n"))).alias("_c"))
+    at = F.aggregate("_c", F.struct(F.lit(None).cast("string").alias("last"), F.lit(k).cast("long").alias("need")), lambda a, c: F.when(
+        a["need"] <= 0, a).otherwise(F.struct(c["_b"].alias("last"), (a["need"] - c["_n"]).alias("need"))))
+    last = counts.select(at.alias("_at")).select("_at.*")
+    # need is minus the surplus of the boundary bucket, or what is missing where there are fewer rows.
+    placed = bucketed.join(F.broadcast(last)).where(F.col("_b") <= F.col("last"))
+    sized = placed.withColumn("_in", F.col("_b") < F.col("last"))
+    edge = sized.where(~F.col("_in")).withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy("_sh", "_name"))).withColumn(
+        "_all", F.count("*").over(Window.partitionBy("_b")))
+    return sized.where("_in").select("_name").unionAll(edge.where(F.col("_rn") <= F.col("_all") + F.least("need", F.lit(0))).select("_name"))
 
 
 def stratified_sample(df: DataFrame, key: str, stratum: str, count: int, seed: int) -> DataFrame:
     """``count`` rows split evenly over the strata, the remainder to the strata ranked first; short strata are not topped up.
 
-    Hash ranks are uniform, so their leading digits cut every stratum into ordered buckets of equal size. Counts per
-    bucket show which buckets lie wholly inside the quota; only rows up to the boundary bucket are shuffled, by
-    (stratum, bucket), so a stratum that holds most of the table is not ordered in one task.
+    Hash ranks are uniform, so their leading digits cut every stratum into ordered buckets of equal size. A first scan
+    counts rows per stratum and bucket and writes the counts: they name the strata and tell which buckets lie wholly
+    inside the quota. A second scan keeps the rows up to the boundary bucket; of a bucket no task hands on more than its
+    quota, so the smallest hashes of all tasks merge by (stratum, bucket), and a stratum that holds most of the table is
+    not ordered in one task. Nulls are a stratum of their own.
     """
     if count <= 0:
         return df.limit(0)
-    ranked = df.withColumn("_h", hash_rank(F.col(key), seed)).withColumn("_b", F.substring("_h", 1, HASH_DIGITS))
-    buckets = ranked.groupBy(stratum, "_b").agg(F.count("*").alias("_n"))
-
-    strata = df.select(stratum).distinct().withColumn("_sh", hash_rank(F.col(stratum), seed))
-    n_strata = strata.agg(F.count("*").alias("_strata"))
-    # At most `count` strata can receive a remainder, so no more are ranked.
-    first = strata.orderBy("_sh").limit(count).withColumn("_place", F.row_number().over(Window.orderBy("_sh")))
-    quota = strata.join(first.select(stratum, "_place"), stratum, "left").join(F.broadcast(n_strata)).withColumn(
-        "_quota",
-        F.expr(f"cast({count} div _strata as long)")
-        + F.coalesce((F.col("_place") <= F.lit(count) % F.col("_strata")).cast("long"), F.lit(0)),
-    ).select(stratum, "_quota")
-
-    upto = F.sum("_n").over(Window.partitionBy(stratum).orderBy("_b"))
-    reached = buckets.join(quota, stratum).withColumn("_upto", upto).where(F.col("_upto") >= F.col("_quota"))
-    boundary = reached.groupBy(stratum).agg(
+    ranked = df.withColumn("_h", hash_rank(F.col(key), seed)).withColumn("_b", F.substring("_h", 1, HASH_DIGITS)).withColumn("_name", F.col(stratum))
+    buckets = stored(ranked.groupBy("_name", "_b").agg(F.count("*").alias("_n")), "strata")
+
+    strata = buckets.select("_name").distinct().withColumn("_sh", F.coalesce(hash_rank(F.col("_name"), seed), F.lit("")))
+    n_strata = strata.count()
+    if not n_strata:
+        return df.limit(0)
+    each, more = divmod(count, n_strata)
+    first = _first_by_hash(strata, more).withColumn("_one", F.lit(1)) if more else strata.limit(0).select("_name").withColumn("_one", F.lit(1))
+    quota = strata.alias("a").join(first.alias("b"), F.col("a._name").eqNullSafe(F.col("b._name")), "left").select(
+        "a._name", (F.lit(each) + F.coalesce("b._one", F.lit(0))).cast("long").alias("_quota"))
+
+    upto = F.sum("_n").over(Window.partitionBy("_name").orderBy("_b"))
+    reached = buckets.alias("a").join(quota.alias("b"), F.col("a._name").eqNullSafe(F.col("b._name"))).select(
+        "a.*", "b._quota").withColumn("_upto", upto).where(F.col("_upto") >= F.col("_quota"))
+    boundary = reached.groupBy("_name").agg(
         F.min("_b").alias("_last"), F.min_by(F.col("_quota") - F.col("_upto") + F.col("_n"), "_b").alias("_need"))
 
-    kept = ranked.join(boundary, stratum, "left").where(F.col("_last").isNull() | (F.col("_b") <= F.col("_last")))
-    order = F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_h", key))
+    kept = ranked.alias("a").join(boundary.alias("b"), F.col("a._name").eqNullSafe(F.col("b._name")), "left").select("a.*", "b._last", "b._need").where(
+        F.col("_last").isNull() | (F.col("_b") <= F.col("_last")))
+    order = F.row_number().over(Window.partitionBy("_name", "_b").orderBy("_h", key))
     numbered = kept.withColumn("_rn", order)
     inside = F.col("_last").isNull() | (F.col("_b") < F.col("_last")) | (F.col("_rn") <= F.col("_need"))
-    # No bucket gives more than `count` rows; said as a constant, Spark cuts hot buckets before the shuffle.
-    return numbered.where((F.col("_rn") <= count) & inside).select(*df.columns)
+    # No bucket gives more than a stratum's share; said as a constant, Spark cuts hot buckets before the shuffle.
+    return numbered.where((F.col("_rn") <= each + 1) & inside).select(*df.columns)
 
 
 def holdout_strata(df: DataFrame, stratum: str, k: int, seed: int) -> tuple[DataFrame, DataFrame]:

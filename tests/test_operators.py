@@ -1,3 +1,4 @@
+import hashlib
 import json
 import re
 
@@ -50,6 +51,20 @@ def test_short_strata_are_not_topped_up(spark):
     assert stratified_sample(rows, "key", "stratum", 500, 1).count() == 51
 
 
+def test_samples_of_many_strata_equal_plain_ranking(spark):
+    sha = lambda x: hashlib.sha256(f"5:{x}".encode()).hexdigest()
+    data = [(f"k{i}", f"s{i % 97}" if i % 10 else "hot", i) for i in range(5_000)]
+    rows = spark.createDataFrame(data, "key string, stratum string, _n int")
+    for count in (40, 97, 300, 4_000):
+        strata = sorted({s for _, s, _ in data}, key=sha)
+        each, more = divmod(count, len(strata))
+        want = set()
+        for place, stratum in enumerate(strata):
+            want |= set(sorted((k for k, s, _ in data if s == stratum), key=sha)[:each + (place < more)])
+        sample = stratified_sample(rows, "key", "stratum", count, 5)
+        assert sample.columns == rows.columns and {r.key for r in sample.collect()} == want
+
+
 def test_documented_holdout(spark):
     rows = spark.createDataFrame([(f"Template{i}",) for i in range(1, 51)], "layout string")
     held, _ = holdout_strata(rows, "layout", 5, 42)
@@ -57,7 +72,6 @@ def test_documented_holdout(spark):
 
 
 def test_hash_draw(spark):
-    import hashlib
 
     rows = spark.range(200).select("id", hash_draw(9, F.concat(F.lit("k"), "id"), 4, 37).alias("d")).collect()
     for r in rows:

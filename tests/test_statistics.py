@@ -143,6 +143,29 @@ def test_ranks_against_sorting_with_a_hot_key_and_a_hot_value(spark):
             assert row[name] == values[max(0, -(-p * len(values) // 100) - 1)]
 
 
+@pytest.mark.parametrize("ordered", [1, 3, 50])
+def test_ranges_narrow_until_they_are_small(spark, ordered):
+    rng = random.Random(9)
+    data = [(k, rng.choice([0.0, float(rng.randrange(300)), rng.gauss(0, 5)]), rng.randrange(1, 4)) for k in ("a", "b", None) for _ in range(400)]
+    data += [("c", 1.0, 1), ("a", None, 5)]
+    rows = spark.createDataFrame(data, "k string, v double, w long").where("k is not null")
+    ps = {"low": 0.01, "mid": 0.5, "high": 0.99}
+    for row in nearest_ranks(rows, ["k"], "v", ps, weight="w", ordered=ordered).collect():
+        values = sorted(v for k, v, w in data if k == row.k and v is not None for _ in range(w))
+        assert row.n == len(values)
+        assert [row[name] for name in ps] == [values[max(0, math.ceil(round(p * len(values), 9)) - 1)] for p in ps.values()]
+    whole = nearest_ranks(rows, [], "v", ps, ordered=ordered).first()
+    values = sorted(v for k, v, _ in data if k is not None and v is not None)
+    assert [whole[name] for name in ps] == [values[max(0, math.ceil(round(p * len(values), 9)) - 1)] for p in ps.values()]
+
+
+def test_one_key_of_ten_million_distinct_values(spark):
+    n = 10_000_000
+    rows = spark.range(n).select(F.lit("hot").alias("k"), ((F.col("id") * 7_368_787) % n).alias("v"))
+    row = nearest_ranks(rows, ["k"], "v", {"p50": 0.5, "p95": 0.95}).first()
+    assert (row.n, row.p50, row.p95) == (n, n // 2 - 1, n * 95 // 100 - 1)
+
+
 def test_global_index_is_dense(spark):
     rows = global_index(spark.range(1000).selectExpr("id * 7 as id"), F.col("id"), ["id"])
     assert sorted(r.idx for r in rows.collect()) == list(range(1000))
