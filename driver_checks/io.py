@@ -13,7 +13,7 @@ from tallymark.operators.calibrate import dedupe_mismatches
 from tallymark.operators.judge import real_mismatches
 from tallymark.operators.scoring import with_field_outcomes
 from tallymark.plans import evaluation as E
-from tallymark.schemas import AMOUNT, FIELDS, GOLDEN, PAIR, RUN_CONFIG, STORED_RESULT
+from tallymark.schemas import AGENT_METRICS, AMOUNT, FIELDS, GOLDEN, JUDGED_FIELDS, PAIR, RUN_CONFIG, STORED_RESULT
 from tallymark.session import scratch_path
 from tallymark.sources import readers as R
 from tallymark.sources import writers as W
@@ -170,14 +170,22 @@ def _summary_path(spark, d):
     return path
 
 
+# Every column of a summary: numbers with so many decimals (null is an empty cell), counts and names as they are.
+_DECIMAL = {"latency_mean_ms": 0, "latency_p50_ms": 0, "latency_p95_ms": 0, "input_tokens_mean": 1, "output_tokens_mean": 1, "thinking_tokens_mean": 1, "usd_per_1k_docs": 2}
+_WHOLE = ["docs", "recomputed_total_n", "line_items_coverage", *[f"{c}_n" for c in AGENT_METRICS]]
+_PRINTED = [
+    "schema_validity", *[f"{f}_accuracy" for f in FIELDS], *[f"{f}_judged_accuracy" for f in JUDGED_FIELDS], *[f"{f}_false_positive_rate" for f in FIELDS],
+    *[f"{f}_miss_rate" for f in FIELDS], "recomputed_total_rate", "line_items_precision", "line_items_recall", "line_items_f1", "composite", *_DECIMAL, *AGENT_METRICS]
+
+
 @check("write_summary", sql(
-    "SELECT execution, config, subset, CAST(docs AS VARCHAR) AS docs, printf('%.4f', round(composite, 4)) AS composite, "
-    "printf('%.4f', round(line_items_f1, 4)) AS line_items_f1, printf('%.0f', round(latency_p95_ms)) AS latency_p95_ms, "
-    "printf('%.1f', round(input_tokens_mean, 1)) AS input_tokens_mean, printf('%.2f', round(usd_per_1k_docs, 2)) AS usd_per_1k_docs "
-    f"FROM ({_SUMMARY_ROWS})", "judged_scores", "prices"))
+    "SELECT execution, config, subset, model, prompt, input_mode, " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _WHOLE) + ", "
+    + ", ".join(f"printf('%.{_DECIMAL.get(c, 4)}f', round({c}, {_DECIMAL.get(c, 4)})) AS {c}" for c in _PRINTED)
+    # Rounded once, from the whole number: a value rounded to six digits first could be rounded the other way.
+    + f" FROM ({_SUMMARY_ROWS.replace(', 6)', ', 15)')})", "judged_scores", "prices"))
 def write_summary(spark, d):
-    rows = spark.read.option("header", True).csv(_summary_path(spark, d))
-    return rows.select("execution", "config", "subset", "docs", "composite", "line_items_f1", "latency_p95_ms", "input_tokens_mean", "usd_per_1k_docs")
+    """All columns of the file: it has no others."""
+    return spark.read.option("header", True).csv(_summary_path(spark, d))
 
 
 @check("read_summary_csv", sql("""
@@ -246,5 +254,5 @@ def write_pools(spark, d):
     path = scratch_path(spark, "pools")
     docs = t.table(spark, d, "documents").select("doc_id", "source")
     W.write_pools(docs, path, 150, 5, 20, 42, key="doc_id", stratum="source")
-    pools = [spark.read.schema("doc_id long, source string").json(f"{path}/{p}").select(F.lit(p).alias("pool"), "doc_id", "source") for p in ("golden", "dev")]
+    pools = [spark.read.schema("doc_id long, source string").json(f"{path}/pool={p}").select(F.lit(p).alias("pool"), "doc_id", "source") for p in ("golden", "dev")]
     return pools[0].unionAll(pools[1])

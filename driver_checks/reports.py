@@ -15,7 +15,7 @@ from tallymark.operators import ranks as R
 from tallymark.operators import scoring as S
 from tallymark.operators import summary as Y
 from tallymark.plans import evaluation as E
-from tallymark.schemas import FIELDS, JUDGED_FIELDS
+from tallymark.schemas import AGENT_METRICS, FIELDS, JUDGED_FIELDS
 
 RUN = ["execution", "config"]
 
@@ -62,7 +62,9 @@ _SUMMARY_COLS = ", ".join(
     + [f"{_avg(m)} AS {m}" for m in ("line_items_precision", "line_items_recall", "line_items_f1")]
     + ["count(line_items_f1) AS line_items_coverage", f"{_avg('composite')} AS composite",
        f"{_avg('latency_ms')} AS latency_mean_ms", f"{_rank('latency_ms', 50)} AS latency_p50_ms", f"{_rank('latency_ms', 95)} AS latency_p95_ms"]
-    + [f"{_avg(f'{x}_tokens')} AS {x}_tokens_mean" for x in ("input", "output", "thinking")])
+    + [f"{_avg(f'{x}_tokens')} AS {x}_tokens_mean" for x in ("input", "output", "thinking")]
+    # These scores hold no agent metrics: their columns are there and empty.
+    + [x for c in AGENT_METRICS for x in (f"CAST(NULL AS DOUBLE) AS {c}", f"CAST(0 AS BIGINT) AS {c}_n")])
 _SUMMARY_ROWS = (
     "SELECT s.execution, s.config, s.model, s.prompt, s.input_mode, x.subset, " + _SUMMARY_COLS
     + ", round((avg(input_tokens) * min(input_per_mtok) + avg(output_tokens) * min(output_per_mtok)) / 1e6 * 1000, 6) AS usd_per_1k_docs"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallymark.functions.hashing import item_id
 from tallymark.operators.ranks import global_index
 from tallymark.operators.summary import cost
+from tallymark.session import scratch_path
 
 # Estimate heuristics.
 CHARS_PER_TOKEN = 3.5
@@ -36,13 +37,17 @@ def request_fingerprint() -> Column:
 def replay_join(requests: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(served, misses). ``responses`` holds (fingerprint, response_text, latency_ms); the original latency is kept.
 
-    Only the fingerprint travels with a request's own key columns: prompts and texts are hashed before the shuffle.
+    Only the fingerprint travels with a request's own key columns: prompts and texts are hashed before the shuffle. The
+    join is made and written once, in a folder per state, so each output reads its own rows and neither joins again.
     """
     keyed = requests.withColumn("fingerprint", request_fingerprint()).drop("model", "messages", "options", "tools")
-    stored = responses.groupBy("fingerprint").agg(F.min(F.struct("response_text", "latency_ms")).alias("r")).select(
+    kept = responses.groupBy("fingerprint").agg(F.min(F.struct("response_text", "latency_ms")).alias("r")).select(
         "fingerprint", "r.*")
-    joined = keyed.join(stored.withColumn("_hit", F.lit(True)), "fingerprint", "left")
-    return joined.where("_hit").drop("_hit"), joined.where("_hit IS NULL").select(*keyed.columns)
+    joined = keyed.join(kept.withColumn("_hit", F.lit(True)), "fingerprint", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    path = scratch_path(requests.sparkSession, "replayed")
+    joined.write.partitionBy("_hit").parquet(path)
+    back = requests.sparkSession.read.schema(joined.schema).parquet(path)
+    return back.where("_hit").drop("_hit"), back.where("NOT _hit").select(*keyed.columns)
 
 
 # ---------- export ----------

@@ -26,42 +26,82 @@ def _first_by_hash(rows: DataFrame, k: int) -> DataFrame:
     return sized.where("_in").select("_name").unionAll(edge.where(F.col("_rn") <= F.col("_all") + F.least("need", F.lit(0))).select("_name"))
 
 
-def stratified_sample(df: DataFrame, key: str, stratum: str, count: int, seed: int) -> DataFrame:
-    """``count`` rows split evenly over the strata, the remainder to the strata ranked first; short strata are not topped up.
+def _ranked(df: DataFrame, key: str, stratum: str, seed: int) -> DataFrame:
+    return df.withColumn("_h", hash_rank(F.col(key), seed)).withColumn("_b", F.substring("_h", 1, HASH_DIGITS)).withColumn("_name", F.col(stratum))
 
-    Hash ranks are uniform, so their leading digits cut every stratum into ordered buckets of equal size. A first scan
-    counts rows per stratum and bucket and writes the counts: they name the strata and tell which buckets lie wholly
-    inside the quota. A second scan keeps the rows up to the boundary bucket; of a bucket no task hands on more than its
-    quota, so the smallest hashes of all tasks merge by (stratum, bucket), and a stratum that holds most of the table is
-    not ordered in one task. Nulls are a stratum of their own.
-    """
-    if count <= 0:
-        return df.limit(0)
-    ranked = df.withColumn("_h", hash_rank(F.col(key), seed)).withColumn("_b", F.substring("_h", 1, HASH_DIGITS)).withColumn("_name", F.col(stratum))
-    buckets = stored(ranked.groupBy("_name", "_b").agg(F.count("*").alias("_n")), "strata")
 
+def _bucket_counts(ranked: DataFrame) -> DataFrame:
+    """(_name, _b, _n): rows per stratum and bucket of their hashes, written."""
+    return stored(ranked.groupBy("_name", "_b").agg(F.count("*").alias("_n")), "strata")
+
+
+def _boundaries(buckets: DataFrame, count: int, seed: int) -> DataFrame | None:
+    """(_name, _quota, _last, _need): each stratum's share, the bucket in which it ends and how many rows of that belong to it.
+
+    A stratum that is shorter than its share has no such bucket. None if there are no strata.
+    """
     strata = buckets.select("_name").distinct().withColumn("_sh", F.coalesce(hash_rank(F.col("_name"), seed), F.lit("")))
     n_strata = strata.count()
     if not n_strata:
-        return df.limit(0)
+        return None
     each, more = divmod(count, n_strata)
-    first = _first_by_hash(strata, more).withColumn("_one", F.lit(1)) if more else strata.limit(0).select("_name").withColumn("_one", F.lit(1))
+    first = (_first_by_hash(strata, more) if more else strata.limit(0).select("_name")).withColumn("_one", F.lit(1))
     quota = strata.alias("a").join(first.alias("b"), F.col("a._name").eqNullSafe(F.col("b._name")), "left").select(
         "a._name", (F.lit(each) + F.coalesce("b._one", F.lit(0))).cast("long").alias("_quota"))
-
     upto = F.sum("_n").over(Window.partitionBy("_name").orderBy("_b"))
     reached = buckets.alias("a").join(quota.alias("b"), F.col("a._name").eqNullSafe(F.col("b._name"))).select(
-        "a.*", "b._quota").withColumn("_upto", upto).where(F.col("_upto") >= F.col("_quota"))
-    boundary = reached.groupBy("_name").agg(
-        F.min("_b").alias("_last"), F.min_by(F.col("_quota") - F.col("_upto") + F.col("_n"), "_b").alias("_need"))
+        "a.*", "b._quota").withColumn("_upto", upto)
+    full = F.col("_upto") >= F.col("_quota")
+    return reached.groupBy("_name").agg(
+        F.first("_quota").alias("_quota"), F.min(F.when(full, F.col("_b"))).alias("_last"),
+        F.min_by(F.when(full, F.col("_quota") - F.col("_upto") + F.col("_n")), F.when(full, F.col("_b"))).alias("_need"))
+
 
-    kept = ranked.alias("a").join(boundary.alias("b"), F.col("a._name").eqNullSafe(F.col("b._name")), "left").select("a.*", "b._last", "b._need").where(
+def _within(ranked: DataFrame, bounds: DataFrame, most: int) -> DataFrame:
+    """The rows of ``ranked`` inside the shares of ``bounds``, with its other columns; strata that it lacks are left out."""
+    extra = [f"b.{c}" for c in bounds.columns if c not in ("_name", "_quota")]
+    kept = ranked.alias("a").join(bounds.alias("b"), F.col("a._name").eqNullSafe(F.col("b._name"))).select("a.*", *extra).where(
         F.col("_last").isNull() | (F.col("_b") <= F.col("_last")))
-    order = F.row_number().over(Window.partitionBy("_name", "_b").orderBy("_h", key))
-    numbered = kept.withColumn("_rn", order)
+    numbered = kept.withColumn("_rn", F.row_number().over(Window.partitionBy("_name", "_b").orderBy("_h", "_key")))
     inside = F.col("_last").isNull() | (F.col("_b") < F.col("_last")) | (F.col("_rn") <= F.col("_need"))
     # No bucket gives more than a stratum's share; said as a constant, Spark cuts hot buckets before the shuffle.
-    return numbered.where((F.col("_rn") <= each + 1) & inside).select(*df.columns)
+    return numbered.where((F.col("_rn") <= most) & inside)
+
+
+def stratified_sample(df: DataFrame, key: str, stratum: str, count: int, seed: int) -> DataFrame:
+    """``count`` rows split evenly over the strata, the remainder to the strata ranked first; short strata are not topped up.
+
+    Hash ranks are uniform, so their leading digits cut every stratum into ordered buckets of equal size. A first scan
+    counts rows per stratum and bucket and writes the counts: they name the strata and tell which buckets lie wholly
+    inside the quota. A second scan keeps the rows up to the boundary bucket; of a bucket no task hands on more than its
+    quota, so the smallest hashes of all tasks merge by (stratum, bucket), and a stratum that holds most of the table is
+    not ordered in one task. Nulls are a stratum of their own.
+    """
+    if count <= 0:
+        return df.limit(0)
+    ranked = _ranked(df, key, stratum, seed).withColumn("_key", F.col(key))
+    buckets = _bucket_counts(ranked)
+    bounds = _boundaries(buckets, count, seed)
+    return df.limit(0) if bounds is None else _within(ranked, bounds, count).select(*df.columns)
+
+
+def sampled_pools(df: DataFrame, key: str, stratum: str, count: int, dev_strata: int, dev_count: int, seed: int) -> DataFrame:
+    """``df`` plus ``pool``: a sample of the strata held out (``dev``) and one of the rest (``golden``), in two scans.
+
+    One scan counts, for both pools; which pool a stratum is in is decided on the counts. The second takes the rows of both.
+    """
+    ranked = _ranked(df, key, stratum, seed).withColumn("_key", F.col(key))
+    buckets = _bucket_counts(ranked)
+    held, rest = holdout_strata(buckets, "_name", dev_strata, seed)
+    out = []
+    for pool, part, n in (("golden", rest, count), ("dev", held, dev_count)):
+        bounds = _boundaries(part, n, seed) if n > 0 else None
+        if bounds is not None:
+            out.append(bounds.withColumn("pool", F.lit(pool)))
+    if not out:
+        return df.limit(0).withColumn("pool", F.lit(""))
+    bounds = out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    return _within(ranked, bounds, max(count, dev_count)).select(*df.columns, "pool")
 
 
 def holdout_strata(df: DataFrame, stratum: str, k: int, seed: int) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tallymark.functions.ordering import CONFIG_ORDER
 from tallymark.operators.gate import baseline_order, promote_baseline
-from tallymark.operators.sampling import holdout_strata, stratified_sample
+from tallymark.operators.sampling import sampled_pools
 
 # Decimals printed per summary column; four elsewhere.
 DECIMALS = {
@@ -58,8 +58,6 @@ def write_pools(
     converted: DataFrame, path: str, count: int, dev_strata: int, dev_count: int, seed: int,
     key: str = "name", stratum: str = "layout",
 ) -> None:
-    """Two datasets: a sample of the held-out strata under ``dev``, a sample of the rest under ``golden``."""
-    held, rest = holdout_strata(converted, stratum, dev_strata, seed)
-    for pool, rows, n in (("golden", rest, count), ("dev", held, dev_count)):
-        stratified_sample(rows, key, stratum, n, seed).orderBy(key).write.option(
-            "ignoreNullFields", False).json(f"{path}/{pool}")
+    """Two datasets, written at once: a sample of the held-out strata under ``pool=dev``, one of the rest under ``pool=golden``."""
+    sampled_pools(converted, key, stratum, count, dev_strata, dev_count, seed).orderBy("pool", key).write.option(
+        "ignoreNullFields", False).partitionBy("pool").json(path)

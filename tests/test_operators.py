@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.answers import parse_verdict, warnings_of
 from tallymark.functions.hashing import hash_draw
-from tallymark.operators import agent, calibrate, convert, gate, judge
+from tallymark.operators import agent, calibrate, convert, exchange, gate, judge, summary
 from tallymark.operators.currency import normalize_currency
 from tallymark.operators.exchange import replay_join, request_fingerprint
 from tallymark.operators.sampling import holdout_strata, stratified_sample
+from tallymark.schemas import AGENT_METRICS, FIELDS, JUDGED_FIELDS
 from tallymark.sources import readers, writers
 
 TH = "metric string, subset string, maxDrop double, position int"
@@ -234,3 +235,47 @@ def test_gate_files_round_trip(spark, tmp_path):
     limits.write_text('{"thresholds": []}')
     with pytest.raises(ValueError, match="no thresholds"):
         readers.read_thresholds(spark, str(limits))
+
+
+def test_stored_runs_are_pruned_to_the_latest(spark, tmp_path):
+    rows = [("c1", f"2026010{d}T000000Z-a", i, d / 10) for d in (1, 2, 3) for i in range(4)] + [("20", "20260101T000000Z-b", i, 0.5) for i in range(3)]
+    scores = spark.createDataFrame(rows, "config string, execution string, doc_id long, composite double")
+    path = str(tmp_path / "scores")
+    summary.store_scores(scores, path)
+    summary.store_scores(scores.where("execution like '20260103%'").withColumn("composite", F.lit(0.9)), path)
+    latest = summary.latest_stored(spark, path)
+    got = sorted((r.config, r.execution, r.doc_id, r.composite) for r in latest.select("config", "execution", "doc_id", "composite").collect())
+    assert got == [("20", "20260101T000000Z-b", i, 0.5) for i in range(3)] + [("c1", "20260103T000000Z-a", i, 0.9) for i in range(4)]
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "PartitionFilters: [" in plan and "<=> c1" in plan.split("PartitionFilters")[1]
+
+
+def test_both_sides_of_a_replay_come_from_one_join(spark):
+    requests = spark.createDataFrame([(i, "m", f"p{i % 3}", "o", "t") for i in range(9)], "id int, model string, messages string, options string, tools string")
+    keys = requests.select(exchange.request_fingerprint().alias("fingerprint"), "messages").distinct().where("messages <> 'p1'")
+    served, misses = exchange.replay_join(requests, keys.select("fingerprint", F.concat(F.lit("r-"), "messages").alias("response_text"), F.lit(3.0).alias("latency_ms")))
+    assert sorted((r.id, r.response_text) for r in served.collect()) == [(i, f"r-p{i % 3}") for i in range(9) if i % 3 != 1]
+    assert sorted(r.id for r in misses.collect()) == [1, 4, 7] and misses.columns == ["id", "fingerprint"]
+    for side in (served, misses):
+        plan = side._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan and "PartitionFilters: [" in plan
+
+
+def test_a_summary_always_has_its_columns(spark):
+    from tallymark.operators.summary import summary as summarise
+
+    base = {"execution": "e", "config": "c", "model": "m", "prompt": "p", "input_mode": "text", "doc_id": 1, "source": "fatura", "latency_ms": 5.0,
+            "input_tokens": 1, "output_tokens": 1, "thinking_tokens": 0, "schema_validity": 1.0, "recomputed_total_rate": None, "line_items_precision": 1.0,
+            "line_items_recall": 1.0, "line_items_f1": 1.0, "composite": 1.0}
+    base |= {f"outcome_{f}": "correct_value" for f in FIELDS}
+    kind = ", ".join(f"{k} {'string' if isinstance(v, str) else 'long' if isinstance(v, int) else 'double'}" for k, v in base.items())
+    prices = spark.createDataFrame([("m", 1.0, 2.0)], "model string, input_per_mtok double, output_per_mtok double")
+    bare = summarise(spark.createDataFrame([tuple(base.values())], kind), prices)
+    more = {f"judged_{f}": "correct_value" for f in JUDGED_FIELDS} | {m: 0.5 for m in AGENT_METRICS.values()}
+    full = spark.createDataFrame([(*base.values(), *more.values())], kind + ", " + ", ".join(f"{k} {'string' if isinstance(v, str) else 'double'}" for k, v in more.items()))
+    whole = summarise(full, prices)
+    assert bare.columns == whole.columns and bare.dtypes == whole.dtypes
+    a, b = bare.where("subset = 'combined'").first(), whole.where("subset = 'combined'").first()
+    for column in AGENT_METRICS:
+        assert (a[column], a[f"{column}_n"], b[column], b[f"{column}_n"]) == (None, 0, 0.5, 1)
+    assert all(a[f"{f}_judged_accuracy"] is None and b[f"{f}_judged_accuracy"] == 1.0 for f in JUDGED_FIELDS)
