@@ -167,11 +167,33 @@ def different_party(names: DataFrame, per_name: int, seed: int) -> DataFrame:
         "field", "doc_id", F.col("name").alias("golden"), "predicted").distinct()
 
 
+def assigned(candidates: DataFrame) -> DataFrame:
+    """(slot, id): what slots get that, one after another, take the first of their candidates that is not taken yet.
+
+    ``candidates`` are (slot, attempt, id). In every round each slot asks for the first candidate it has left, each pair
+    holds on to the smallest slot that asks, and all larger slots give that pair up for good; so a slot that loses a pair
+    goes on to its next one. When no candidate is given up, no two slots ask for one pair, and the slots in order would
+    have taken the same.
+    """
+    left = stored(candidates.groupBy("slot", "id").agg(F.min("attempt").alias("attempt")), "candidates")
+    n = left.count()
+    while True:
+        asks = left.groupBy("slot").agg(F.min(F.struct("attempt", "id")).alias("a")).select("slot", "a.id")
+        holders = asks.groupBy("id").agg(F.min("slot").alias("holder"))
+        rest = stored(left.join(holders, "id", "left").where(F.col("holder").isNull() | (F.col("slot") <= F.col("holder"))).select(
+            "slot", "id", "attempt"), "candidates")
+        before, n = n, rest.count()
+        if n == before:
+            return asks
+        left = rest
+
+
 def calibration_pairs(mismatches: DataFrame, names: DataFrame, target: int = 60, seed: int = 42) -> DataFrame:
     """Every distinct real mismatch, topped up to ``target`` with perturbed names: (id, field, doc_id, golden, predicted, origin).
 
     Slots cycle through the kinds; a slot tries up to 64 drawn names and keeps the first whose pair is in the gray zone
-    and not taken. The number of draws depends on the target only, whatever the size of the pool.
+    and not taken by an earlier slot (see :func:`assigned`). The number of draws depends on the target only, whatever the
+    size of the pool. How many real pairs there are is counted when this is called.
     """
     spark = mismatches.sparkSession
     real = stored(dedupe_mismatches(mismatches), "real-pairs").select(
@@ -199,10 +221,10 @@ def calibration_pairs(mismatches: DataFrame, names: DataFrame, target: int = 60,
     candidates = drawn.withColumn("predicted", predicted).withColumnRenamed("name", "golden").where(
         gray_zone(F.col("golden"), F.col("predicted")))
     candidates = candidates.withColumn("id", pair_id(F.col("field"), F.col("golden"), F.col("predicted")))
-    fresh = candidates.join(real.select("id"), "id", "left_anti")
-    # A pair belongs to the first slot that drew it; a slot keeps its first attempt left.
-    owned = fresh.groupBy("id").agg(F.min(F.struct("slot", "attempt", "kind", "field", "doc_id", "golden", "predicted")).alias("c"))
-    chosen = owned.groupBy(F.col("c.slot").alias("slot")).agg(F.min(F.struct("c.attempt", "id", "c")).alias("m"))
+    fresh = stored(candidates.join(real.select("id"), "id", "left_anti").select(
+        "slot", "attempt", "id", "kind", "field", "doc_id", "golden", "predicted"), "fresh-pairs")
+    chosen = fresh.join(assigned(fresh.select("slot", "attempt", "id")), ["slot", "id"]).groupBy("slot").agg(
+        F.min(F.struct("attempt", "id", F.struct("kind", "field", "doc_id", "golden", "predicted").alias("c"))).alias("m"))
     # At most `slots` rows reach this ordering.
     ordered = chosen.withColumn("_rn", F.row_number().over(Window.orderBy("slot")))
     made = ordered.where(F.col("_rn") <= need).select(

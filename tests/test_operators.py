@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 import re
 
 import pytest
@@ -279,3 +280,18 @@ def test_a_summary_always_has_its_columns(spark):
     for column in AGENT_METRICS:
         assert (a[column], a[f"{column}_n"], b[column], b[f"{column}_n"]) == (None, 0, 0.5, 1)
     assert all(a[f"{f}_judged_accuracy"] is None and b[f"{f}_judged_accuracy"] == 1.0 for f in JUDGED_FIELDS)
+
+
+def test_slots_take_what_they_would_take_one_after_another(spark):
+    rng = random.Random(12)
+    for pairs in (3, 12, 40):
+        rows = [(slot, attempt, f"p{rng.randrange(pairs)}") for slot in range(25) for attempt in sorted(rng.sample(range(64), rng.randrange(0, 9)))]
+        taken, want = set(), {}
+        for slot in range(25):
+            for _, _, pair in sorted(r for r in rows if r[0] == slot):
+                if pair not in taken:
+                    taken.add(pair)
+                    want[slot] = pair
+                    break
+        got = calibrate.assigned(spark.createDataFrame(rows, "slot int, attempt int, id string")).collect()
+        assert {r.slot: r.id for r in got} == want
