@@ -360,22 +360,22 @@ def replay_join(spark, d):
 
 # ---------- export ----------
 
+_EXPORTED = ["composite", "schema_validity", "recomputed_total_rate", "line_items_precision", "line_items_recall", "line_items_f1"]
+
+
 @check("score_export", sql("""
-    SELECT id, name, round(value, 6) AS value, comment, (SELECT CAST((count(*) + 99) // 100 AS BIGINT) FROM rows) AS batches FROM (
+    SELECT id, name, round(value, 6) AS value, comment, (row_number() OVER (ORDER BY substr(sha256(id), 1, 3), id) - 1) // 100 AS batch FROM (
       SELECT doc_id || '-' || metric AS id, metric AS name, value,
              CASE WHEN length(reason) > 500 THEN substr(reason, 1, 500) || '…' ELSE reason END AS comment FROM rows)""", "scores", extra={
-    "rows": """SELECT config || ':' || execution || ':' || doc_id AS doc_id, metric, value, repeat('why ' || metric || ' ', 1 + CAST(doc_id % 60 AS INTEGER)) AS reason FROM (
-        SELECT config, execution, doc_id, 'composite' AS metric, composite AS value FROM scores
-        UNION ALL SELECT config, execution, doc_id, 'line_items_f1', line_items_f1 FROM scores) WHERE value IS NOT NULL"""}))
+    "rows": "SELECT config || ':' || execution || ':' || doc_id AS doc_id, metric, value, repeat('why ' || metric || ' ', 1 + CAST(doc_id % 60 AS INTEGER)) AS reason FROM ("
+    + " UNION ALL ".join(f"SELECT config, execution, doc_id, '{m}' AS metric, {m} AS value FROM scores" for m in _EXPORTED) + ") WHERE value IS NOT NULL"}))
 def score_export(spark, d):
-    scores = t.judged_scores(spark, d)
-    long = S.doc_metrics(scores, ["composite", "line_items_f1"], ["config", "execution", "doc_id"])
+    """Every metric of a document, and for every row the batch that it is sent in."""
+    long = S.doc_metrics(t.judged_scores(spark, d), _EXPORTED, ["config", "execution", "doc_id"])
     rows = long.select(
         F.concat_ws(":", "config", "execution", "doc_id").alias("trace_id"), "metric", "value",
         F.expr("repeat(concat('why ', metric, ' '), 1 + cast(doc_id % 60 as int))").alias("reason"))
-    out = X.score_export(rows)
-    n = out.agg(F.countDistinct("batch").alias("batches"))
-    return out.select("id", "name", r6("value").alias("value"), "comment").join(F.broadcast(n))
+    return X.score_export(rows).select("id", "name", r6("value").alias("value"), "comment", "batch")
 
 
 @check("snapshot_sync", """

@@ -98,20 +98,22 @@ def field_outcomes(spark, d):
     return S.field_outcomes(t.scored(spark, d), keys=tuple(KEYS), tol=CENT).drop("reason")
 
 
-@check("outcome_reason", sql("""
-    SELECT execution, config, doc_id, field,
-           outcome || ': expected ' || coalesce(e, 'null') || ', got ' || coalesce(a, 'null') AS reason
-    FROM (
-      SELECT execution, config, doc_id, 'total' AS field, outcome_total AS outcome, CAST(total AS VARCHAR) AS e,
-             CASE WHEN parsed THEN CAST(p_total AS VARCHAR) END AS a FROM outcomes
-      UNION ALL
-      SELECT execution, config, doc_id, 'due_date', outcome_due_date, strftime(due_date, '%Y-%m-%d'),
-             CASE WHEN parsed THEN strftime(p_due_date, '%Y-%m-%d') END FROM outcomes
-      UNION ALL
-      SELECT execution, config, doc_id, 'vendor_name', outcome_vendor_name, '''' || vendor_name || '''',
-             CASE WHEN parsed THEN '''' || p_vendor_name || '''' END FROM outcomes)""", "outcomes"))
+def _shown(f: str, c: str) -> str:
+    if f in ("subtotal", "discount", "tax", "total"):
+        return f"CAST({c} AS VARCHAR)"
+    return f"strftime({c}, '%Y-%m-%d')" if f.endswith("_date") else f"'''' || {c} || ''''"
+
+
+_REASONS = " UNION ALL ".join(
+    f"SELECT execution, config, doc_id, '{f}' AS field, outcome_{f} AS outcome, {_shown(f, f)} AS e, CASE WHEN parsed THEN {_shown(f, 'p_' + f)} END AS a FROM outcomes"
+    for f in FIELDS)
+
+
+@check("outcome_reason", sql(f"""
+    SELECT execution, config, doc_id, field, outcome || ': expected ' || coalesce(e, 'null') || ', got ' || coalesce(a, 'null') AS reason
+    FROM ({_REASONS})""", "outcomes"))
 def outcome_reason(spark, d):
-    rows = S.field_outcomes(t.scored(spark, d), ("total", "due_date", "vendor_name"), tuple(KEYS), CENT)
+    rows = S.field_outcomes(t.scored(spark, d), keys=tuple(KEYS), tol=CENT)
     return rows.select(*KEYS, "field", "reason")
 
 
