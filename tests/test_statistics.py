@@ -187,3 +187,18 @@ def test_opposite_signs_show_both_subsets(spark):
     shown = sorted((r.metric, r.subset) for r in C.shown_rows(rows).collect())
     assert shown == [("composite", "combined"), ("composite", "fatura"), ("composite", "synthetic"),
                      ("field_total", "combined"), ("line_items_f1", "synthetic")]
+
+
+def test_a_stream_draws_once_for_as_many_blocks_as_a_task_holds(spark):
+    """Blocks far smaller than what a task holds are one span; a smaller hold gives more spans and the same sums."""
+    deltas = [(g, i, (i * 7 + len(g)) % 5 * 0.25) for g in ("a", "bc") for i in range(101)]
+    placed = spark.createDataFrame([(g, d, i) for g, i, d in deltas], "gid string, delta double, idx long")
+    sizes = placed.groupBy("gid").agg(F.count("*").alias("n"))
+    rows = C._block_sums(placed, sizes, 30, 42, 7, C.STREAM).collect()
+    assert {r.block for r in rows} == {0} and len(rows) == 60
+    draws = sequential(42, 30 * 101, 101)
+    want = {(g, r): sum(deltas[(0 if g == "a" else 101) + i][2] for i in draws[r * 101:(r + 1) * 101]) for g in ("a", "bc") for r in range(30)}
+    assert {(r.gid, r.r): r.total for r in rows} == want
+    values = np.array([[d] for g, _, d in deltas if g == "a"])
+    parts = [C.stream_totals(42, 101, low, values[low:low + 40], np.arange(30)) for low in (0, 40, 80)]
+    assert sum(parts)[:, 0].tolist() == [want["a", r] for r in range(30)]
