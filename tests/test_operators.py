@@ -295,3 +295,19 @@ def test_slots_take_what_they_would_take_one_after_another(spark):
                     break
         got = calibrate.assigned(spark.createDataFrame(rows, "slot int, attempt int, id string")).collect()
         assert {r.slot: r.id for r in got} == want
+
+
+def test_latest_rows_are_not_sent_by_run(spark):
+    """Sent by configuration and execution, the rows of a run would meet in one task, whatever the size of the list of runs."""
+    from tallymark.operators.summary import latest_rows
+
+    rows = spark.createDataFrame([("a", "1", 1), ("a", "2", 2), ("b", "1", 3), (None, "9", 4)], "config string, execution string, doc_id int")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        latest = latest_rows(rows)
+        assert sorted(r.doc_id for r in latest.collect()) == [2, 3]
+        plan = latest._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
