@@ -17,6 +17,7 @@ from tallymark.operators import scoring as S
 from tallymark.operators import summary as Y
 from tallymark.operators.currency import AMBIGUOUS, ISO_CODES, UNAMBIGUOUS, normalize_currency
 from tallymark.schemas import AGENT_METRICS
+from tallymark.session import stored
 
 
 def r6(c):
@@ -249,7 +250,7 @@ def calibration_pairs(spark, d):
 @check("perturb")
 def perturb(spark, d):
     """Every kind over every distinct name."""
-    pool = K.distinct_names(names(spark, d))
+    pool = stored(K.distinct_names(names(spark, d)), "pool")
     out = None
     for kind in K.KINDS:
         rows = K.perturb(pool, kind, 42).withColumn("kind", F.lit(kind))

@@ -149,7 +149,7 @@ def perturb(names: DataFrame, kind: str, seed: int) -> DataFrame:
 
 
 def _indexed(names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    pool = distinct_names(names)
+    pool = stored(distinct_names(names), "names")
     return global_index(pool, F.concat_ws(":", "field", "name"), ["field", "name", "doc_id"]), pool.agg(F.count("*").alias("_pool"))
 
 
