@@ -95,3 +95,9 @@ def test_long_tables_equal_the_row_form(spark):
     table = lambda c: rows.select("doc_id", F.posexplode(c).alias("idx", "l")).select("doc_id", "idx", "l.*")
     want = rows.select(line_match(F.col("g"), F.col("p"), tol=1)).first()[0]
     assert match_line_tables(table("g"), table("p"), ["doc_id"], tol=1).first().matched == want
+
+
+def test_lines_printed_alike_match_without_those_that_have_no_amount(spark):
+    lines = [("red", 10), (None, 10), ("red", None), ("red", 10), ("big ring", 11)]
+    row = spark.createDataFrame([(lines, lines)], f"g {LINES}, p {LINES}")
+    assert row.select(line_match(F.col("g"), F.col("p"), tol=1)).first()[0] == greedy(lines, lines) == 4
