@@ -227,7 +227,7 @@ def test_gate_files_round_trip(spark, tmp_path):
     assert of("narrow") == [["combined", "schema_validity", "0.8500"], ["synthetic", "line_items_f1", "0.2500"], ["combined", "line_items_f1", "0.5000"]]
     assert of("wide") == [["combined", "schema_validity", "0.9750"], ["synthetic", "line_items_f1", ""], ["combined", "line_items_f1", "0.8125"]]
     same = gate.gate_verdicts(gate.gate(readers.read_baseline_csv(spark, out), cells, thresholds)).collect()
-    assert sorted(r.result for r in same if r.config == "wide") == ["n/a", "ok", "ok"] and not any(r.breach for r in same)
+    assert sorted(r.result for r in same if r.config == "wide") == ["n/a", "✅", "✅"] and not any(r.breach for r in same)
     with pytest.raises(ValueError, match="no_such_metric"):
         readers.read_summary_csv(spark, str(summary), spark.createDataFrame([("no_such_metric", "combined", 0.1, 0)], TH))
     (tmp_path / "torn.csv").write_text("config,value\nwide,1\n")
