@@ -82,13 +82,14 @@ def write_golden(spark, d):
 
 
 def _layers(spark, d):
-    """Every page's HTML as a file of its own, read back whole: (path, text)."""
+    """Every page's HTML as a file of its own, read back whole: (path, text). Files lie in 256 folders, by their keys."""
     path = scratch_path(spark, "layers")
-    pages = t.table(spark, d, "pages").select(F.col("page_id").alias("key"), F.col("html").alias("value"))
-    pages.write.partitionBy("key").text(path)
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    file = F.concat(F.pmod(F.xxhash64("page_id"), F.lit(256)).cast("string"), F.lit("/"), key, F.lit(".txt"))
+    W.write_text_layers(t.table(spark, d, "pages").select(file.alias("path"), F.col("html").alias("text")), path)
     layers = R.read_text_layers(spark, path)
     return layers.select(
-        F.regexp_replace("path", r"^key=(\d+)/.*$", "pages/$1.txt").alias("path"), F.regexp_replace("text", r"\n\z", "").alias("text"))
+        F.regexp_replace("path", r"^\d+/(.*)$", "pages/$1").alias("path"), F.regexp_replace("text", r"\n\z", "").alias("text"))
 
 
 @check("read_text_layers", "SELECT 'pages/' || page_id || '.txt' AS path, html AS text FROM pages")

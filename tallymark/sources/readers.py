@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,7 @@ from pyspark.sql import types as T
 from tallymark.functions.text import doc_key, not_blank
 from tallymark.operators.gate import summary_cells
 from tallymark.schemas import CELL, GOLDEN, PAIR, RUN_CONFIG
+from tallymark.session import setting
 
 INPUT_MODES = ("text", "ocr")
 
@@ -22,8 +25,10 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text_layers(spark: SparkSession, root: str) -> DataFrame:
     """(path, text): one row per file below ``root``, keyed by its path relative to ``root``."""
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
-    prefix = root.rstrip("/").removeprefix("file:") + "/"
+    # Folders are listed by a few tasks per core: by default every folder is a task, up to 10,000 of them.
+    with setting(spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * spark.sparkContext.defaultParallelism)):
+        files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
+    prefix = re.sub("^file:/+", "/", root.rstrip("/")) + "/"
     path = F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/"), F.lit("+"), F.lit("%2B")))
     return files.select(F.substring_index(path, prefix, -1).alias("path"), F.col("value").alias("text"))
 

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,3 +67,44 @@ def write_pools(
     """Two datasets, written at once: a sample of the held-out strata under ``pool=dev``, one of the rest under ``pool=golden``."""
     sampled_pools(converted, key, stratum, count, dev_strata, dev_count, seed).orderBy("pool", key).write.option(
         "ignoreNullFields", False).partitionBy("pool").json(path)
+
+
+def _text_files(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows arrive ordered by path. A file gets its name when it is whole, so one of a failed attempt is never read."""
+        files, base = pafs.FileSystem.from_uri(root)
+        made, at, out = set(), None, None
+
+        def close():
+            if out is not None:
+                out.close()
+                files.move(hidden, f"{base}/{at}")
+
+        for batch in batches:
+            for path, text in zip(batch["path"].to_pylist(), batch["text"]):
+                if path != at:
+                    close()
+                    folder = f"{base}/{path}".rpartition("/")[0]
+                    if folder not in made:
+                        files.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    at, hidden = path, f"{folder}/.{uuid.uuid4().hex}"
+                    out = files.open_output_stream(hidden)
+                out.write(text.as_buffer())
+                out.write(b"\n")
+        close()
+        return iter(())
+    return run
+
+
+def write_text_layers(df: DataFrame, root: str) -> None:
+    """A file per path of ``df`` (path, text) below ``root``, as ``read_text_layers`` reads them.
+
+    Every text ends with a line feed, as Spark's text files do, since a scan leaves out files of no bytes; null is an empty
+    text. Rows of one path go to one file. Tasks write the files themselves: a file writer of Spark makes a
+    temporary folder and an output per file, which on a local or mounted disk starts three processes for each.
+    ``root`` is a folder that all tasks share, of a kind that ``pyarrow.fs`` opens.
+    """
+    rows = df.select(F.col("path").cast("string").alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows.repartition("path").sortWithinPartitions("path", "text").mapInArrow(
+        _text_files(re.sub("^file:/+", "/", root.rstrip("/"))), "none int").write.format("noop").mode("overwrite").save()
