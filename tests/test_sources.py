@@ -53,3 +53,18 @@ def test_pages_lie_in_a_bounded_number_of_folders(spark, tmp_path):
     assert layers == {f"pages/{i}.txt": "" if i == 3 else "<p>7</p>\n\n<p>7</p>\n" if i == 7 else f"<p>{i}</p>\n" for i in range(400)}
     root, = set(glob.glob(f"{scratch_dir(spark)}/layers-*")) - before
     assert len(glob.glob(f"{root}/*")) <= 256 and len(glob.glob(f"{root}/**/*.txt", recursive=True)) == 400
+
+
+def test_eval_set_over_pages(spark, tmp_path):
+    """OCR mode end to end: a third of the documents show another page's text, and the files are read by one scan for both layers."""
+    ids = range(300)
+    pq.write_table(pa.table({"page_id": pa.array(ids, pa.int64()), "html": [f"<p>{i}</p>" for i in ids]}), tmp_path / "pages.parquet")
+    before = set(glob.glob(f"{scratch_dir(spark)}/layers-*"))
+    sets = io.eval_set(spark, str(tmp_path))
+    rows = {r.id: r for r in sets.collect()}
+    for i in ids:
+        shown = i // 2 if i % 5 and i % 3 == 0 else i
+        assert (rows[f"doc-{i}"].text, rows[f"doc-{i}"].text_layer) == (f"<p>{shown}</p>", f"<p>{i}</p>")
+    assert len(rows) == 300 and "ReusedExchange" in sets._jdf.queryExecution().executedPlan().toString()
+    root, = set(glob.glob(f"{scratch_dir(spark)}/layers-*")) - before
+    assert len(glob.glob(f"{root}/*")) <= 256
