@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallymark.llm import ngram_join as j
 from tallymark.llm.common import maybe_in
 from tallymark.llm.components import components
+from tallymark.session import setting
 from tests.llm.conftest import SF, needs_data
 from tests.llm.plain import similar
 
@@ -128,6 +129,25 @@ def test_large_groups_are_cut(spark, monkeypatch):
     assert got == {rows[x][0]: v for x, v in similar(rows).items()}
 
 
+def test_sets_travel_only_to_their_cells(spark, monkeypatch):
+    """Joined by node, whole sets stay in their buckets: only the other side is shuffled, and shingles are counted once."""
+    tried, names, meet, stored = [], [], j.meet, j.stored
+
+    def watched(held, asking, labels, sets, num, den):
+        plan = sets.join(labels, "node")._jdf.queryExecution().executedPlan().toString()
+        tried.append(plan.count("Exchange hashpartitioning(node"))
+        return meet(held, asking, labels, sets, num, den)
+
+    monkeypatch.setattr(j, "meet", watched)
+    monkeypatch.setattr(j, "stored", lambda df, name: names.append(name) or stored(df, name))
+    rows, tables = variants(5), {t.name for t in spark.catalog.listTables()}
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in j.similar_groups(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()}
+    assert got == {rows[x][0]: v for x, v in similar(rows).items()}
+    assert tried == [1] * (j.TRIES + 1) and names.count("counts") == 1
+    assert {t.name for t in spark.catalog.listTables()} == tables
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (300, 200), (7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
