@@ -14,6 +14,8 @@ from tallymark.schemas import CELL, GOLDEN, PAIR, RUN_CONFIG
 from tallymark.session import setting
 
 INPUT_MODES = ("text", "ocr")
+# Names of files that Spark's text reader unpacks.
+PACKED = r"\.(gz|bz2|deflate|snappy|lz4|zst)$"
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
@@ -24,12 +26,21 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_text_layers(spark: SparkSession, root: str) -> DataFrame:
-    """(path, text): one row per file below ``root``, keyed by its path relative to ``root``."""
+    """(path, text): one row per file below ``root``, keyed by its path relative to ``root``; packed files are unpacked.
+
+    Files are read as bytes, since the text reader copies Hadoop's whole configuration for each; only packed ones go through it.
+    """
     # Folders are listed by a few tasks per core: by default every folder is a task, up to 10,000 of them.
     with setting(spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * spark.sparkContext.defaultParallelism)):
-        files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
+        plain = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        packed = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{gz,bz2,deflate,snappy,lz4,zst}")
+    file = F.col("_metadata.file_path").alias("file")
+    files = plain.where(~F.col("_metadata.file_path").rlike(PACKED)).select(file, F.col("content").cast("string").alias("value")).unionByName(
+        packed.select(file, "value"))
+    # By default a scan has a task per 32 small files, and a shuffle after it as many outputs per partition.
+    files = files.coalesce(16 * spark.sparkContext.defaultParallelism)
     prefix = re.sub("^file:/+", "/", root.rstrip("/")) + "/"
-    path = F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/"), F.lit("+"), F.lit("%2B")))
+    path = F.url_decode(F.replace(F.regexp_replace("file", r"^file:/+", "/"), F.lit("+"), F.lit("%2B")))
     return files.select(F.substring_index(path, prefix, -1).alias("path"), F.col("value").alias("text"))
 
 

@@ -1,10 +1,12 @@
 """Text layers: a file per document, written by tasks and listed by few tasks, whatever the number of folders."""
 
 import glob
+import gzip
 import os
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from driver_checks import io
 from tallymark.session import scratch_dir
@@ -21,6 +23,18 @@ def test_text_layers_round_trip(spark, tmp_path):
         assert got == {"a/1.txt": " x\n\n\n", "a/b c+%20#é.txt": "ünï\r\nцод\n", "2.txt": "\n", "b/3.txt": "one\ntwo\n"}
 
 
+def test_files_are_read_as_bytes_and_packed_ones_unpacked(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"\xef\xbb\xbfone\r\n\xff")
+    (tmp_path / "b.gz.txt").write_text("two")
+    (tmp_path / "none.txt").write_text("")
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "c d.txt.gz").write_bytes(gzip.compress(b"three\n"))
+    layers = read_text_layers(spark, str(tmp_path))
+    assert "binaryfile" in layers._jdf.queryExecution().executedPlan().toString().lower()
+    got = {r.path: r.text for r in layers.select("path", F.col("text").cast("binary").alias("text")).collect()}
+    assert got == {"a.txt": b"\xef\xbb\xbfone\r\n\xff", "b.gz.txt": b"two", "d/c d.txt.gz": b"three\n"}
+
+
 def test_an_empty_table_writes_no_file(spark, tmp_path):
     write_text_layers(spark.createDataFrame([], "path string, text string"), str(tmp_path))
     assert read_text_layers(spark, str(tmp_path)).count() == 0
