@@ -1,8 +1,12 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from tallymark.llm.ann import fit, nearest, probe_template
+from tallymark.llm import ann
+from tallymark.llm.ann import FOUND, _reranked, _salted, fit, nearest, probe_template
 from tallymark.llm.topk import ImpactIndex, exact_top_k
 from tests.llm.conftest import SF, needs_data
 
@@ -105,3 +109,38 @@ def test_scores_that_could_leave_64_bits_are_an_error(spark):
     large = spark.createDataFrame([*fits, (9, [1e17, 1.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="leave 64 bits: id 9"):
         exact_top_k(large, docs.where("vec_id = 0"), 1).collect()
+
+
+def test_the_sizes_of_cells_are_broadcast_and_never_the_probes(spark):
+    """Queries are few and their probes are many: an optimizer that takes the first for the second sends all to the driver."""
+    vec, cell = F.array(F.col("id").cast("double")), (F.col("id") % 50).alias("cell")
+    index = spark.range(1_000_000).select(F.lit(0).alias("tab"), cell, F.col("id").alias("bucket"), vec.alias("vec"), F.array("id").alias("ids"))
+    asked = spark.range(100).select(F.lit(0).alias("tab"), cell, vec.alias("vec"), F.col("id").alias("q"), F.array("id").alias("buckets"))
+    plan = _salted(index, asked, ["tab", "cell"]).applyInArrow(_reranked(3), FOUND)._jdf.queryExecution().executedPlan().toString().splitlines()
+    below = [plan[i + 1] for i, line in enumerate(plan) if "BroadcastExchange" in line]
+    assert below and all("HashAggregate" in line for line in below)
+
+
+def test_fitting_takes_little_memory_however_many_probes():
+    x = np.random.default_rng(2).normal(size=(2000, 32))
+    tracemalloc.start()
+    made = fit(x, 15_000_000, 10, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made.axes.shape[1] == 8 and made.probes > 500 and peak < 60e6
+
+
+def test_the_sample_is_the_vectors_with_the_smallest_hashes(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 7)
+    rows = spark.range(100).select(F.array(F.col("id").cast("double")).alias("vec"))
+    assert ann._sample(rows) == [r["vec"] for r in rows.orderBy(F.xxhash64("vec")).limit(7).collect()] and ann._sample(rows.limit(0)) == []
+
+
+def test_cells_of_a_table_have_a_bound_and_change_nothing(spark, monkeypatch):
+    data = rows()
+    results = []
+    for block, cells in ((8_192, 16_384), (8, 16_384), (8, 3)):
+        monkeypatch.setattr(ann, "BLOCK", block)
+        monkeypatch.setattr(ann, "CELLS", cells)
+        results.append(sorted(tuple(r) for r in nearest(frame(spark, data), frame(spark, data[::9]), 4).collect()))
+    assert results[0] and results[0] == results[1] == results[2]
