@@ -202,3 +202,53 @@ def test_a_stream_draws_once_for_as_many_blocks_as_a_task_holds(spark):
     values = np.array([[d] for g, _, d in deltas if g == "a"])
     parts = [C.stream_totals(42, 101, low, values[low:low + 40], np.arange(30)) for low in (0, 40, 80)]
     assert sum(parts)[:, 0].tolist() == [want["a", r] for r in range(30)]
+
+
+def _held(columns, size, coded=True):
+    held = C.Held()
+    for deltas in columns:
+        column = C.Column(size, coded)
+        for low in range(0, size, 13):
+            column.add(deltas[low:low + 13])
+        held.add(column)
+    return held
+
+
+def test_one_code_stands_for_a_row_of_deltas(monkeypatch):
+    """Packed or not, coded or spelled out, a resample has the sums of a plain loop over the stream."""
+    n, rs = 101, np.arange(3, 9)
+    few = [np.array([(i * (g + 3)) % 3 * 0.5 - 0.5 for i in range(n)]) for g in range(6)]
+    many = np.arange(n) * 0.25
+    columns = [*few[:3], many, *few[3:], np.array([0.0, -0.0, np.inf] * 33 + [1.0, 2.0])]
+    want = np.array([np.sum([c[sequential(42, 9 * n, n)[r * n:(r + 1) * n]] for c in columns], axis=1) for r in rs.tolist()])
+    for codes in (1 << 16, 60, 5):
+        monkeypatch.setattr(C, "CODES", codes)
+        held = _held(columns, n)
+        assert np.array_equal(held.totals(42, n, 0, n, rs), want)
+        assert len(held.raws) == (1 if codes == 1 << 16 else 2) and len(held.packs) == 1
+    apart = _held([np.arange(n) % 5 * 0.5, np.arange(n) // 5 % 5 * 0.5], n)
+    assert len(apart.packs) == 2 and apart.totals(42, n, 0, n, rs)[0].tolist() == [
+        sum(i // by % 5 * 0.5 for i in sequential(42, 4 * n, n)[3 * n:]) for by in (1, 5)]
+    assert np.array_equal(_held(columns, n, False).totals(42, n, 0, n, rs), want)
+    assert np.array_equal(_held(few, n).totals(42, n, 0, n, rs), want[:, [0, 1, 2, 4, 5, 6]])
+    halves = [_held([c[low:low + 51] for c in few], len(few[0][low:low + 51])).totals(42, n, low, len(few[0][low:low + 51]), rs) for low in (0, 51)]
+    assert np.array_equal(sum(halves), want[:, [0, 1, 2, 4, 5, 6]])
+
+
+def test_groups_of_few_different_deltas_take_one_span(spark, monkeypatch):
+    """What a task holds is counted in bytes: eight groups of a few different deltas need five a place, not 64."""
+    monkeypatch.setattr(C, "HELD", 2_000)
+    placed = spark.createDataFrame([(f"g{g}", (i * g) % 5 * 0.25, i) for g in range(8) for i in range(201)], "gid string, delta double, idx long")
+    sizes = placed.groupBy("gid").agg(F.count("*").alias("n"), F.approx_count_distinct("delta").alias("kinds"))
+    rows = C._block_sums(placed, sizes, 120, 42, 50, C.STREAM).collect()
+    draws = sequential(42, 120 * 201, 201)
+    want = {(f"g{g}", r): sum((i * g) % 5 * 0.25 for i in draws[r * 201:(r + 1) * 201]) for g in range(8) for r in range(120)}
+    assert len(rows) == 960 and {r.block for r in rows} == {0} and {(r.gid, r.r): r.total for r in rows} == want
+
+
+def test_a_comparison_makes_its_draws_once(spark):
+    paired = spark.createDataFrame(
+        [(i, ("fatura", "synthetic")[i % 2], m, (i % 5 - 1.5) * (1, -1)[i % 2]) for i in range(20) for m in ("composite", "field_total")],
+        "doc_id long, source string, metric string, delta double")
+    rows = C.compare_rows(paired, resamples=60)
+    assert "MapInPandas" not in rows._jdf.queryExecution().executedPlan().toString() and rows.count() == 6
