@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.functions.hashing import hash_draw, pair_id
+from tallymark.functions.hashing import drawn, hash_draw, hash_numbers, pair_id
 from tallymark.functions.names import names_match, normalize_name
 from tallymark.functions.text import excerpt, not_blank, trim_ws
 from tallymark.operators.judge import gray_zone
@@ -100,17 +100,22 @@ def _abbreviated(name: Column) -> Column:
 def _ocr_noise(name: Column, seed: int, key: Column) -> Column:
     confusable = _table(CONFUSABLES.items())
 
-    def edit(text, e):
-        places = F.transform(F.sequence(F.lit(0), F.lit(OCR_ATTEMPTS - 1)), lambda a: (hash_draw(
-            seed, key, F.lit(100) + e * OCR_ATTEMPTS + a, F.length(text)) + 1).cast("int"))
-        usable = F.filter(places, lambda p: F.try_element_at(confusable, F.substr(text, p, F.lit(1))).isNotNull())
-        at = F.try_element_at(usable, F.lit(1))
+    # Expressions inside a lambda are not compiled, and evaluated wherever they are written: what is used twice is an element.
+    def replaced(text, at):
         return F.when(at.isNull(), text).otherwise(F.concat(
             F.substr(text, F.lit(1), at - 1), F.try_element_at(confusable, F.substr(text, at, F.lit(1))),
             F.substr(text, at + 1, F.length(text))))
 
+    def edit(text, numbers):
+        places = F.transform(numbers, lambda number: (drawn(number, F.length(text)) + 1).cast("int"))
+        usable = F.filter(places, lambda p: F.try_element_at(confusable, F.substr(text, p, F.lit(1))).isNotNull())
+        return F.element_at(F.transform(F.array(F.try_element_at(usable, F.lit(1))), lambda at: replaced(text, at)), 1)
+
+    # The digests do not depend on the text, only the places do.
     edits = hash_draw(seed, key, 1, MAX_OCR_EDITS).cast("int")
-    return F.aggregate(F.sequence(F.lit(0), edits), name, edit)
+    attempts = F.transform(F.sequence(F.lit(0), edits), lambda e: hash_numbers(
+        seed, key, F.sequence(F.lit(100) + e * OCR_ATTEMPTS, F.lit(100 + OCR_ATTEMPTS - 1) + e * OCR_ATTEMPTS)))
+    return F.aggregate(attempts, name, edit)
 
 
 def _reordered(name: Column) -> Column:
@@ -139,12 +144,17 @@ def perturbed(kind: str, name: Column, seed: int, key: Column) -> Column:
 
 
 def perturb(names: DataFrame, kind: str, seed: int) -> DataFrame:
-    """(field, doc_id, golden, predicted) over a table of names; rows the kind does not apply to are left out."""
+    """(field, doc_id, golden, predicted) over a table of names; rows the kind does not apply to are left out.
+
+    Names are short and what is done with one takes long, so they are dealt to all tasks, however few files they lie in.
+    """
     if kind == DIFFERENT_PARTY:
         return different_party(names, 1, seed)
     name = trim_ws(F.col("name"))
     key = F.concat_ws(":", F.lit(kind), F.col("field"), F.col("name"))
-    return names.select("field", "doc_id", F.col("name").alias("golden"), perturbed(kind, name, seed, key).alias("predicted")).where(
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = names.select("field", "doc_id", "name").repartition(tasks)
+    return dealt.select("field", "doc_id", F.col("name").alias("golden"), perturbed(kind, name, seed, key).alias("predicted")).where(
         F.col("predicted").isNotNull())
 
 
@@ -210,15 +220,15 @@ def calibration_pairs(mismatches: DataFrame, names: DataFrame, target: int = 60,
     draws = draws.withColumn("kind", F.get(F.array(*[F.lit(k) for k in CYCLE]), F.col("slot") % len(CYCLE)))
     draws = draws.join(F.broadcast(size)).where("_pool > 1").withColumns({
         "idx": hash_draw(seed, key, 50, F.col("_pool")), "_other": hash_draw(seed, key, 51, F.col("_pool"))})
-    drawn = pool.join(draws, "idx")
+    chosen_names = pool.join(draws, "idx")
     others = pool.select(F.col("idx").alias("_other"), F.col("name").alias("_other_name"))
-    drawn = drawn.join(others, "_other")
+    chosen_names = chosen_names.join(others, "_other")
 
     name, other = trim_ws(F.col("name")), trim_ws(F.col("_other_name"))
     predicted = F.when(F.col("kind") == DIFFERENT_PARTY, F.when(~names_match(name, other), other))
     for kind in KINDS[:-1]:
         predicted = predicted.when(F.col("kind") == kind, perturbed(kind, name, seed, key))
-    candidates = drawn.withColumn("predicted", predicted).withColumnRenamed("name", "golden").where(
+    candidates = chosen_names.withColumn("predicted", predicted).withColumnRenamed("name", "golden").where(
         gray_zone(F.col("golden"), F.col("predicted")))
     candidates = candidates.withColumn("id", pair_id(F.col("field"), F.col("golden"), F.col("predicted")))
     fresh = stored(candidates.join(real.select("id"), "id", "left_anti").select(

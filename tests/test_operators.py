@@ -1,5 +1,6 @@
 import hashlib
 import json
+import os
 import random
 import re
 
@@ -13,6 +14,7 @@ from tallymark.operators.currency import normalize_currency
 from tallymark.operators.exchange import replay_join, request_fingerprint
 from tallymark.operators.sampling import holdout_strata, stratified_sample
 from tallymark.schemas import AGENT_METRICS, FIELDS, JUDGED_FIELDS
+from tallymark.session import scratch_path
 from tallymark.sources import readers, writers
 
 TH = "metric string, subset string, maxDrop double, position int"
@@ -311,3 +313,24 @@ def test_latest_rows_are_not_sent_by_run(spark):
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_ocr_noise_against_a_plain_loop(spark):
+    """Draws by (seed, key, counter); a name of one file is dealt to all tasks."""
+    names = ["Solis Global", "Immense Gnome Mmm", "zzz", "Böhm & Söhne", "a", "  Omega  ", "X" * 40 + "o", "mmmmmm"]
+    rows = spark.createDataFrame([(i, "vendor_name", n) for i, n in enumerate(names)], "doc_id int, field string, name string").coalesce(1)
+    got = calibrate.perturb(rows, calibrate.OCR_NOISE, 3)
+
+    def draw(key, counter, n):
+        return int.from_bytes(hashlib.sha256(f"3:{key}:{counter}".encode()).digest()[:8], "little") % n
+
+    for r in got.collect():
+        key, text = f"ocr_noise:vendor_name:{r.golden}", r.golden.strip()
+        for e in range(draw(key, 1, calibrate.MAX_OCR_EDITS) + 1):
+            places = [draw(key, 100 + e * calibrate.OCR_ATTEMPTS + a, len(text)) for a in range(calibrate.OCR_ATTEMPTS)]
+            at = next((p for p in places if text[p] in calibrate.CONFUSABLES), None)
+            if at is not None:
+                text = text[:at] + calibrate.CONFUSABLES[text[at]] + text[at + 1:]
+        assert r.predicted == text
+    assert got.count() == len(names)
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
