@@ -157,7 +157,8 @@ def flatten_results(spark, d):
         F.when(F.col("doc_id") % 3 == 1, F.lit(7.0)).alias("turn_latency_ms"), "cache_hit",
         F.when(F.col("doc_id") % 4 != 0, F.col("input_tokens")).alias("input_tokens"), "output_tokens", "thinking_tokens", F.lit("").alias("response_text"))
     path = scratch_path(spark, "results")
-    nested.write.json(path)
+    # As text every row repeats all names and tags: compressed, and in files that many tasks can read.
+    nested.write.option("compression", "gzip").option("maxRecordsPerFile", 500_000).json(path)
     flat = R.flatten_results(spark.read.schema(STORED_RESULT).json(path))
     return flat.select(
         "execution", "config", "model", "prompt", "input_mode", "doc_id", "source", "layout",

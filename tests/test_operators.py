@@ -334,3 +334,19 @@ def test_ocr_noise_against_a_plain_loop(spark):
         assert r.predicted == text
     assert got.count() == len(names)
     assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_stored_results_are_written_compressed(spark, monkeypatch):
+    from driver_checks import io, tables
+
+    rows = spark.range(100).selectExpr(
+        "'e' execution", "'c' config", "'m' model", "'p' prompt", "'text' input_mode", "'fatura' source", "'Template1' layout", "id doc_id",
+        "0.5 + id % 2 composite", "cast(id % 2 as double) schema_validity", "'miss' outcome_total", "1.5D latency_ms", "id input_tokens",
+        "1L output_tokens", "2L thinking_tokens", "id % 2 = 0 cache_hit")
+    made = []
+    monkeypatch.setattr(tables, "judged_scores", lambda spark, d: rows)
+    monkeypatch.setattr(io, "scratch_path", lambda spark, name: made.append(scratch_path(spark, name)) or made[-1])
+    flat = io.flatten_results(spark, "unused").orderBy("input_tokens", "doc_id").collect()
+    assert len(flat) == 100 and {r.total_outcome for r in flat} == {"miss"} and sum(r.errors == "invalid | again" for r in flat) == 50
+    files = [f for f in os.listdir(made[0]) if f.startswith("part-")]
+    assert files and all(f.endswith(".gz") for f in files)
